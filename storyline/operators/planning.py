@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..session import cut_lineage
@@ -26,16 +27,21 @@ BUCKET_CLIPS = 1024         # clips per bucket of a larger pool
 BUCKET_CHUNK = 16           # segments planned together from one bucket
 
 
+def _table(keys: list[str], key: tuple, columns: dict[str, tuple]) -> pa.Table:
+    """Arrow rows of one group, with its key in front."""
+    n = len(next(iter(columns.values()))[1])
+    return pa.table({**{k: pa.array([v.as_py()] * n, v.type) for k, v in zip(keys, key)},
+                     **{c: pa.array(values, kind) for c, (kind, values) in columns.items()}})
+
+
 # ---- plan_segments ---------------------------------------------------------
 
 class _Block:
     """States of one time block: "everything up to event ``idx`` is placed"."""
 
-    def __init__(self, rows: pd.DataFrame, blk: int, max_ms: float, total_ms: float):
-        rows = rows.drop_duplicates("idx").sort_values("idx")
-        idx, t1 = rows["idx"].to_numpy("int64"), rows["t1_ms"].to_numpy("float64")
-        ends, home = rows["story_end"].to_numpy(bool), rows["home"].to_numpy(bool)
-        story = rows["story"].to_numpy("int64")
+    def __init__(self, rows: pa.Table, blk: int, max_ms: float, total_ms: float):
+        idx, first = np.unique(rows["idx"].to_numpy(), return_index=True)
+        t1, ends, home, story = (rows[c].to_numpy()[first] for c in ("t1_ms", "story_end", "home", "story"))
         if blk == 0:        # the state before the first event
             idx, t1 = np.r_[-1, idx], np.r_[0.0, t1]
             ends, home, story = np.r_[False, ends], np.r_[True, home], np.r_[0, story]
@@ -90,9 +96,9 @@ def _block_entries(rows: DataFrame, totals: DataFrame, keys: list[str], max_ms:
         T.StructField("blk", T.LongType()), T.StructField("entry", T.LongType()),
         T.StructField("leave", T.LongType()), T.StructField("hops", T.LongType())])
 
-    def exits(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        blk = int(key[-1])
-        block = _Block(pdf, blk, max_ms, float(pdf["total_ms"].iloc[0]))
+    def exits(key, rows):
+        blk = key[-1].as_py()
+        block = _Block(rows, blk, max_ms, rows["total_ms"][0].as_py())
         known: dict[int, tuple[int | None, int]] = {}
         homes = np.flatnonzero(block.home)
         if blk == 0:
@@ -117,17 +123,14 @@ def _block_entries(rows: DataFrame, totals: DataFrame, keys: list[str], max_ms:
             for p in reversed(path):
                 hops += 1
                 known[p] = (leave, hops)
-        out = pd.DataFrame([(int(block.idx[p]), *known[p]) for p in map(int, homes)],
-                           columns=["entry", "leave", "hops"])
-        out["leave"] = out["leave"].astype("Int64")
-        out.insert(0, "blk", blk)
-        for name, value in reversed(list(zip(keys, key))):
-            out.insert(0, name, value)
-        return out
+        found = [(int(block.idx[p]), *known[p]) for p in map(int, homes)]
+        return _table(keys, key, {"blk": (pa.int64(), [blk] * len(found)),
+                                  **{n: (pa.int64(), [f[i] for f in found])
+                                     for i, n in enumerate(("entry", "leave", "hops"))}})
 
     long_rows = rows.join(jobs, keys, "left_semi")
     blocks = _events_by_block(long_rows, keys, max_ms, width, bridges).join(totals, keys)
-    ways = cut_lineage(blocks.groupBy(*keys, "blk").applyInPandas(exits, schema))
+    ways = cut_lineage(blocks.groupBy(*keys, "blk").applyInArrow(exits, schema))
     targets = ways.filter("leave is not null").select(*keys, F.col("leave").alias("entry")).distinct()
     used = ways.filter("entry = -1").unionByName(
         ways.filter("entry >= 0").join(targets, [*keys, "entry"], "left_semi"))
@@ -197,16 +200,17 @@ def plan_segments(events: DataFrame, totals: DataFrame, keys: Sequence[str],
         starts = starts.join(jobs, keys, "left_anti").unionByName(
             entries.join(totals, keys).select(*starts.columns))
     blocks = _events_by_block(rows, keys, max_ms, width, bridges)
+    # both sides may come from one table: give this side columns of its own
+    starts = starts.select(*[F.col(c).alias(c) for c in starts.columns])
 
-    def cut(key, events_pdf: pd.DataFrame, start_pdf: pd.DataFrame) -> pd.DataFrame:
+    def cut(key, events, start):
         found: list[tuple] = []
-        if len(start_pdf):
-            start = start_pdf.iloc[0]
-            total = float(start["total_ms"])
-            if not len(events_pdf):
+        if start.num_rows:
+            if not events.num_rows:
                 raise ValueError("no caption events to align segments to")
-            block = _Block(events_pdf, int(key[-1]), max_ms, total)
-            n, p = int(start["placed"]), block.position(int(start["entry"]))
+            total = start["total_ms"][0].as_py()
+            block = _Block(events, key[-1].as_py(), max_ms, total)
+            n, p = start["placed"][0].as_py(), block.position(start["entry"][0].as_py())
             while True:
                 q = block.step(p)
                 if q is None:
@@ -218,16 +222,14 @@ def plan_segments(events: DataFrame, totals: DataFrame, keys: Sequence[str],
                 if not block.home[q]:
                     break
                 n, p = n + 1, q
-        out = pd.DataFrame(found, columns=["idx", "t0_ms", "t1_ms", "story_first"])
-        for name, value in reversed(list(zip(keys, key))):
-            out.insert(0, name, value)
-        return out
+        kinds = {"idx": pa.int64(), "t0_ms": pa.float64(), "t1_ms": pa.float64(), "story_first": pa.int64()}
+        return _table(keys, key, {c: (kind, [f[i] for f in found]) for i, (c, kind) in enumerate(kinds.items())})
 
     schema = T.StructType([rows.schema[k] for k in keys] + [
         T.StructField("idx", T.LongType()), T.StructField("t0_ms", T.DoubleType()),
         T.StructField("t1_ms", T.DoubleType()), T.StructField("story_first", T.LongType())])
     return (blocks.groupBy(*keys, "blk").cogroup(starts.groupBy(*keys, "blk"))
-            .applyInPandas(cut, schema))
+            .applyInArrow(cut, schema))
 
 
 # ---- plan_scenes -----------------------------------------------------------

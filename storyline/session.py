@@ -25,6 +25,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8,
         **_PLANNING,
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         **extra,
     }

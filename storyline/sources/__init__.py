@@ -1,3 +1,3 @@
-from .readers import (read_assets, read_blocklist, read_catalog, read_job_state, read_log,
+from .readers import (parse_blocklist, parse_catalog, parse_job_state, read_assets, read_blocklist, read_catalog, read_job_state, read_log,
                       read_provider_hits, read_scripts)
 from .writers import CAPTION_HEADER, dialogue_line, write_captions, write_timeline

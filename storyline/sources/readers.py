@@ -32,9 +32,13 @@ def _whole_files(spark: SparkSession, path) -> DataFrame | None:
                        F.col("_metadata.file_modification_time").alias("updated"), "value")
 
 
+def _no_file(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "path string, updated timestamp, value string")
+
+
 def normalise_newlines(text: Column) -> Column:
     """Drop a byte-order mark; CR, CRLF, VT and FF become newlines."""
-    return F.regexp_replace(F.regexp_replace(text, r"\A﻿", ""), r"\r\n?|[\x0b\x0c]", "\n")
+    return F.regexp_replace(F.regexp_replace(text, r"\A\x{feff}", ""), r"\r\n?|[\x0b\x0c]", "\n")
 
 
 def read_scripts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -126,22 +130,28 @@ def read_provider_hits(df: DataFrame, json_col: str, layout: str, max_h: int = M
 
 # ---- catalog files ---------------------------------------------------------
 
+def parse_catalog(df: DataFrame, json_col: str) -> DataFrame:
+    """Keyed rows of map-shaped JSON; what cannot be parsed gives no rows."""
+    entries = df.select(F.explode(F.from_json(json_col, f"map<string, {CATALOG_ENTRY}>")).alias("key", "e"))
+    return entries.select("key", "e.*")
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Keyed rows of a map-shaped JSON file; missing or corrupt gives no rows."""
+    """Catalog files, each one JSON map; missing or corrupt gives no rows."""
     files = _whole_files(spark, path)
-    if files is None:
-        files = spark.createDataFrame([], "value string")
-    entries = files.select(F.explode(F.from_json("value", f"map<string, {CATALOG_ENTRY}>")).alias("key", "e"))
-    return entries.select("key", "e.*")
+    return parse_catalog(_no_file(spark) if files is None else files, "value")
+
+
+def parse_blocklist(df: DataFrame, json_col: str) -> DataFrame:
+    """``(key, reason)`` from ``{"blocked": {...}}``."""
+    blocked = F.from_json(json_col, "struct<blocked map<string, string>>").blocked
+    return df.select(F.explode(blocked).alias("key", "reason"))
 
 
 def read_blocklist(spark: SparkSession, path: str) -> DataFrame:
-    """``(key, reason)`` from ``{"blocked": {...}}``; missing or corrupt gives no rows."""
+    """Blocklist files; missing or corrupt gives no rows."""
     files = _whole_files(spark, path)
-    if files is None:
-        files = spark.createDataFrame([], "value string")
-    blocked = F.from_json("value", "struct<blocked map<string, string>>").blocked
-    return files.select(F.explode(blocked).alias("key", "reason"))
+    return parse_blocklist(_no_file(spark) if files is None else files, "value")
 
 
 def read_assets(spark: SparkSession, dirs: Sequence[str],
@@ -174,22 +184,25 @@ def read_assets(spark: SparkSession, dirs: Sequence[str],
 
 # ---- job files -------------------------------------------------------------
 
-def read_job_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``job_phases`` and ``job_segments`` of ``path/*/state.json``; bad files are skipped."""
-    files = _whole_files(spark, os.path.join(path, "*", "state.json"))
-    if files is None:
-        files = spark.createDataFrame([], "path string, updated timestamp, value string")
-    jobs = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("job_id"), "updated",
-                        F.from_json("value", _STATE).alias("s")).filter("s is not null")
-    phases = jobs.select("job_id", "updated", F.col("s.params_hash").alias("params_hash"),
+def parse_job_state(jobs: DataFrame, json_col: str, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``job_phases`` and ``job_segments`` from a column of state JSON."""
+    rows = jobs.select(*keys, F.from_json(json_col, _STATE).alias("s")).filter("s is not null")
+    phases = rows.select(*keys, F.col("s.params_hash").alias("params_hash"),
                          F.explode("s.phases").alias("phase", "detail"))
     phases = phases.withColumn("done", F.coalesce(
         F.get_json_object("detail", "$.done").try_cast("boolean"), F.lit(False)))
-    segments = jobs.select("job_id", "updated", F.explode("s.segments").alias("g")).select(
-        "job_id", "updated", "g.*")
+    segments = rows.select(*keys, F.explode("s.segments").alias("g")).select(*keys, "g.*")
     return phases, segments
 
 
+def read_job_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``job_phases`` and ``job_segments`` of ``path/*/state.json``; bad files are skipped."""
+    files = _whole_files(spark, os.path.join(path, "*", "state.json"))
+    files = _no_file(spark) if files is None else files
+    jobs = files.withColumn("job_id", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
+    return parse_job_state(jobs, "value", ["job_id", "updated"])
+
+
 def parse_log_line(line: Column) -> list[Column]:
     pattern = r"(?s)^\[(\d{2}:\d{2}:\d{2})\] (.*)$"
     time = F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
@@ -197,11 +210,20 @@ def parse_log_line(line: Column) -> list[Column]:
     return [time.alias("time"), message.alias("message"), (message == SESSION_MARKER).alias("is_session")]
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, line_no, time, message, is_session)`` of job logs."""
+def read_log(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """``(path, time, message, is_session)`` of job logs.
+
+    ``numbered`` adds ``line_no``; a log file is then read as one row.
+    """
+    if not numbered:
+        try:
+            lines = spark.read.text(path)
+        except AnalysisException:
+            lines = _no_file(spark)
+            return lines.select("path", *parse_log_line(F.col("value")))
+        return lines.select(F.col("_metadata.file_path").alias("path"), *parse_log_line(F.col("value")))
     files = _whole_files(spark, path)
-    if files is None:
-        files = spark.createDataFrame([], "path string, updated timestamp, value string")
+    files = _no_file(spark) if files is None else files
     lines = files.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), r"\r?\n"))
                          .alias("line_no", "line"))
     return lines.select("path", "line_no", *parse_log_line(F.col("line")))
