@@ -1,3 +1,3 @@
 """The checked queries over the shared test tables."""
-from . import catalogs, texts, timelines  # noqa: F401
+from . import catalogs, states, texts, timelines  # noqa: F401
 from .base import ORACLES, QUERIES

@@ -207,7 +207,7 @@ def _plan_scenes_invariants(spark, d):
         F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("key"), "p_size")
     one = checked.withColumn("key", F.col("s.key")).join(parts, "key")
     return one.groupBy("conv_id", "idx", "sum_exact", "in_band").agg(
-        F.bool_and(F.col("s.dur_s") + F.col("s.in_s") <= F.col("p_size") + 0.001 * (F.col("count") + 1)).alias("clip_long_enough"))
+        F.bool_and(F.col("s.dur_s") + F.col("s.in_s") <= F.col("p_size") + 0.051 + 0.001 * F.col("count")).alias("clip_long_enough"))
 
 
 @query("assign_round_robin", f"""WITH RECURSIVE {S.conv_segments(SEG_MAX_S * 1000)}

@@ -41,11 +41,14 @@ def _latest(rows: DataFrame, keys: list[str], order: Sequence[str]) -> DataFrame
 
 
 def read_latest(spark: SparkSession, target: str, key, order: Sequence[str] = ()) -> DataFrame:
-    """Latest record per key of an upsert target, empty folder included."""
+    """Latest record per key of an upsert target.
+
+    The last batch wins; with ``order`` the largest value of these columns does,
+    so a record that arrives late does not replace a newer one.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     rows = spark.read.parquet(target)
-    return _latest(rows, keys, ["batch", *order]).drop("batch").select(
-        *[c for c in rows.columns if c != "batch"])
+    return _latest(rows, keys, [*order, "batch"]).select(*[c for c in rows.columns if c != "batch"])
 
 
 def stream_upsert(stream: DataFrame, target: str, key, checkpoint: str,
@@ -94,8 +97,7 @@ def read_progress(spark: SparkSession, target: str, keys: Sequence[str], idx: st
 
     A row that arrives late with an older time does not win over a newer one.
     """
-    rows = spark.read.parquet(target)
-    segments = _latest(rows, [*keys, idx], [ts, "batch"])
+    segments = read_latest(spark, target, [*keys, idx], [ts])
     if phases is None:
         phases = segments.select(*keys, F.lit("").alias("phase"), F.lit(False).alias("done")).limit(0)
     return progress(phases, segments, keys)
