@@ -100,7 +100,7 @@ def tidy_text(text) -> Column:
     t = F.translate(_col(text), CHARS_FROM, CHARS_TO)
     t = F.replace(t, F.lit("…"), F.lit("..."))
     t = F.regexp_replace(t, rf"(?md)^#{{1,6}}[{WS}]+", "")
-    t = F.translate(t, "`", "")
+    t = F.replace(t, F.lit("`"), F.lit(""))
     t = F.regexp_replace(t, r"<[^>\n]{1,80}>", " ")
     t = F.regexp_replace(t, rf",[{WS},]*,[{WS}]*", ", ")
     t = F.regexp_replace(t, rf",[{WS}]*\.", ".")

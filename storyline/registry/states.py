@@ -12,7 +12,7 @@ from ..session import scratch_path
 from ..sources import parse_job_state, read_log
 from ..streaming import (checkpoint_merge, read_latest, read_progress, stream_first_seen,
                          stream_progress, stream_tail, stream_upsert)
-from .base import BYTES_PER_CHAR, query, table
+from .base import BYTES_PER_CHAR, query, table, texts
 from . import sql as S
 
 # ---- merging ---------------------------------------------------------------
@@ -212,14 +212,18 @@ _ENRICH_SQL = f"""WITH c AS (SELECT conv_id, turn, {S.clean('text')} AS text FRO
     row_number() OVER (PARTITION BY text ORDER BY conv_id, turn, k) > 1 AS was_cached FROM sent)"""
 
 
-def _enriched(spark, d):
-    turns = table(spark, d, "conversations").select("conv_id", "turn", clean_text("text").alias("text"))
+def enrich_conversations(spark, d, cache):
+    turns = texts(spark, d, "conversations", "conv_id", "turn").select("conv_id", "turn", clean_text("text").alias("text"))
     rows = sentences(turns, ["conv_id", "turn"], "text")
     rows = rows.withColumn("sha", content_key("text", F.lit("voice")))
-    return cached_enrich(rows, "sha", _measure, "nbytes bigint", scratch_path(spark, "cache"),
+    return cached_enrich(rows, "sha", _measure, "nbytes bigint", cache,
                          inputs=["text"], ord=["conv_id", "turn", "sent_idx"])
 
 
+def _enriched(spark, d):
+    return enrich_conversations(spark, d, scratch_path(spark, "cache"))
+
+
 @query("cached_enrich", f"{_ENRICH_SQL} SELECT * FROM e")
 def _cached_enrich(spark, d):
     return _enriched(spark, d).drop("sha")

@@ -8,7 +8,7 @@ from ..functions import (caption_cards, clean_text, content_key, escape_caption,
                          stamp_cs, bytes_to_ms, exceeds_cap, word_count)
 from ..operators import (contract_violations, min_text_filter, sentences, split_oversize,
                          split_stories, units)
-from .base import nbytes, query, table
+from .base import nbytes, query, table, texts
 from . import sql as S
 
 
@@ -106,30 +106,30 @@ def _contract_violations(spark, d):
 @query("min_text_filter", r"""SELECT doc_id FROM documents
   WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 40""")
 def _min_text_filter(spark, d):
-    return min_text_filter(table(spark, d, "documents"), "text").select("doc_id")
+    return min_text_filter(texts(spark, d, "documents", "doc_id"), "text").select("doc_id")
 
 
 @query("clean_text", f"SELECT doc_id, {S.clean('text')} AS text FROM documents")
 def _clean_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", clean_text("text").alias("text"))
+    return texts(spark, d, "documents", "doc_id").select("doc_id", clean_text("text").alias("text"))
 
 
 @query("clean_text_pages", f"SELECT page_id, {S.clean('html')} AS text FROM pages")
 def _clean_text_pages(spark, d):
-    return table(spark, d, "pages").select("page_id", clean_text("html").alias("text"))
+    return texts(spark, d, "pages", "page_id").select("page_id", clean_text("html").alias("text"))
 
 
 @query("word_count", r"""SELECT doc_id,
   len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS words FROM documents""")
 def _word_count(spark, d):
-    return table(spark, d, "documents").select("doc_id", word_count("text").alias("words"))
+    return texts(spark, d, "documents", "doc_id").select("doc_id", word_count("text").alias("words"))
 
 
 @query("estimate_duration", r"""SELECT doc_id,
   len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) / 165.0::DOUBLE AS minutes
   FROM documents""")
 def _estimate_duration(spark, d):
-    return table(spark, d, "documents").select("doc_id", estimate_duration(word_count("text")).alias("minutes"))
+    return texts(spark, d, "documents", "doc_id").select("doc_id", estimate_duration(word_count("text")).alias("minutes"))
 
 
 @query("plan_budget", r"""SELECT doc_id, words, need AS needed_words, words - need AS diff_words,
@@ -139,7 +139,7 @@ def _estimate_duration(spark, d):
     SELECT doc_id, n_chars,
       len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::BIGINT AS words FROM documents))""")
 def _plan_budget(spark, d):
-    docs = table(spark, d, "documents").select(
+    docs = texts(spark, d, "documents", "doc_id").select(
         "doc_id", word_count("text").cast("bigint").alias("words"), (1 + F.col("n_chars") % 5).alias("minutes"))
     return docs.select("doc_id", "words", *[
         c.alias(n) for n, c in plan_budget_columns("words", "minutes").items()])
@@ -155,7 +155,7 @@ def _scripts(spark, d):
     text = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
     text = F.replace(text, F.lit(", "), F.lit("\n---\n\n *** \n"))
     text = F.replace(text, F.lit(" of "), F.lit("\n=== Of\n"))
-    return table(spark, d, "documents").select(
+    return texts(spark, d, "documents", "doc_id").select(
         "doc_id", F.concat(F.lit("STORY: "), "source", F.lit("\n"), text).alias("text"))
 
 
@@ -193,14 +193,14 @@ def _split_stories(spark, d):
 @query("sentences", f"""WITH c AS (SELECT doc_id, {S.clean('text')} AS text FROM documents),
   {S.sentences('c', 'doc_id', 'text')} SELECT doc_id, k AS sent_idx, text FROM sent""")
 def _sentences(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", clean_text("text").alias("text"))
+    docs = texts(spark, d, "documents", "doc_id").select("doc_id", clean_text("text").alias("text"))
     return sentences(docs, ["doc_id"], "text")
 
 
 @query("sentences_conversations", f"""WITH c AS (SELECT conv_id, turn, {S.clean('text')} AS text FROM conversations),
   {S.sentences('c', 'conv_id, turn', 'text')} SELECT conv_id, turn, k AS sent_idx, text FROM sent""")
 def _sentences_conversations(spark, d):
-    turns = table(spark, d, "conversations").select("conv_id", "turn", clean_text("text").alias("text"))
+    turns = texts(spark, d, "conversations", "conv_id", "turn").select("conv_id", "turn", clean_text("text").alias("text"))
     return sentences(turns, ["conv_id", "turn"], "text")
 
 
@@ -222,7 +222,7 @@ def _caption_cards(spark, d):
 
 def conv_units(spark, d):
     """Speech units of conversations: a turn is a story of one paragraph."""
-    turns = table(spark, d, "conversations").select("conv_id", "turn", F.array("text").alias("paragraphs"))
+    turns = texts(spark, d, "conversations", "conv_id", "turn").select("conv_id", "turn", F.array("text").alias("paragraphs"))
     return units(turns, ["conv_id"], "turn").withColumn("nbytes", nbytes())
 
 
@@ -239,6 +239,6 @@ def _units(spark, d):
     array_to_string({S.cards('text')}, '|') AS cards,
     row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, p DESC) = 1 AS ends_story FROM part""")
 def _units_documents(spark, d):
-    stories = split_stories(table(spark, d, "documents"), ["doc_id"])
+    stories = split_stories(texts(spark, d, "documents", "doc_id"), ["doc_id"])
     return units(stories, ["doc_id"]).select("doc_id", "story_idx", "sent_idx", "text",
                                              F.array_join("groups", "|").alias("cards"), "ends_story")

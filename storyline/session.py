@@ -68,3 +68,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Give a scan with fewer partitions than cores enough of them.
+
+    Text work is narrow and heavy, so it runs only as wide as its input is split.
+    A large table has far more splits than there are cores and is returned as it
+    is; a file of one row group is shuffled once by ``cols``.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores, *cols)
