@@ -31,6 +31,10 @@ def running_before(df: DataFrame, keys: Sequence[str],
         *[expr.alias(n) for level, ns in zip(levels, names) for expr, n in zip(level, ns)],
         *[value.cast(kind).alias(parts[out]) for out, (value, kind) in sums.items()])
 
+    # the joins below would drop null positions anyway; said once here, all
+    # branches read the same rows
+    work = work.dropna(subset=[*keys, *[n for ns in names[:-1] for n in ns]])
+
     def path(depth: int) -> list[str]:
         return [*keys, *[n for ns in names[:depth] for n in ns]]
 
@@ -44,14 +48,19 @@ def running_before(df: DataFrame, keys: Sequence[str],
 
     def offsets(nodes: DataFrame, depth: int) -> DataFrame:
         """Offset of each block of this depth from the start of its key."""
-        local = nodes.select(*path(depth), *[
-            before(v, path(depth - 1), names[depth - 1]).alias(f"__off_{out}")
-            for out, v in parts.items()])
+        within = Window.partitionBy(*path(depth - 1))
+        placed = nodes.select(
+            *path(depth), F.row_number().over(within.orderBy(*names[depth - 1])).alias("__rn"),
+            *[before(v, path(depth - 1), names[depth - 1]).alias(f"__off_{o}") for o, v in parts.items()],
+            *[F.sum(v).over(within).alias(v) for v in parts.values()])
         if depth == 1:
-            return local
-        above = offsets(totals(nodes, depth - 1), depth - 1)
+            return placed.select(*path(depth), *[f"__off_{o}" for o in parts])
+        # the parents' totals come from the same sorted blocks as the offsets,
+        # so both branches can read one shuffle
+        parents = placed.filter("__rn = 1").select(*path(depth - 1), *parts.values())
+        above = offsets(parents, depth - 1)
         above = above.select(*path(depth - 1), *[F.col(f"__off_{o}").alias(f"__up_{o}") for o in parts])
-        return local.join(above, path(depth - 1)).select(
+        return placed.join(above, path(depth - 1)).select(
             *path(depth), *[(F.col(f"__off_{o}") + F.col(f"__up_{o}")).alias(f"__off_{o}") for o in parts])
 
     last = len(levels) - 1

@@ -57,6 +57,25 @@ def _story_texts(text: Column) -> Column:
     return F.slice(F.split(headed, _MARK), F.lit(2), F.lit(2**30))
 
 
+def _explode(df: DataFrame, keep: list, items: Column, pos: str, item: str) -> DataFrame:
+    """Items of an array with their positions, none for an empty array.
+
+    The outer form plus a filter: for the plain form Catalyst adds a filter on
+    the array's size and pushes it down, which computes the array twice.
+    """
+    rows = df.select(*keep, F.posexplode_outer(items).alias(pos, item))
+    return rows.filter(F.col(pos).isNotNull())
+
+
+def _once(df: DataFrame, keep: list, value: Column, name: str) -> DataFrame:
+    """A column that is computed once, however often it is used further up.
+
+    Catalyst copies a projected expression into each place that reads it; the
+    output of a generator stays what it is.
+    """
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
+
+
 def split_stories(df: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """``(id_cols, story_idx, title, paragraphs)``, one row per story."""
     def story(s: Column) -> Column:
@@ -67,13 +86,13 @@ def split_stories(df: DataFrame, id_cols: list[str], text_col: str = "text") ->
 
     found = F.filter(F.transform(_story_texts(F.col(text_col)), story),
                      lambda s: s.title.isNotNull() | (F.size(s.paragraphs) > 0))
-    return (df.select(*id_cols, F.posexplode(found).alias("story_idx", "s"))
-            .select(*id_cols, "story_idx", "s.title", "s.paragraphs"))
+    return _explode(df, id_cols, found, "story_idx", "s").select(
+        *id_cols, "story_idx", "s.title", "s.paragraphs")
 
 
 def sentences(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """``(keys, sent_idx, text)`` from a clean text."""
-    return df.select(*keys, F.posexplode(sentence_list(text_col)).alias("sent_idx", "text"))
+    return _explode(df, keys, sentence_list(text_col), "sent_idx", "text")
 
 
 def split_oversize(df: DataFrame, keys: list[str], col: str = "text",
@@ -81,25 +100,26 @@ def split_oversize(df: DataFrame, keys: list[str], col: str = "text",
                    max_chars: int = MAX_SENTENCE_CHARS) -> DataFrame:
     """``(keys, part_idx, text)``: each sentence cut to the limits."""
     parts = split_oversize_list(F.array(F.col(col)), max_words, max_chars)
-    return df.select(*keys, F.posexplode(parts).alias("part_idx", "text"))
+    return _explode(df, keys, parts, "part_idx", "text")
 
 
 def units(stories: DataFrame, keys: list[str], story_col: str = "story_idx",
           paragraphs_col: str = "paragraphs", nfkc_first: bool = True) -> DataFrame:
-    """Speech units of stories: ``(keys, story, sent_idx, text, groups, ends_story)``.
+    """Speech units of stories: ``(keys, story, sent_idx, text, groups, ends_story, n_cards)``.
 
-    Sentences are numbered through all paragraphs of a story.
+    Sentences are numbered through all paragraphs of a story.  ``n_cards`` lets
+    later steps count cards without reading them.
     """
     paragraphs = nfkc_each(paragraphs_col) if nfkc_first else F.col(paragraphs_col)
-    rows = stories.select(*keys, story_col, paragraphs.alias("__paragraphs"))
-    rows = rows.select(*keys, story_col, F.flatten(F.transform(
-        "__paragraphs", lambda p: sentence_list(tidy_text(p), normalised=True))).alias("__sentences"))
-    rows = rows.select(*keys, story_col, split_oversize_list("__sentences").alias("__units"))
-    rows = rows.select(*keys, story_col, F.size("__units").alias("__n"),
-                       F.posexplode("__units").alias("sent_idx", "text"))
-    return rows.select(*keys, story_col, "sent_idx", "text",
-                       caption_cards("text").alias("groups"),
+    keep = [*keys, story_col]
+    rows = stories.select(*keep, paragraphs.alias("__paragraphs"))
+    rows = _once(rows, keep, F.flatten(F.transform(
+        "__paragraphs", lambda p: sentence_list(tidy_text(p), normalised=True))), "__sentences")
+    rows = _once(rows, keep, split_oversize_list("__sentences"), "__units")
+    rows = _explode(rows, [*keep, F.size("__units").alias("__n")], F.col("__units"), "sent_idx", "text")
+    rows = rows.select(*keep, "sent_idx", "text", caption_cards("text", normalised=True).alias("groups"),
                        (F.col("sent_idx") == F.col("__n") - 1).alias("ends_story"))
+    return rows.withColumn("n_cards", F.size("groups"))
 
 
 def story_words(stories: DataFrame, keys: list[str],

@@ -25,10 +25,9 @@ def progress(phases: DataFrame, segments: DataFrame, keys: Sequence[str]) -> Dat
         F.sum("n").alias("segments_total"),
         F.sum(F.when(F.col("state") == "done", F.col("n")).otherwise(0)).alias("__done"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("state", "n")))).alias("segments"))
-    done = phases.filter(F.coalesce("done", F.lit(False))).select(*keys, "phase").distinct()
-    done = done.groupBy(*keys).agg(F.array_sort(F.collect_list("phase")).alias("phases_done"))
-    jobs = phases.select(*keys).unionByName(segments.select(*keys)).distinct()
-    both = jobs.join(counts, keys, "left").join(done, keys, "left")
+    done = phases.groupBy(*keys).agg(F.array_sort(F.collect_set(
+        F.when(F.coalesce("done", F.lit(False)), F.col("phase")))).alias("phases_done"))
+    both = done.join(counts, keys, "full")
     finished = F.coalesce(F.array_contains("phases_done", "concat"), F.lit(False))
     share = (F.when(finished, F.lit(1.0))
              .when(F.coalesce("segments_total", F.lit(0)) > 0, F.col("__done") / F.col("segments_total"))

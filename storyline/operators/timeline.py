@@ -41,7 +41,7 @@ def timeline_chunks(units: DataFrame, keys: Sequence[str],
         rows, keys,
         [*blocks_of(story, *STORY_BLOCKS), [story, sent]],
         {"__t": (nbytes + F.col("silence_after_ms") * BYTES_PER_MS, "bigint"),
-         "first_event": (F.size("groups"), "bigint"),
+         "first_event": (F.col("n_cards") if "n_cards" in units.columns else F.size("groups"), "bigint"),
          "i": (F.lit(1), "bigint")})
     t0 = F.col("__t") + PREROLL_MS * BYTES_PER_MS
     return placed.select(
