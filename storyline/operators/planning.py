@@ -314,7 +314,9 @@ def plan_scenes(segments: DataFrame, pool: DataFrame, keys: Sequence[str],
       chunks alternate between two halves;
     * more: hashed buckets of about 1,024 clips, a new one for every chunk.
 
-    Only a pool whose size has been checked is handed to the tasks.
+    The cut holds because a chunk has at least six scenes (sixteen segments, each
+    with one or more).  Only a pool whose size has been checked is handed to the
+    tasks.
     """
     keys = list(keys)
     usable = pool.filter(F.col("path").isNotNull() & (F.col("path") != "")).select(

@@ -28,17 +28,20 @@ def dialogue_line(effect: str = "", style: str = "Narr"):
 
 def write_captions(df: DataFrame, path: str, header: str = CAPTION_HEADER, title: str = "captions",
                    keys: Sequence[str] = ("job_id",), seg_col: str = "seg_idx", effect: str = "",
-                   partitions: int | None = None) -> int:
+                   partitions: int | None = None, segments: DataFrame | None = None) -> int:
     """One text file per (job, segment); returns the number of dialogue lines.
 
-    ``df`` holds events already clipped to their segment.  All lines of a file
+    ``df`` holds events already clipped to their segment.  With ``segments(keys,
+    idx)`` a segment without events gets a file too, and ``df`` is read once.  All lines of a file
     meet in one task by (job, segment), so a long job spreads over its segments.
     """
     group = [*keys, seg_col]
     seen = Observation()
     lines = df.select(*group, F.lit(1).alias("__o"), F.col("id").cast("bigint").alias("__id"),
                       dialogue_line(effect).alias("value")).observe(seen, F.count(F.lit(1)).alias("n"))
-    heads = df.select(*group).distinct().select(
+    named = (df.select(*group).distinct() if segments is None
+             else segments.select(*keys, F.col("idx").alias(seg_col)))
+    heads = named.select(
         *group, F.lit(0).alias("__o"), F.lit(-1).cast("bigint").alias("__id"),
         F.lit(header.replace("{title}", title.replace("\n", " "))).alias("value"))
     both = lines.unionByName(heads)
