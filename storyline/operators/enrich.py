@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
 
+from ..session import cut_lineage
+
 # Fixed values (must equal the reference's).
 ATTEMPTS = 6
 FIRST_DELAY_S = 1.0
@@ -50,7 +52,8 @@ def read_cache(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 def cached_enrich(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFrame],
                   schema: str | T.StructType, cache_path: str, concurrency: int | None = None,
                   inputs: Sequence[str] = (), ord: Sequence[str] = (), attempts: int = ATTEMPTS,
-                  first_delay_s: float = FIRST_DELAY_S, batch_rows: int = 64) -> DataFrame:
+                  first_delay_s: float = FIRST_DELAY_S, batch_rows: int = 64,
+                  stage: bool = True) -> DataFrame:
     """Add ``fn``'s columns and ``was_cached`` to every row.
 
     ``fn`` gets pandas batches with ``key`` and ``inputs`` and returns one row
@@ -59,8 +62,13 @@ def cached_enrich(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataF
     cache (a parquet folder) by Spark's committer and joined back to all rows.
     ``concurrency`` bounds the number of simultaneous calls.  ``was_cached`` is
     false for the first row (by ``ord``) of a key that had to be computed.
+
+    ``df`` is read twice, for its keys and for the result; ``stage`` writes it
+    once before that.  Leave it off when ``df`` is a stored table.
     """
     spark = df.sparkSession
+    if stage:
+        df = cut_lineage(df)
     added = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     order = F.struct(*ord) if ord else F.struct(F.lit(0).alias("o"))
     # "first_row" names the row that caused the call

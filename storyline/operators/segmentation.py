@@ -25,38 +25,6 @@ def min_text_filter(df: DataFrame, text_col: str, n: int = MIN_SCRIPT_CHARS) ->
     return df.filter(F.length(trim_ws(text_col)) >= n)
 
 
-def _story_texts(text: Column) -> Column:
-    """Array of story texts; each is a title line (maybe empty) and the body.
-
-    Every line becomes one letter: ``b`` blank, ``t`` text, ``d`` bare
-    delimiter, ``T`` titled delimiter.  A bare delimiter with no text between
-    it and the start of its story is itself text; one replacement over the
-    letters settles that for the whole file, because the letters between two
-    such places can only be ``b`` and ``t``.
-    """
-    lines = F.split(F.translate(text, _MARK, ""), "\n")
-
-    def letter(line: Column) -> Column:
-        titled = trim_ws(F.regexp_extract(line, _DELIMITER, 1)) != ""
-        return (F.when(line.rlike(_BLANK), "b")
-                .when(line.rlike(_DELIMITER), F.when(titled, "T").otherwise("d"))
-                .otherwise("t"))
-
-    letters = F.regexp_replace(F.array_join(F.transform(lines, letter), ""),
-                               r"(\Ab*|[Td]b*)d", "$1t")
-
-    def render(line: Column, kind: Column) -> Column:
-        title = trim_ws(F.regexp_extract(line, _DELIMITER, 1))
-        return (F.when(kind == "b", "").when(kind == "t", line)
-                .when(kind == "T", F.concat(F.lit(_MARK), title))
-                .when(kind == "d", F.lit(_MARK)))
-
-    body = F.array_join(F.zip_with(lines, F.split(letters, ""), render), "\n")
-    # text before the first delimiter has no title line of its own
-    headed = F.when(letters.rlike(r"\A[Td]"), body).otherwise(F.concat(F.lit(_MARK + "\n"), body))
-    return F.slice(F.split(headed, _MARK), F.lit(2), F.lit(2**30))
-
-
 def _explode(df: DataFrame, keep: list, items: Column, pos: str, item: str) -> DataFrame:
     """Items of an array with their positions, none for an empty array.
 
@@ -76,17 +44,49 @@ def _once(df: DataFrame, keep: list, value: Column, name: str) -> DataFrame:
     return df.select(*keep, F.explode(F.array(value)).alias(name))
 
 
+def _title(line: Column) -> Column:
+    return trim_ws(F.regexp_extract(line, _DELIMITER, 1))
+
+
+def _letter(line: Column) -> Column:
+    """``b`` blank, ``t`` text, ``d`` bare delimiter, ``T`` titled delimiter."""
+    return (F.when(line.rlike(_BLANK), "b")
+            .when(line.rlike(_DELIMITER), F.when(_title(line) != "", "T").otherwise("d"))
+            .otherwise("t"))
+
+
+def _rendered(line: Column, kind: Column) -> Column:
+    return (F.when(kind == "b", "").when(kind == "t", line)
+            .when(kind == "T", F.concat(F.lit(_MARK), _title(line))).when(kind == "d", F.lit(_MARK)))
+
+
 def split_stories(df: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """``(id_cols, story_idx, title, paragraphs)``, one row per story."""
+    """``(id_cols, story_idx, title, paragraphs)``, one row per story.
+
+    Every line becomes one letter.  A bare delimiter with no text between it and
+    the start of its story is itself text; one replacement over the letters
+    settles that for the whole file, because the letters between two such places
+    can only be ``b`` and ``t``.  Then each story is a title line (maybe empty)
+    and its body, behind a mark.
+    """
+    rows = _once(df, id_cols, F.split(F.translate(text_col, _MARK, ""), "\n"), "__lines")
+    letters = F.regexp_replace(F.array_join(F.transform("__lines", _letter), ""),
+                               r"(\Ab*|[Td]b*)d", "$1t")
+    rows = _once(rows, [*id_cols, "__lines"], letters, "__letters")
+    body = F.array_join(F.zip_with("__lines", F.split("__letters", ""), _rendered), "\n")
+    # text before the first delimiter has no title line of its own
+    head = F.when(F.col("__letters").rlike(r"\A[Td]"), "").otherwise(_MARK + "\n")
+    texts = F.slice(F.split(F.concat(head, body), _MARK), F.lit(2), F.lit(2**30))
+
     def story(s: Column) -> Column:
         title = F.regexp_extract(s, r"\A([^\n]*)", 1)
         body = F.regexp_replace(s, r"\A[^\n]*", "")
         paragraphs = F.filter(F.transform(F.split(body, r"\n{2,}"), trim_ws), lambda p: p != "")
         return F.struct(F.nullif(title, F.lit("")).alias("title"), paragraphs.alias("paragraphs"))
 
-    found = F.filter(F.transform(_story_texts(F.col(text_col)), story),
+    found = F.filter(F.transform(texts, story),
                      lambda s: s.title.isNotNull() | (F.size(s.paragraphs) > 0))
-    return _explode(df, id_cols, found, "story_idx", "s").select(
+    return _explode(rows, id_cols, found, "story_idx", "s").select(
         *id_cols, "story_idx", "s.title", "s.paragraphs")
 
 

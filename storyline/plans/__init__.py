@@ -29,8 +29,8 @@ def build_timeline(spark: SparkSession, paths: str | Sequence[str], synthesise:
     """Scripts to stored chunks and events.
 
     ``synthesise(batch)`` gets ``sha`` and ``text`` and returns ``sha`` and
-    ``nbytes``.  Each script is a job.  The enriched units come from the cache
-    table and the timeline is written once, so nothing expensive runs twice.
+    ``nbytes``.  Each script is a job.  Units, chunks and events are stored as
+    they are made, so the text work and the joins each run once.
     """
     scripts = read_scripts(spark, paths)
     stories = split_stories(scripts, ["script_id"])
@@ -38,10 +38,9 @@ def build_timeline(spark: SparkSession, paths: str | Sequence[str], synthesise:
     rows = rows.withColumn("sha", content_key("text", F.lit(voice), F.lit(speed)))
     rows = cached_enrich(rows, "sha", synthesise, "nbytes bigint", cache_path, concurrency,
                          inputs=["text"], ord=["script_id", "story_idx", "sent_idx"])
-    chunks = timeline_chunks(rows, ["script_id"])
-    write_timeline(chunks, card_events(chunks, ["script_id"]), out_path)
-    chunks = spark.read.parquet(f"{out_path}/chunks")
-    events = spark.read.parquet(f"{out_path}/events")
+    rows.write.mode("overwrite").parquet(f"{out_path}/units")
+    chunks = timeline_chunks(spark.read.parquet(f"{out_path}/units"), ["script_id"])
+    chunks, events = write_timeline(chunks, lambda stored: card_events(stored, ["script_id"]), out_path)
     return Timeline(stories, chunks, events, job_summary(chunks, events, ["script_id"]))
 
 

@@ -50,11 +50,12 @@ _SEGS_SQL = """sg AS (SELECT l_orderkey AS job, l_linenumber AS idx, sum(l_quant
 
 
 def _segments(spark, d):
-    status = F.max("l_linestatus")
+    open_lines = F.count_if(F.col("l_linestatus") == "O")
+    returned = F.count_if(F.col("l_returnflag") == "R")
     return table(spark, d, "lineitem").groupBy(
         F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("idx")).agg(
         F.sum("l_quantity").alias("dur_s"),
-        F.when(status == "F", "done").when(F.max("l_returnflag") == "R", None).otherwise("rendering").alias("state"),
+        F.when(open_lines == 0, "done").when(returned > 0, None).otherwise("rendering").alias("state"),
         F.when(F.max("l_discount") > 0.02, F.concat(F.lit("seg/"), F.min("l_partkey").cast("string"))).alias("path"))
 
 

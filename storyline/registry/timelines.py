@@ -1,8 +1,6 @@
 """Checked queries: clock, events, segments, scenes, captions."""
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from ..operators import (assign_round_robin, boundary_snap, card_events, clean_suffix_start,
@@ -28,14 +26,14 @@ def conv_events(spark, d):
 
 
 def _timeline(spark, d):
-    chunks = conv_chunks(spark, d)
+    chunks = cut_lineage(conv_chunks(spark, d))
     events = card_events(chunks, JOB, "turn")
     return chunks, events, job_summary(chunks, events, JOB)
 
 
 def conv_segments(spark, d):
     """Stored events of conversations, and their segments."""
-    chunks = conv_chunks(spark, d)
+    chunks = cut_lineage(conv_chunks(spark, d))
     events = cut_lineage(card_events(chunks, JOB, "turn"))
     totals = job_summary(chunks, events, JOB)
     return events, totals, plan_segments(events, totals, JOB, SEG_MAX_S, stage=False)
@@ -70,13 +68,10 @@ def _job_summary(spark, d):
   SELECT conv_id, count(*) AS events, max(t1_ms) AS last_ms,
     (SELECT count(*) FROM ch WHERE ch.conv_id = ev.conv_id) AS chunks FROM ev GROUP BY conv_id""")
 def _write_timeline(spark, d):
-    chunks = conv_chunks(spark, d)
-    path = scratch_path(spark, "timeline")
-    write_timeline(chunks, card_events(chunks, JOB, "turn"), path)
-    events = spark.read.parquet(os.path.join(path, "events")).groupBy(*JOB).agg(
-        F.count(F.lit(1)).alias("events"), F.max("t1_ms").alias("last_ms"))
-    stored = spark.read.parquet(os.path.join(path, "chunks")).groupBy(*JOB).agg(F.count(F.lit(1)).alias("chunks"))
-    return events.join(stored, JOB)
+    chunks, events = write_timeline(conv_chunks(spark, d), lambda stored: card_events(stored, JOB, "turn"),
+                                    scratch_path(spark, "timeline"))
+    events = events.groupBy(*JOB).agg(F.count(F.lit(1)).alias("events"), F.max("t1_ms").alias("last_ms"))
+    return events.join(chunks.groupBy(*JOB).agg(F.count(F.lit(1)).alias("chunks")), JOB)
 
 
 @query("plan_segments", f"""WITH RECURSIVE {S.conv_segments(SEG_MAX_S * 1000)}

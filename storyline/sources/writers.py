@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
@@ -51,7 +51,16 @@ def write_captions(df: DataFrame, path: str, header: str = CAPTION_HEADER, title
     return int(seen.get["n"])
 
 
-def write_timeline(chunks: DataFrame, events: DataFrame, path: str) -> None:
-    """Chunks and events as parquet; readers see the old table or the new one."""
+def write_timeline(chunks: DataFrame, events: DataFrame | Callable[[DataFrame], DataFrame],
+                   path: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks and events as parquet; returns the stored tables.
+
+    ``events`` may be a function of the stored chunks, so that these are not
+    worked out a second time.  Readers see the old table or the new one.
+    """
+    spark = chunks.sparkSession
     chunks.write.mode("overwrite").parquet(os.path.join(path, "chunks"))
-    events.write.mode("overwrite").parquet(os.path.join(path, "events"))
+    stored = spark.read.parquet(os.path.join(path, "chunks"))
+    rows = events(stored) if callable(events) else events
+    rows.write.mode("overwrite").parquet(os.path.join(path, "events"))
+    return stored, spark.read.parquet(os.path.join(path, "events"))
