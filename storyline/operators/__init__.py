@@ -8,7 +8,7 @@ from .planning import assign_round_robin, plan_scenes, plan_segments
 from .quality import (conservation_check, contract_violations, duration_check, job_problems,
                       job_report, segment_problems)
 from .running import blocks_of, running_before
-from .segmentation import (min_text_filter, sentences, split_oversize, split_stories,
+from .segmentation import (min_text_filter, plan_budget, sentences, split_oversize, split_stories,
                            story_words, units)
 from .shapes import clean_suffix_start, sample_times, shape_classify
 from .state import job_board, progress, resume_filter, status_counts

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.scalars import WORDS_PER_MINUTE, plan_budget_columns
 from ..functions.text import (MAX_SENTENCE_CHARS, MAX_SENTENCE_WORDS, WS,
                               caption_cards, nfkc_each, sentence_list,
                               split_oversize_list, tidy_text, trim_ws, word_count)
@@ -127,3 +128,12 @@ def story_words(stories: DataFrame, keys: list[str],
     """Word count per story; sums of it are the count per job."""
     words = F.aggregate(F.transform(paragraphs_col, word_count), F.lit(0), lambda a, n: a + n)
     return stories.select(*keys, words.alias("words"))
+
+
+def plan_budget(df: DataFrame, target_min, words_col: str = "words",
+                wpm: float = WORDS_PER_MINUTE) -> DataFrame:
+    """Adds needed words, difference and band for a target length in minutes.
+
+    ``target_min`` is a number or a column.
+    """
+    return df.withColumns(plan_budget_columns(words_col, target_min, wpm))

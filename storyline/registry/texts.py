@@ -4,9 +4,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import (caption_cards, clean_text, content_key, escape_caption, estimate_duration,
-                         gain_db, hms, last_match, params_hash, plan_budget_columns, shard_path,
+                         gain_db, hms, last_match, params_hash, shard_path,
                          stamp_cs, bytes_to_ms, exceeds_cap, word_count)
-from ..operators import (contract_violations, min_text_filter, sentences, split_oversize,
+from ..operators import (contract_violations, min_text_filter, plan_budget, sentences, split_oversize,
                          split_stories, units)
 from .base import nbytes, query, table, texts
 from . import sql as S
@@ -141,8 +141,7 @@ def _estimate_duration(spark, d):
 def _plan_budget(spark, d):
     docs = texts(spark, d, "documents", "doc_id").select(
         "doc_id", word_count("text").cast("bigint").alias("words"), (1 + F.col("n_chars") % 5).alias("minutes"))
-    return docs.select("doc_id", "words", *[
-        c.alias(n) for n, c in plan_budget_columns("words", "minutes").items()])
+    return plan_budget(docs, "minutes").drop("minutes")
 
 
 # Documents have no delimiter lines of their own: lists become bare delimiters

@@ -24,12 +24,21 @@ def stream_tail(spark: SparkSession, path: str, max_bytes: int = TAIL_BYTES) ->
 
 
 def stream_first_seen(stream: DataFrame, key: str, ts: str | None = None,
-                      watermark: str | None = None) -> DataFrame:
+                      watermark: str | None = None, thin: bool = True) -> DataFrame:
     """First row per key over all batches.
 
     Without a watermark the state keeps every key for ever.  With one, a key is
     forgotten once it is older than the watermark allows.
+
+    ``thin`` drops repeats inside each Arrow batch where the rows lie, so that a
+    key with a large share of the stream does not send all its rows to the one
+    task that holds its state.
     """
+    if thin:
+        def repeats(batches):
+            for batch in batches:
+                yield batch.drop_duplicates(subset=[key])
+        stream = stream.mapInPandas(repeats, stream.schema)
     if watermark and ts:
         return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
     return stream.dropDuplicates([key])
