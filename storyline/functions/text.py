@@ -57,7 +57,8 @@ def _col(c) -> Column:
 
 
 def trim_ws(text) -> Column:
-    return F.regexp_replace(_col(text), rf"\A[{WS}]+|[{WS}]+\z", "")
+    # the look-behind lets a long inner run of blanks be tried once, not from each blank
+    return F.regexp_replace(_col(text), rf"\A[{WS}]++|(?<![{WS}])[{WS}]++\z", "")
 
 
 def words_of(text) -> Column:

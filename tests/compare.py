@@ -43,6 +43,10 @@ def compare(name, fn, sql, spark, sf_dir, con) -> tuple[bool, str]:
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     spent = time.time() - started
     note = f"{sum(got.values())} rows, {spent:.1f}s"
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for bad in ("NestedLoop", "CartesianProduct", "Exchange SinglePartition"):
+        if bad in plan:
+            return False, f"{note}: {bad} in the plan"
     if sql is None:
         return True, note + ", rows only"
     started = time.time()
