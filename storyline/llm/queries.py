@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .fingerprints import edited_fingerprints
+from .jaccard import jaccard_classes
 from .toxicity import learn_toxicity, with_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +37,8 @@ def op9_toxicity(spark, sf_dir):
     model = learn_toxicity(docs, table(spark, sf_dir, "labels"), eligible=fold != 0)
     return with_toxicity(docs, model, out="score").select(
         "doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_classes(table(spark, sf_dir, "documents"))
