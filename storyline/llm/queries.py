@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .fingerprints import edited_fingerprints
 from .jaccard import jaccard_classes
+from .suffixes import remove_repeated_bytes
 from .toxicity import learn_toxicity, with_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +43,10 @@ def op9_toxicity(spark, sf_dir):
 @query
 def op10_jaccard_join(spark, sf_dir):
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_suffix_array(spark, sf_dir):
+    return remove_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"),
+        F.col("__n_spans").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
