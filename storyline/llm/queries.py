@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .fingerprints import edited_fingerprints
 from .jaccard import jaccard_classes
 from .suffixes import remove_repeated_bytes
+from .superkmers import remove_repeated_words
 from .toxicity import learn_toxicity, with_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +51,10 @@ def op2_suffix_array(spark, sf_dir):
     return remove_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"),
         F.col("__n_spans").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_super_kmers(spark, sf_dir):
+    return remove_repeated_words(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"),
+        F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"))
