@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
+from .repeats import passing
 from .rows import IdFilter, components, shuffle_width
 from .words import bytes_of, join_hashes, mix, packed, ranges, slices, split_words, u64
 
@@ -339,19 +340,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(_linked(percent), "a long, b long"))
 
 
-def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
-                    percent: int = 80) -> DataFrame:
-    """``(key, n_shingles, component_id)`` for every row: the least key reachable by links."""
-    work = docs.select(F.col(key).cast("long").alias("__key"), F.coalesce(text, F.lit("")).alias("__text"))
+def _classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """(__key, __rid, n_shingles, root) of every row; rows with one root are linked.  Without a set: no root."""
+    work = docs.select(F.xxhash64(F.col(key), F.coalesce(text, F.lit(""))).alias("__rid"),
+                       F.col(key).cast("long").alias("__key"), F.coalesce(text, F.lit("")).alias("__text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
             values, first = shingles(*bytes_of(batch.column("__text")), n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__key"), pa.array(_nodes(values, first)), pa.array(np.diff(first))],
-                names=["__key", "node", "n_shingles"])
+                [batch.column("__rid"), batch.column("__key"), pa.array(_nodes(values, first)), pa.array(np.diff(first))],
+                names=["__rid", "__key", "node", "n_shingles"])
 
-    rows = cut_lineage(work.mapInArrow(describe, "__key long, node long, n_shingles long"))
+    rows = cut_lineage(work.mapInArrow(describe, "__rid long, __key long, node long, n_shingles long"))
     hot = _hot_shingles(work, "__text", n)
     width = shuffle_width(docs.sparkSession)
     found = cut_lineage(
@@ -372,13 +373,42 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
             .mapInArrow(_pairs_of(percent, True), _PAIR).select("a", "b").distinct())
         more = cut_lineage(_check(work, rows, rest, n, percent))
         classes = components(links.union(more))
-    named = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("__key").alias("least"))
-    named = named.join(classes, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    reached = named.join(least, "root").select("node", "component_id")
-    return rows.join(reached, "node", "left").select(
+    named = rows.filter("n_shingles > 0").join(classes, "node", "left").select(
+        "__key", "__rid", "n_shingles", F.coalesce("root", "node").alias("root"))
+    return named.union(rows.filter("n_shingles = 0").select(
+        "__key", "__rid", "n_shingles", F.lit(None).cast("long").alias("root")))
+
+
+def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
+                    percent: int = 80) -> DataFrame:
+    """``(key, n_shingles, component_id)`` for every row: the least key reachable by links."""
+    named = _classes(docs, key, text, n, percent)
+    least = named.filter("root is not null").groupBy("root").agg(F.min("__key").alias("component_id"))
+    return named.join(least, "root", "left").select(
         F.col("__key").alias(key), "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("__key")).alias("component_id"))
+        F.when(F.col("root").isNull(), F.col("__key")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
+                     percent: int = 80) -> DataFrame:
+    """All columns; of linked rows only the one with the least key (null last), of repeated rows one.
+
+    Rows without words are linked with nothing and stay.
+    """
+    named = cut_lineage(_classes(docs, key, text, n, percent).filter("root is not null"))
+    first = named.groupBy("root").agg(F.min(F.struct(
+        F.coalesce("__key", F.lit((1 << 63) - 1)).alias("k"), F.col("__rid").alias("rid"))).alias("first"))
+    judged = named.groupBy("root", "__rid").agg(F.count("*").alias("times")).join(first, "root")
+    # rows to look at: those that go, and the repeats of one that stays
+    doubtful = cut_lineage(judged.select("__rid", (F.col("__rid") == F.col("first.rid")).alias("stays"), "times")
+                           .filter("not stays or times > 1"))
+    tagged = docs.withColumn("__rid", F.xxhash64(F.col(key), F.coalesce(text, F.lit("")))).withColumn(
+        "__slot", IdFilter.slot("__rid"))
+    wanted = IdFilter(doubtful, "__rid")
+    clear = passing(tagged, wanted, False).select(*docs.columns)
+    hit = passing(tagged, wanted, True).join(doubtful, "__rid", "left")
+    once = hit.filter("stays").dropDuplicates(["__rid"]).select(*docs.columns)
+    return clear.union(hit.filter("stays is null").select(*docs.columns)).union(once)
 
 
 def _check(work: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:

@@ -8,8 +8,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .decontamination import find_leaks
 from .fingerprints import edited_fingerprints
 from .jaccard import jaccard_classes
+from .packing import pack_documents
 from .suffixes import remove_repeated_bytes
 from .superkmers import remove_repeated_words
 from .toxicity import learn_toxicity, with_toxicity
@@ -58,3 +60,13 @@ def op3_super_kmers(spark, sf_dir):
     return remove_repeated_words(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"),
         F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op1_decontamination(spark, sf_dir):
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_best_fit(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"))

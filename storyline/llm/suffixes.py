@@ -203,13 +203,15 @@ def _resolve(shape: Shape):
     return emit
 
 
-def remove_repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400,
+                          as_text: bool = False) -> DataFrame:
     """All rows and columns, and what is left of each text without repeated bytes.
 
     Removes every byte covered by a string of ``length`` bytes that also starts
     anywhere else, in the same text or another.  Adds ``__kept`` (binary; cuts may
     split a character), ``__n_bytes``, ``__n_removed`` and ``__n_spans`` (maximal
-    removed runs).  Null counts as empty; shorter texts are kept whole; repeated
+    removed runs).  With ``as_text`` the kept bytes are a string instead, without the
+    parts of characters that were cut.  Null counts as empty; shorter texts are kept whole; repeated
     rows are repeats of each other.
     """
     shape, width = Shape(length), shuffle_width(docs.sparkSession)
@@ -241,11 +243,11 @@ def remove_repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "tex
                 runs.append(len(start))
             else:
                 runs.append(0)
-            kept.append(body.tobytes())
+            kept.append(body.tobytes().decode(errors="ignore") if as_text else body.tobytes())
             removed.append(int(offsets[t + 1] - offsets[t]) - len(body))
-        return [pa.array(kept, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()),
+        return [pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()),
                 pa.array(runs, pa.int64())]
 
     return R.cut_spans(docs, key, text, spans, cut, [
-        T.StructField("__kept", T.BinaryType()), T.StructField("__n_bytes", T.LongType()),
+        T.StructField("__kept", T.StringType() if as_text else T.BinaryType()), T.StructField("__n_bytes", T.LongType()),
         T.StructField("__n_removed", T.LongType()), T.StructField("__n_spans", T.LongType())])
