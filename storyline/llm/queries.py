@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontamination import find_leaks
@@ -14,6 +15,7 @@ from .jaccard import jaccard_classes
 from .packing import pack_documents
 from .suffixes import remove_repeated_bytes
 from .superkmers import remove_repeated_words
+from .token_ids import check_sums, token_folder, write_token_files
 from .toxicity import learn_toxicity, with_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +72,10 @@ def op1_decontamination(spark, sf_dir):
 @query
 def op8_best_fit(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_token_ids(spark, sf_dir):
+    files = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                              token_folder(spark))
+    return check_sums(files)
