@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .decontamination import find_leaks
 from .fingerprints import edited_fingerprints
 from .jaccard import jaccard_classes
+from .language_model import score_texts, train
 from .packing import pack_documents
 from .suffixes import remove_repeated_bytes
 from .superkmers import remove_repeated_words
@@ -79,3 +80,12 @@ def op4_token_ids(spark, sf_dir):
     files = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                               token_folder(spark))
     return check_sums(files)
+
+
+@query
+def op6_language_model(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    model = train(docs.filter(F.coalesce(~held_out, F.lit(True))))
+    return score_texts(docs, model).withColumn("held_out", held_out).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
