@@ -14,6 +14,7 @@ from .fingerprints import edited_fingerprints
 from .jaccard import jaccard_classes
 from .language_model import score_texts, train
 from .packing import pack_documents
+from .quality import classified, learn_quality
 from .suffixes import remove_repeated_bytes
 from .superkmers import remove_repeated_words
 from .token_ids import check_sums, token_folder, write_token_files
@@ -89,3 +90,12 @@ def op6_language_model(spark, sf_dir):
     model = train(docs.filter(F.coalesce(~held_out, F.lit(True))))
     return score_texts(docs, model).withColumn("held_out", held_out).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op5_quality(spark, sf_dir):
+    """The documents kept, with their perplexity."""
+    docs = table(spark, sf_dir, "documents")
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
+    return classified(docs, learn_quality(docs, trusted)).filter("__keep").select(
+        "doc_id", "lang", F.col("__perplexity").alias("perplexity"), F.col("__keep").alias("keep"))
