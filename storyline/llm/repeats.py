@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .rows import IdFilter
-from .words import ranges
+from .words import mix, ranges
 
 GROUP_ROWS = 1 << 13
 _ORDER = np.uint64(0xFFFFFFFF00000000)
@@ -89,14 +89,30 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = GROUP_
         yield pa.Table.from_batches(kept)
 
 
+def probes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys to shuffle the anchors of a batch by, and whether each is known to be repeated.
+
+    Of equal keys in the batch one travels to its group; the others are known and
+    go anywhere.  So a key that very many rows have comes once from each batch.
+    """
+    order = np.argsort(key, kind="stable")
+    same = np.zeros(len(key) + 1, bool)
+    same[1:-1] = key[order[1:]] == key[order[:-1]]
+    known, later = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    known[order], later[order] = same[1:] | same[:-1], same[:-1]
+    anywhere = mix(key ^ mix(np.arange(1, len(key) + 1, dtype=np.uint64)))
+    return np.where(later, anywhere, key), known
+
+
 def repeated(anchors: DataFrame, key: str, width: int) -> DataFrame:
-    """The anchors whose ``key`` occurs more than once."""
+    """The anchors whose ``key`` occurs more than once, or that are ``known`` to be repeated."""
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, key, 1 << 17):
             keys = table.column(key).to_numpy()
             same = np.zeros(len(keys) + 1, bool)
             same[1:-1] = keys[1:] == keys[:-1]
-            yield from table.filter(pa.array(same[1:] | same[:-1])).combine_chunks().to_batches()
+            same = same[1:] | same[:-1] | table.column("known").to_numpy(zero_copy_only=False)
+            yield from table.filter(pa.array(same)).combine_chunks().to_batches()
 
     return anchors.repartition(width, key).sortWithinPartitions(key).mapInArrow(pick, anchors.schema)
 

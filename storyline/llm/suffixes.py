@@ -69,10 +69,11 @@ def _anchors(shape: Shape):
             eights = _eights(data)
             places = R.least_places(mix(eights[:-1]), shape.width)
             text, x, before, least = R.runs_of_anchors(places, offsets[:-1], windows)
+            content, known = R.probes(_content(eights, x, shape.fixed))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_content(eights, x, shape.fixed).view(np.int64)), batch.column("__rid").take(pa.array(text)),
-                 pa.array(R.pack_anchor(x - offsets[text], before, least)), pa.array(_lead(eights, x))],
-                names=["content", "__rid", "anchor", "lead"])
+                [pa.array(content.view(np.int64)), batch.column("__rid").take(pa.array(text)),
+                 pa.array(R.pack_anchor(x - offsets[text], before, least)), pa.array(_lead(eights, x)), pa.array(known)],
+                names=["content", "__rid", "anchor", "lead", "known"])
     return emit
 
 
@@ -217,7 +218,7 @@ def remove_repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "tex
     shape, width = Shape(length), shuffle_width(docs.sparkSession)
     work = R.identified(docs, key, text)
     anchors = work.select("__rid", "__text").mapInArrow(
-        _anchors(shape), "content long, __rid long, anchor long, lead long")
+        _anchors(shape), "content long, __rid long, anchor long, lead long, known boolean")
     found = cut_lineage(R.repeated(anchors, "content", width).select("__rid", "anchor", "lead"))
     n = 2 * width
     splits = found.agg(F.percentile_approx("lead", [(i + 1) / n for i in range(n - 1)], 10 * n)).first()[0] or []

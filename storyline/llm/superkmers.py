@@ -41,9 +41,11 @@ def _minimisers(window: int):
             hashes = join_hashes(words.hashes(), _MINIMISER)
             places = R.least_places(hashes, window - _MINIMISER + 1)
             text, x, before, least = R.runs_of_anchors(places, words.first[:-1], count)
+            minimiser, known = R.probes(hashes[x])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[x].view(np.int64)), batch.column("__rid").take(pa.array(text)),
-                 pa.array(R.pack_anchor(x - words.first[text], before, least))], names=["minimiser", "__rid", "anchor"])
+                [pa.array(minimiser.view(np.int64)), batch.column("__rid").take(pa.array(text)),
+                 pa.array(R.pack_anchor(x - words.first[text], before, least)), pa.array(known)],
+                names=["minimiser", "__rid", "anchor", "known"])
     return emit
 
 
@@ -142,7 +144,7 @@ def remove_repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "tex
     """
     width = shuffle_width(docs.sparkSession)
     work = R.identified(docs, key, text)
-    rows = work.select("__rid", "__text").mapInArrow(_minimisers(window), "minimiser long, __rid long, anchor long")
+    rows = work.select("__rid", "__text").mapInArrow(_minimisers(window), "minimiser long, __rid long, anchor long, known boolean")
     found = cut_lineage(R.repeated(rows, "minimiser", width).select("__rid", "anchor"))
     wanted = IdFilter(found.select("__rid").distinct(), "__rid")
     per_row = found.groupBy("__rid").agg(F.collect_set("anchor").alias("anchors"))
