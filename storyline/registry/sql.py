@@ -134,3 +134,8 @@ seg AS (SELECT w.conv_id, w.idx, w.t0 AS t0_ms, coalesce(e.t1_ms, tot.total_ms)
   LEFT JOIN ev f ON f.conv_id = w.conv_id AND f.id = w.p + 1
   LEFT JOIN ev l ON l.conv_id = w.conv_id AND l.id = w.p
   WHERE w.t0 < tot.total_ms - 1)"""
+
+
+def draw(text: str) -> str:
+    """A whole number below 2**32: the first eight hex digits of a hash."""
+    return f"('0x' || substr(sha256({text}), 1, 8))::BIGINT"

@@ -1,7 +1,7 @@
 """Checked queries: clock, events, segments, scenes, captions."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..operators import (assign_round_robin, boundary_snap, card_events, clean_suffix_start,
                          conservation_check, job_summary, overlap_clip, plan_scenes,
@@ -182,27 +182,57 @@ def _scenes(spark, d):
     return plan_scenes(conv_segments(spark, d)[2], _pool(spark, d), JOB)
 
 
-@query("plan_scenes")
+_SCENES = f"""{S.conv_segments(SEG_MAX_S * 1000)},
+  clip AS (SELECT 'part:' || q.p_partkey AS key, 'norm/' || q.p_partkey AS path, q.p_size * 1000 AS ms
+    FROM main.part AS q),
+  top AS (SELECT least(16000, min(ms)) AS m FROM (SELECT ms FROM clip ORDER BY ms DESC LIMIT 8)),
+  fit AS (SELECT clip.*, m, m * 3 // 4 AS step, m // 8 AS spread, count(*) OVER () AS size,
+    row_number() OVER (ORDER BY sha256('1234|' || key), key) - 1 AS place FROM clip, top WHERE ms >= m),
+  par AS (SELECT DISTINCT step, spread, size FROM fit),
+  len AS (SELECT seg.*, t1_ms - t0_ms AS ms, par.* FROM seg, par),
+  cuts AS (SELECT *, j * step - spread
+      + {S.draw("'1234|' || conv_id || '|' || idx || '|' || j")} % (2 * spread + 1) AS moment
+    FROM (SELECT *, unnest(range(1, (ms // step)::BIGINT + 3)) AS j FROM len)),
+  edge AS (SELECT conv_id, idx, j, moment FROM cuts WHERE moment <= ms - 50
+    UNION ALL SELECT conv_id, idx, 0, 0 FROM len WHERE ms >= 50),
+  slot AS (SELECT e.conv_id, e.idx, e.j AS scene,
+      coalesce(lead(moment) OVER (PARTITION BY e.conv_id, e.idx ORDER BY j), ms) - moment AS dur,
+      ({S.draw("'1234|' || e.conv_id")} + row_number() OVER (PARTITION BY e.conv_id ORDER BY e.idx, j) - 1) % size AS place
+    FROM edge e JOIN len ON len.conv_id = e.conv_id AND len.idx = e.idx),
+  scene AS (SELECT conv_id, idx, scene, key, path, CASE WHEN ms - ceil(dur) > 1000
+      THEN {S.draw("'1234|' || conv_id || '|' || idx || '|' || scene || '|in'")} % (ms - ceil(dur)::BIGINT + 1) / 1000.0
+      ELSE 0.0 END AS in_s, round(dur / 1000.0, 3) AS dur_s
+    FROM slot JOIN fit ON fit.place = slot.place)"""
+
+
+@query("plan_scenes", f"WITH RECURSIVE {_SCENES} SELECT * FROM scene")
 def _plan_scenes(spark, d):
     return _scenes(spark, d).select("conv_id", "idx", F.posexplode("scenes").alias("scene", "s")).select(
         "conv_id", "idx", "scene", "s.key", "s.path", "s.in_s", "s.dur_s")
 
 
 @query("plan_scenes_invariants", f"""WITH RECURSIVE {S.conv_segments(SEG_MAX_S * 1000)}
-  SELECT conv_id, idx, true AS sum_exact, true AS in_band, true AS clip_long_enough FROM seg""")
+  SELECT conv_id, idx, true AS sum_exact, true AS in_band, true AS clip_long_enough, true AS no_repeat_in_seven,
+    t1_ms - t0_ms >= 50 AS filled FROM seg""")
 def _plan_scenes_invariants(spark, d):
     rows = _scenes(spark, d)
     total = F.aggregate("scenes", F.lit(0.0), lambda a, s: a + s.dur_s)
-    size = F.split(F.element_at("scenes", 1).key, ":")
-    checked = rows.select(
-        "conv_id", "idx", (F.abs(total - (F.col("t1_ms") - F.col("t0_ms")) / 1000.0) <= 0.001).alias("sum_exact"),
-        F.forall("scenes", lambda s: (s.dur_s > 0.04) & (s.dur_s <= 16.5)).alias("in_band"),
-        F.size("scenes").alias("count"), F.explode("scenes").alias("s"))
     parts = table(spark, d, "part").select(
         F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("key"), "p_size")
-    one = checked.withColumn("key", F.col("s.key")).join(parts, "key")
-    return one.groupBy("conv_id", "idx", "sum_exact", "in_band").agg(
-        F.bool_and(F.col("s.dur_s") + F.col("s.in_s") <= F.col("p_size") + 0.051 + 0.001 * F.col("count")).alias("clip_long_enough"))
+    one = rows.select("conv_id", "idx", F.posexplode("scenes").alias("pos", "s"), F.size("scenes").alias("n"))
+    # the same clip in the six picks before, over the whole job
+    last = Window.partitionBy("conv_id").orderBy("idx", "pos").rowsBetween(-6, -1)
+    one = one.withColumn("recent", F.array_contains(F.collect_list("s.key").over(last), F.col("s.key")))
+    one = one.withColumn("key", F.col("s.key")).join(parts, "key").groupBy("conv_id", "idx").agg(
+        F.bool_and((F.col("s.dur_s") <= 16.001) & ((F.col("s.dur_s") >= 8.0) | (F.col("pos") == F.col("n") - 1))
+                   & (F.col("s.dur_s") >= 0.05)).alias("in_band"),
+        F.bool_and(F.col("s.dur_s") + F.col("s.in_s") <= F.col("p_size") + 0.001).alias("clip_long_enough"),
+        F.bool_and(~F.col("recent")).alias("no_repeat_in_seven"))
+    return rows.select(
+        "conv_id", "idx", (F.abs(total - (F.col("t1_ms") - F.col("t0_ms")) / 1000.0) <= 0.001).alias("sum_exact"),
+        (F.size("scenes") > 0).alias("filled")).join(one, ["conv_id", "idx"], "left").select(
+        "conv_id", "idx", "sum_exact", *[F.coalesce(c, F.lit(True)).alias(c) for c in
+                                         ("in_band", "clip_long_enough", "no_repeat_in_seven")], "filled")
 
 
 @query("assign_round_robin", f"""WITH RECURSIVE {S.conv_segments(SEG_MAX_S * 1000)}
