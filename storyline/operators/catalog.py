@@ -129,10 +129,10 @@ def first_seen_dedupe(df: DataFrame, key: str, ord: Sequence[str]) -> DataFrame:
 
 def source_fallback(hits: DataFrame, statuses: DataFrame,
                     on_all_failed: str = "skip") -> tuple[DataFrame, DataFrame]:
-    """Hits of working sources, and a report ``(source, terms, failed, state)``.
+    """All hits, and a report ``(source, terms, failed, state)``.
 
-    A source is out only when all its terms failed and it gave no hits; a failed
-    term alone costs nothing but its own hits.
+    What a term gave before it failed stays.  A source counts as failed only when
+    all its terms failed and it gave no hits.
     """
     per = statuses.groupBy("source").agg(
         F.count(F.lit(1)).alias("terms"), F.count_if(~F.col("ok")).alias("failed"))
@@ -145,8 +145,7 @@ def source_fallback(hits: DataFrame, statuses: DataFrame,
         dead = F.when(F.col("state") == "failed",
                       F.raise_error(F.concat(F.col("source"), F.lit(": all terms failed"))))
         report = report.withColumn("state", F.coalesce(dead.cast("string"), F.col("state")))
-    failed_terms = statuses.filter(~F.col("ok")).select("source", "term")
-    return hits.join(failed_terms, ["source", "term"], "left_anti"), report
+    return hits, report
 
 
 def union_sources(*dfs: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-OPEN_END_MS = 24 * 3600 * 1000      # fixed value: end of an open-ended segment
 BUCKET_MS = 60_000
 
 
@@ -28,23 +27,25 @@ def overlap_clip(events: DataFrame, segments: DataFrame, keys: Sequence[str],
     Both sides are put into time buckets of their job, and the join is an
     equi-join on job and bucket: one very long job spreads over as many tasks
     as it has buckets, and only events near a segment meet it.  A pair sharing
-    several buckets is kept in the first of them only.
+    several buckets is kept in the first of them only.  A segment without an end
+    is open: it is joined on the job alone and lasts as long as the job has events.
 
     An event that comes out empty or inverted is an error, or with
     ``on_inverted="keep"`` a row with ``inverted`` true.
     """
-    end = F.coalesce(F.col("t1_ms").cast("double"), F.lit(float(OPEN_END_MS)))
-    segs = segments.select(*keys, F.col(seg_col).alias("seg_idx"),
-                           F.col("t0_ms").cast("double").alias("__s0"), end.alias("__s1"))
-    segs = segs.filter(F.col("__s1") > F.col("__s0")).withColumn(
+    segs = segments.select(*keys, F.col(seg_col).alias("seg_idx"), F.col("t0_ms").cast("double").alias("__s0"),
+                           F.col("t1_ms").cast("double").alias("__s1"))
+    closed = segs.filter(F.col("__s1") > F.col("__s0")).withColumn(
         "__bucket", F.explode(_buckets(F.col("__s0"), F.col("__s1"), bucket_ms)))
     evs = events.withColumn("__bucket", F.explode(_buckets(F.col("t0_ms"), F.col("t1_ms"), bucket_ms)))
     first_shared = F.floor(F.greatest(F.col("t0_ms"), F.col("__s0")) / bucket_ms)
-    pairs = evs.join(segs, [*keys, "__bucket"]).filter(
+    pairs = evs.join(closed, [*keys, "__bucket"]).filter(
         (F.col("t1_ms") > F.col("__s0")) & (F.col("t0_ms") < F.col("__s1"))
-        & (F.col("__bucket") == first_shared))
+        & (F.col("__bucket") == first_shared)).drop("__bucket")
+    # a segment without an end takes all later events of its job
+    pairs = pairs.unionByName(events.join(segs.filter("__s1 is null"), [*keys]).filter(F.col("t1_ms") > F.col("__s0")))
     start = F.greatest(F.col("t0_ms"), F.col("__s0")) - F.col("__s0")
-    stop = F.least(F.col("t1_ms"), F.col("__s1")) - F.col("__s0")
+    stop = F.least(F.col("t1_ms"), F.col("__s1")) - F.col("__s0")      # least() skips a missing end
     rest = [c for c in events.columns if c not in {*keys, "t0_ms", "t1_ms"}]
     out = pairs.select(*keys, "seg_idx", *rest, start.alias("t0_ms"), stop.alias("t1_ms"))
     inverted = F.col("t1_ms") <= F.col("t0_ms")

@@ -22,7 +22,9 @@ def running_before(df: DataFrame, keys: Sequence[str],
     ``levels`` are lists of ascending order expressions, from the coarsest block
     to the row; each list orders the blocks inside one block of the list before.
     ``sums`` maps an output column to ``(value, type)``; values must be exact
-    (integers) for the result not to depend on the partitioning.
+    (integers) for the result not to depend on the partitioning.  Null keys are a
+    key of their own and null positions come last; the order must be unique, or
+    rows that tie get their sums in any order.
     """
     names = [[f"__l{i}_{j}" for j in range(len(level))] for i, level in enumerate(levels)]
     parts = {out: f"__v_{out}" for out in sums}
@@ -31,15 +33,11 @@ def running_before(df: DataFrame, keys: Sequence[str],
         *[expr.alias(n) for level, ns in zip(levels, names) for expr, n in zip(level, ns)],
         *[value.cast(kind).alias(parts[out]) for out, (value, kind) in sums.items()])
 
-    # the joins below would drop null positions anyway; said once here, all
-    # branches read the same rows
-    work = work.dropna(subset=[*keys, *[n for ns in names[:-1] for n in ns]])
-
     def path(depth: int) -> list[str]:
         return [*keys, *[n for ns in names[:depth] for n in ns]]
 
     def before(name: str, within: list[str], order: list[str]) -> Column:
-        window = (Window.partitionBy(*within).orderBy(*order)
+        window = (Window.partitionBy(*within).orderBy(*[F.col(c).asc_nulls_last() for c in order])
                   .rowsBetween(Window.unboundedPreceding, -1))
         return F.coalesce(F.sum(name).over(window), F.lit(0))
 
@@ -50,7 +48,7 @@ def running_before(df: DataFrame, keys: Sequence[str],
         """Offset of each block of this depth from the start of its key."""
         within = Window.partitionBy(*path(depth - 1))
         placed = nodes.select(
-            *path(depth), F.row_number().over(within.orderBy(*names[depth - 1])).alias("__rn"),
+            *path(depth), F.row_number().over(within.orderBy(*[F.col(c).asc_nulls_last() for c in names[depth - 1]])).alias("__rn"),
             *[before(v, path(depth - 1), names[depth - 1]).alias(f"__off_{o}") for o, v in parts.items()],
             *[F.sum(v).over(within).alias(v) for v in parts.values()])
         if depth == 1:
@@ -60,20 +58,27 @@ def running_before(df: DataFrame, keys: Sequence[str],
         parents = placed.filter("__rn = 1").select(*path(depth - 1), *parts.values())
         above = offsets(parents, depth - 1)
         above = above.select(*path(depth - 1), *[F.col(f"__off_{o}").alias(f"__up_{o}") for o in parts])
-        return placed.join(above, path(depth - 1)).select(
+        return _null_safe_join(placed, above, path(depth - 1)).select(
             *path(depth), *[(F.col(f"__off_{o}") + F.col(f"__up_{o}")).alias(f"__off_{o}") for o in parts])
 
     last = len(levels) - 1
     inside = work.select("*", *[before(v, path(last), names[last]).alias(f"__in_{out}")
                                 for out, v in parts.items()])
     if last:
-        inside = inside.join(offsets(totals(work, last), last), path(last))
+        inside = _null_safe_join(inside, offsets(totals(work, last), last), path(last))
         result = {o: F.col(f"__in_{o}") + F.col(f"__off_{o}") for o in parts}
     else:
         result = {o: F.col(f"__in_{o}") for o in parts}
     return inside.select(*df.columns, *[c.cast(sums[o][1]).alias(o) for o, c in result.items()])
 
 
+def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join in which null meets null."""
+    other = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in on]
+    return left.join(other, same).drop(*[f"__r_{c}" for c in on])
+
+
 def blocks_of(ordinal: Column, *sizes: int) -> list[list[Column]]:
     """Block levels for a whole-number ordinal, from the largest size down."""
     return [[F.floor(ordinal / size)] for size in sizes]

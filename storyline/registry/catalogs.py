@@ -171,11 +171,6 @@ def _read_provider_hits_array(spark, d):
         "key", "duration_s", "width", "height", "download_url", "bitrate")
 
 
-@query("read_provider_hits_props", """SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events""")
-def _read_props(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-
-
 @query("read_catalog", f"WITH {_CATALOG_SQL} SELECT key, term, norm, raw, duration_s, norm_duration_s FROM cat")
 def _read_catalog(spark, d):
     rows = _catalog(spark, d)
@@ -227,9 +222,9 @@ def _first_seen_dedupe(spark, d):
 
 @query("source_fallback", """WITH s AS (SELECT p_brand AS source, p_type AS term, count(*) FILTER (p_size > 48) = 0 AS ok
     FROM part GROUP BY ALL),
-  h AS (SELECT p_brand AS source, p_partkey FROM part JOIN s ON s.source = p_brand AND s.term = p_type WHERE ok)
-  SELECT s.source, count(*) AS terms, count(*) FILTER (NOT ok) AS failed,
-    (SELECT count(*) FROM h WHERE h.source = s.source) AS kept FROM s GROUP BY s.source""")
+  h AS (SELECT p_brand AS source, count(*) AS kept FROM part GROUP BY ALL)
+  SELECT s.source, count(*) AS terms, count(*) FILTER (NOT ok) AS failed, any_value(kept) AS kept
+  FROM s JOIN h ON h.source = s.source GROUP BY s.source""")
 def _source_fallback(spark, d):
     part = table(spark, d, "part")
     statuses = part.groupBy(F.col("p_brand").alias("source"), F.col("p_type").alias("term")).agg(

@@ -10,7 +10,7 @@ from ..operators import (cached_enrich, carry_status, demote_stale, duration_che
                          progress_stats, resume_filter, segment_problems, sentences, status_counts)
 from ..session import scratch_path
 from ..sources import parse_job_state, read_log
-from ..streaming import (checkpoint_merge, read_latest, read_progress, stream_first_seen,
+from ..streaming import (checkpoint_merge, compact, read_latest, read_progress, stream_first_seen,
                          stream_progress, stream_tail, stream_upsert)
 from .base import BYTES_PER_CHAR, query, table, texts
 from . import sql as S
@@ -66,13 +66,12 @@ def _probes(spark, d):
         F.min("l_suppkey").alias("s")).filter("s > 10").drop("s")
 
 
-@query("carry_status", f"""WITH {_SEGS_SQL}, plan AS (SELECT o_orderkey AS job, unnest([1, 2, 3]) AS idx FROM orders)
+@query("carry_status", f"""WITH {_SEGS_SQL}, plan AS (SELECT l_orderkey AS job, l_linenumber AS idx FROM lineitem)
   SELECT plan.job, plan.idx, coalesce(sg.state, 'pending') AS state, sg.path,
     CASE WHEN sg.state = 'done' THEN 'none' END AS problems
   FROM plan LEFT JOIN sg ON sg.job = plan.job AND sg.idx = plan.idx""")
 def _carry_status(spark, d):
-    plan = table(spark, d, "orders").select(F.col("o_orderkey").alias("job"),
-                                            F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("idx"))
+    plan = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("idx"))
     old = _segments(spark, d).withColumn("problems", F.when(F.col("state") == "done", "none"))
     return carry_status(plan, old, ["job", "idx"])
 
@@ -91,18 +90,20 @@ def _status_counts(spark, d):
     return status_counts(_segments(spark, d))
 
 
-_PROGRESS_SQL = f"""{_SEGS_SQL}, ph AS (SELECT o_orderkey AS job, o_orderstatus <> 'O' AS tl, o_orderpriority = '1-URGENT' AS cc FROM orders),
+_PROGRESS_SQL = f"""{_SEGS_SQL}, ph AS (SELECT o_orderkey AS job, o_orderstatus <> 'O' AS tl, o_orderpriority = '1-URGENT' AS cc FROM orders
+    WHERE o_orderstatus <> 'P'),
   ct AS (SELECT job, count(*) AS total, count(*) FILTER (state = 'done') AS done,
     count(*) FILTER (state IS NULL) AS pending FROM sg GROUP BY job),
-  pg AS (SELECT ph.job, (CASE WHEN cc THEN 'concat' ELSE '' END) || (CASE WHEN cc AND tl THEN ',' ELSE '' END)
+  pg AS (SELECT coalesce(ph.job, ct.job) AS job, (CASE WHEN cc THEN 'concat' ELSE '' END) || (CASE WHEN cc AND tl THEN ',' ELSE '' END)
       || (CASE WHEN tl THEN 'timeline' ELSE '' END) AS phases_done, coalesce(total, 0) AS segments_total,
     coalesce(done, 0) AS done, coalesce(pending, 0) AS pending,
     CASE WHEN cc THEN 1.0 WHEN coalesce(total, 0) > 0 THEN round_even(done / total, 4) ELSE 0.0 END::DOUBLE AS progress
-    FROM ph LEFT JOIN ct ON ct.job = ph.job)"""
+    FROM ph FULL JOIN ct ON ct.job = ph.job)"""
 
 
 def _phases(spark, d):
-    orders = table(spark, d, "orders")
+    # orders in part have no phases, only segments
+    orders = table(spark, d, "orders").filter("o_orderstatus <> 'P'")
     return orders.select(F.col("o_orderkey").alias("job"), F.explode(F.array(
         F.struct(F.lit("timeline").alias("phase"), (F.col("o_orderstatus") != "O").alias("done")),
         F.struct(F.lit("concat").alias("phase"), (F.col("o_orderpriority") == "1-URGENT").alias("done")))).alias("p")
@@ -110,9 +111,7 @@ def _phases(spark, d):
 
 
 def _progress_rows(spark, d):
-    segments = _segments(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("job")),
-                                        "job", "left_semi")
-    return progress(_phases(spark, d), segments, ["job"])
+    return progress(_phases(spark, d), _segments(spark, d), ["job"])
 
 
 def _flat(rows):
@@ -137,12 +136,10 @@ def _job_board(spark, d):
     return board.select("job", "progress", F.unix_date(F.to_date("updated")).cast("bigint").alias("updated_day"), "size")
 
 
-@query("resume_filter", f"""WITH {_SEGS_SQL} SELECT o_orderkey AS job, i AS idx FROM (
-    SELECT o_orderkey, unnest([1, 2, 3]) AS i FROM orders)
-  WHERE NOT EXISTS (SELECT 1 FROM sg WHERE sg.job = o_orderkey AND sg.idx = i AND state = 'done' AND path IS NOT NULL)""")
+@query("resume_filter", f"""WITH {_SEGS_SQL} SELECT l_orderkey AS job, l_linenumber AS idx FROM lineitem
+  WHERE NOT EXISTS (SELECT 1 FROM sg WHERE sg.job = l_orderkey AND sg.idx = l_linenumber AND state = 'done' AND path IS NOT NULL)""")
 def _resume_filter(spark, d):
-    work = table(spark, d, "orders").select(F.col("o_orderkey").alias("job"),
-                                            F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("idx"))
+    work = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("idx"))
     done = _segments(spark, d).select("job", "idx", "state", F.col("path").alias("output"),
                                       F.lit("h1").alias("params_hash"))
     return resume_filter(work, done, "h1", ["job", "idx"])
@@ -288,7 +285,7 @@ def _stream_first_seen(spark, d):
     out = scratch_path(spark, "first")
     stream = _event_stream(spark, d).select(
         "user_id", "event_type", F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"))
-    (stream_first_seen(stream, "key").writeStream.format("parquet")
+    (stream_first_seen(stream, "key", unbounded=True).writeStream.format("parquet")
      .option("checkpointLocation", scratch_path(spark, "state")).trigger(availableNow=True)
      .start(out).awaitTermination())
     return spark.read.parquet(out).select("user_id", "event_type")
@@ -303,6 +300,20 @@ def _stream_upsert(spark, d):
     return read_latest(spark, target, "user_id")
 
 
+@query("stream_upsert_two_streams", """SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type,
+  arg_max(value, event_id) AS value FROM events GROUP BY user_id""")
+def _stream_upsert_two_streams(spark, d):
+    # two streams with checkpoints of their own and several batches each, one target, then compacted
+    target = scratch_path(spark, "upsert")
+    events = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    for part in (0, 1):
+        source = scratch_path(spark, "half")
+        events.filter(F.col("event_id") % 2 == part).repartitionByRange(3, "event_id").write.parquet(source)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        stream_upsert(stream, target, "user_id", scratch_path(spark, "state"), ["event_id"]).awaitTermination()
+    return compact(spark, target, scratch_path(spark, "compact"), "user_id", ["event_id"])
+
+
 @query("checkpoint_merge", """SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value
   FROM events GROUP BY ALL""")
 def _checkpoint_merge(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 from ..operators import (assign_round_robin, boundary_snap, card_events, clean_suffix_start,
                          conservation_check, job_summary, overlap_clip, plan_scenes,
                          plan_segments, shape_classify, tiling_check, timeline_chunks)
+from ..operators.running import running_before
 from ..session import cut_lineage, scratch_path
 from ..sources import write_captions, write_timeline
 from .base import query, table
@@ -160,6 +161,36 @@ def _write_captions(spark, d):
         F.count(F.lit(1)).alias("lines"), F.lit(n).cast("bigint").alias("reported"))
 
 
+@query("overlap_clip_open_end", """WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 - epoch_us(date_trunc('month', ts)) // 1000 AS t0 FROM events)
+  SELECT user_id, event_id, CASE WHEN t0 < 864000000 THEN 0 ELSE 1 END AS seg_idx,
+    CASE WHEN t0 < 864000000 THEN t0 ELSE t0 - 864000000 END::DOUBLE AS t0_ms,
+    CASE WHEN t0 < 864000000 THEN least(t0 + 1000, 864000000) ELSE t0 + 1000 - 864000000 END::DOUBLE AS t1_ms FROM e
+  UNION ALL SELECT user_id, event_id, 1, 0.0, (t0 + 1000 - 864000000)::DOUBLE FROM e WHERE t0 < 864000000 AND t0 + 1000 > 864000000""")
+def _overlap_clip_open_end(spark, d):
+    # the clock of a month; the second segment has no end and gets what lies days after its start
+    ev = table(spark, d, "events")
+    ts = F.col("ts").cast("timestamp")
+    t0 = (F.unix_millis(ts) - F.unix_millis(F.date_trunc("month", ts))).cast("double")
+    events = ev.select("user_id", "event_id", t0.alias("t0_ms"), (t0 + 1000).alias("t1_ms"))
+    ends = F.array(F.struct(F.lit(0).alias("idx"), F.lit(0.0).alias("t0_ms"), F.lit(864e6).alias("t1_ms")),
+                   F.struct(F.lit(1).alias("idx"), F.lit(864e6).alias("t0_ms"), F.lit(None).cast("double").alias("t1_ms")))
+    segments = ev.select("user_id").distinct().withColumn("s", F.explode(ends)).select("user_id", "s.*")
+    return overlap_clip(events, segments, ["user_id"], bucket_ms=3_600_000)
+
+
+@query("running_before_null_positions", """SELECT o_custkey, o_orderkey, coalesce(sum(o_custkey % 5 + 1) OVER (
+    PARTITION BY CASE WHEN o_custkey % 10 > 0 THEN o_custkey END
+    ORDER BY CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey // 1000 END NULLS LAST, o_orderkey
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM orders""")
+def _running_before_null_positions(spark, d):
+    # null keys are one key, null positions come last; no row is lost
+    orders = table(spark, d, "orders").withColumn("key", F.when(F.col("o_custkey") % 10 > 0, F.col("o_custkey")))
+    block = F.when(F.col("o_orderkey") % 7 > 0, F.floor(F.col("o_orderkey") / 1000))
+    out = running_before(orders, ["key"], [[block], [F.col("o_orderkey")]],
+                         {"before": (F.col("o_custkey") % 5 + 1, "bigint")})
+    return out.select("o_custkey", "o_orderkey", "before")
+
+
 @query("tiling_check", f"""WITH RECURSIVE {S.conv_segments(SEG_MAX_S * 1000)},
   bad AS (SELECT conv_id, idx, CASE WHEN idx = 2 THEN t0_ms + 500 ELSE t0_ms END AS t0_ms, t1_ms FROM seg)
   SELECT b.conv_id, b.idx, 'gap or overlap' AS problem, p.t1_ms AS want, b.t0_ms AS got

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,12 +40,15 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests, a laptop) a temporary folder of this machine is used instead.
+    A cluster names it in ``spark.checkpoint.dir``; without it there is no folder
+    that all executors share, and this is an error.  Only a session of one machine
+    (``local[...]``: tests, a laptop) takes a temporary folder instead.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = spark.conf.get("storyline.scratch", None)
     if not made:
         made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -52,9 +56,26 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder, not yet created."""
-    return os.path.join(shared_dir(spark), f"{name}-{os.urandom(6).hex()}")
+    path = os.path.join(shared_dir(spark), f"{name}-{os.urandom(6).hex()}")
+    _made.append(path)
+    return path
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete what this process has written to the shared folder so far; returns how many folders.
+
+    For the end of a job: results that were not written elsewhere cannot be read afterwards.
+    """
+    n = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

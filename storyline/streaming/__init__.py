@@ -24,61 +24,76 @@ def stream_tail(spark: SparkSession, path: str, max_bytes: int = TAIL_BYTES) ->
 
 
 def stream_first_seen(stream: DataFrame, key: str, ts: str | None = None,
-                      watermark: str | None = None, thin: bool = True) -> DataFrame:
-    """First row per key over all batches.
-
-    Without a watermark the state keeps every key for ever.  With one, a key is
-    forgotten once it is older than the watermark allows.
-
-    ``thin`` drops repeats inside each Arrow batch where the rows lie, so that a
-    key with a large share of the stream does not send all its rows to the one
-    task that holds its state.
+                      watermark: str | None = None, unbounded: bool = False) -> DataFrame:
+    """The first row per key to arrive, over all batches.
+
+    With ``ts`` and ``watermark`` a key is forgotten once it is older than the
+    watermark allows.  Without them the state keeps every key for ever, which has
+    to be asked for with ``unbounded``.  Within one batch any row of a key may
+    stand for it; :func:`stream_upsert` with an order column keeps the first by
+    that column.
     """
-    if thin:
-        def repeats(batches):
-            for batch in batches:
-                yield batch.drop_duplicates(subset=[key])
-        stream = stream.mapInPandas(repeats, stream.schema)
     if watermark and ts:
         return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
+    if not unbounded:
+        raise ValueError("give ts and watermark, or unbounded=True to keep every key for ever")
     return stream.dropDuplicates([key])
 
 
 def _latest(rows: DataFrame, keys: list[str], order: Sequence[str]) -> DataFrame:
     rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.select(*keys).distinct()
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
 
 
+_STORED = ("stream", "batch", "written_ms")
+
+
 def read_latest(spark: SparkSession, target: str, key, order: Sequence[str] = ()) -> DataFrame:
     """Latest record per key of an upsert target.
 
-    The last batch wins; with ``order`` the largest value of these columns does,
-    so a record that arrives late does not replace a newer one.
+    The batch written last wins; with ``order`` the largest value of these columns
+    does, so a record that arrives late does not replace a newer one.
     """
     keys = [key] if isinstance(key, str) else list(key)
     rows = spark.read.parquet(target)
-    return _latest(rows, keys, [*order, "batch"]).select(*[c for c in rows.columns if c != "batch"])
+    return _latest(rows, keys, [*order, "written_ms", "batch"]).select(*[c for c in rows.columns if c not in _STORED])
 
 
 def stream_upsert(stream: DataFrame, target: str, key, checkpoint: str,
                   order: Sequence[str] = ()) -> StreamingQuery:
-    """Merge a stream into ``target`` by key; one writer per target.
-
-    A batch is written as one folder named by its number, holding one record per
-    key (the last by ``order``).  Writing costs as much as the batch, however
-    large the target, and a batch that is run again after a failure replaces its
-    own folder.  :func:`read_latest` gives the merged records.
+    """Merge a stream into ``target`` by key; one writer per target at a time.
+
+    A batch is written as one folder named by the stream's identity, which its
+    checkpoint keeps, and the batch's number.  It holds one record per key: the
+    last by ``order``, or without one the greatest.  Writing costs as much as the
+    batch, however large the target; a batch that is run again after a failure
+    replaces its own folder only, and a new checkpoint adds to what is there.
+    :func:`read_latest` gives the merged records, :func:`compact` rewrites them.
     """
     keys = [key] if isinstance(key, str) else list(key)
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = _latest(batch, keys, order) if order else batch.dropDuplicates(keys)
-        rows.write.mode("overwrite").parquet(os.path.join(target, f"batch={number}"))
+        stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        by = list(order) or [c for c in batch.columns if c not in keys] or keys
+        rows = _latest(batch, keys, by).withColumn("written_ms", F.unix_millis(F.current_timestamp()))
+        rows.write.mode("overwrite").parquet(os.path.join(target, f"stream={stream_id}", f"batch={number}"))
 
     return (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def compact(spark: SparkSession, target: str, compacted: str, key, order: Sequence[str] = ()) -> DataFrame:
+    """Write the latest records of ``target`` to the new folder ``compacted`` and return them.
+
+    The result is a target itself: later streams may be merged into it.
+    """
+    rows = read_latest(spark, target, key, order).withColumn("written_ms", F.lit(0).cast("bigint"))
+    rows.write.parquet(os.path.join(compacted, "stream=compacted", "batch=0"))
+    return read_latest(spark, compacted, key, order)
+
+
 def checkpoint_merge(stream: DataFrame, target: str, key, checkpoint: str,
                      order: Sequence[str] = ()) -> StreamingQuery:
     """Save finished work in bounded batches, so a kill loses at most one.

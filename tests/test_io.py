@@ -138,7 +138,7 @@ def test_checkpoint_merge_survives_a_kill(spark, tmp_path):
 
     assert run(0) == 10          # saved before the kill
     assert run(1, 2) == 25       # the restart goes on behind it
-    assert len([n for n in os.listdir(f"{tmp_path}/out") if n.startswith("batch=")]) == 3
+    assert sum(len([n for n in names if n.startswith("batch=")]) for _, names, _ in os.walk(f"{tmp_path}/out")) == 3
 
 
 def test_streams_equal_batch(spark, tmp_path):
@@ -158,7 +158,7 @@ def test_streams_equal_batch(spark, tmp_path):
     stream_upsert(stream(), f"{tmp_path}/u", "job", f"{tmp_path}/c2", ["ts"]).awaitTermination()
     assert {(r.job, r.ts) for r in read_latest(spark, f"{tmp_path}/u", "job", ["ts"]).collect()} == {
         (j, max(t for k, _, _, t in rows if k == j)) for j in range(5)}
-    (stream_first_seen(stream(), "job").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c3")
+    (stream_first_seen(stream(), "job", unbounded=True).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c3")
      .trigger(availableNow=True).start(f"{tmp_path}/f").awaitTermination())
     assert sorted(r.job for r in spark.read.parquet(f"{tmp_path}/f").collect()) == [0, 1, 2, 3, 4]
 
@@ -213,7 +213,26 @@ def test_build_captions_verify(spark, tmp_path):
 def test_shared_folder_is_the_one_the_cluster_names(spark):
     from types import SimpleNamespace
 
-    from storyline.session import scratch_path, shared_dir
+    from storyline.session import drop_stages, scratch_path, shared_dir
     assert shared_dir(spark) == shared_dir(spark)      # one folder per session where none is named
     cluster = SimpleNamespace(conf=SimpleNamespace(get={"spark.checkpoint.dir": "/shared/x"}.get))
     assert scratch_path(cluster, "t").startswith("/shared/x/t-")
+    # on a cluster that names none, nothing is written to one machine's folder
+    unnamed = SimpleNamespace(conf=SimpleNamespace(get=lambda key, other=None: other),
+                              sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(unnamed)
+    path = scratch_path(spark, "t")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path) and drop_stages(spark) >= 1 and not os.path.exists(path)
+
+
+def test_upsert_keeps_what_another_stream_wrote(spark, tmp_path):
+    def run(name, rows):
+        df = spark.createDataFrame(rows, "k string, v int")
+        df.write.parquet(f"{tmp_path}/{name}")
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/{name}")
+        stream_upsert(stream, f"{tmp_path}/u", "k", f"{tmp_path}/{name}-state").awaitTermination()
+        return {(r.k, r.v) for r in read_latest(spark, f"{tmp_path}/u", "k").collect()}
+    assert run("a", [("a", 1), ("b", 1)]) == {("a", 1), ("b", 1)}
+    assert run("b", [("b", 2), ("c", 1)]) == {("a", 1), ("b", 2), ("c", 1)}
