@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .rows import IdFilter
-from .words import mix, ranges
+from .words import mix, ranges, slices
 
 GROUP_ROWS = 1 << 13
 _ORDER = np.uint64(0xFFFFFFFF00000000)
@@ -162,9 +162,7 @@ def cut_spans(docs: DataFrame, key: str, text: str, spans: DataFrame, cut, added
     names, columns = schema.names, docs.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in slices(batches, text, 2 << 20):
             lists = batch.column("__spans")
             values, edges = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(
                 np.concatenate([[0], lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)]))
