@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import exceeds_cap, first_truthy
 from .running import blocks_of, running_before
@@ -36,14 +36,14 @@ def _term_in(terms) -> Column:
 
 def pool_filter(catalog: DataFrame, blocklist: DataFrame, terms: Sequence[str] | None = None,
                 min_s: float = MIN_CLIP_S) -> DataFrame:
-    """Usable clips ``(key, path, duration_s)`` in key order."""
+    """Usable clips ``(key, path, duration_s)``, in no order."""
     rows = catalog.filter(_given("norm"))
     if terms is not None:
         rows = rows.filter(_term_in(terms))
     dur = first_truthy("norm_duration_s", "duration_s")
     rows = rows.select("key", F.col("norm").alias("path"), dur.alias("duration_s")).filter(
         F.col("duration_s") >= min_s)
-    return rows.join(blocklist.select("key"), "key", "left_anti").orderBy("key")
+    return rows.join(blocklist.select("key"), "key", "left_anti")
 
 
 def pool_from_clips(clips: DataFrame, paths: DataFrame,
@@ -120,7 +120,8 @@ def pick_rendition(df: DataFrame, keys: Sequence[str], layout: str = "map",
 def first_seen_dedupe(df: DataFrame, key: str, ord: Sequence[str]) -> DataFrame:
     """First row per key in the order of ``ord``; the first hit's columns win.
 
-    An ordered minimum with map-side reduction, not a sort of each key's rows.
+    An ordered minimum, reduced before the shuffle, so a hot key sends one row per
+    task.  Its buffer holds strings, so Spark reduces by sorting each task's rows.
     """
     rest = [c for c in df.columns if c != key]
     best = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*ord)).alias("b"))
@@ -189,20 +190,28 @@ def rank_candidates(cands: DataFrame, n: int | None = None, min_width: int = HD_
 
 
 def budget_prefix(cands: DataFrame, need: DataFrame, keys: Sequence[str],
-                  min_width: int = HD_WIDTH, ord: str = "ord") -> DataFrame:
+                  min_width: int = HD_WIDTH, ord: str | Sequence[str] = "ord") -> DataFrame:
     """Shortest prefix of the ranked candidates that covers ``need(keys, need_s)``.
 
     A row stays if the candidates ranked before it do not cover the need yet.
-    Ranking goes through blocks (HD, whole seconds, milliseconds, length, range
-    of the original position), so no group is ever sorted in one task.  Adds
-    ``before_s``.
+    Candidates of one HD class and whole second form a block.  Block totals say
+    where each block starts, and blocks that start beyond the need are dropped
+    before anything is ranked.  Inside a block ranking goes through milliseconds,
+    length and ``ord`` (with all its columns unique per key), so no group is ever
+    sorted in one task.  Adds ``before_s``.
     """
+    keys, order = list(keys), [ord] if isinstance(ord, str) else list(ord)
     hd, neg = _preference(min_width)
-    position = F.col(ord).cast("bigint")
-    ranked = running_before(
-        cands, keys,
-        [[hd, F.floor(neg)], [F.floor(neg * 1000)], [neg, F.floor(position / 65_536)], [position]],
-        {"__before": (micros("duration_s"), "bigint")})
-    joined = ranked.join(need.select(*keys, "need_s"), list(keys))
-    return joined.filter(F.col("__before") < micros("need_s")).select(
-        *cands.columns, (F.col("__before") / F.lit(MICRO)).alias("before_s"))
+    rows = cands.select("*", hd.alias("__hd"), neg.alias("__neg"), F.floor(neg).alias("__block"),
+                        micros("duration_s").alias("__us"))
+    block = [*keys, "__hd", "__block"]
+    before = Window.partitionBy(*keys).orderBy("__hd", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*block).agg(F.sum("__us").alias("__total")).select(
+        *block, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__start"))
+    wanted = starts.join(need.select(*keys, micros("need_s").alias("__need")), keys).filter("__start < __need")
+    levels = [[F.floor(F.col("__neg") * 1000)], [F.col("__neg")], [F.col(c) for c in order]]
+    if dict(cands.dtypes)[order[0]] in ("tinyint", "smallint", "int", "bigint"):
+        levels[1].append(F.floor(F.col(order[0]) / 65_536))
+    ranked = running_before(rows.join(wanted, block), block, levels, {"__inside": (F.col("__us"), "bigint")})
+    sofar = F.col("__start") + F.col("__inside")
+    return ranked.filter(sofar < F.col("__need")).select(*cands.columns, (sofar / F.lit(MICRO)).alias("before_s"))

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..session import cut_lineage
@@ -39,19 +39,30 @@ def with_retries(fn: Callable[[pd.DataFrame], pd.DataFrame], attempts: int = ATT
     return call
 
 
-def read_cache(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One row per key; a key written by two concurrent runs is taken once."""
+_SHARD = "shard"
+
+
+def _shard(key: Column) -> Column:
+    """The cache's partition of a key: two hex digits."""
+    return F.substring(F.sha2(key.cast("string"), 256), 1, 2)
+
+
+def read_cache(spark: SparkSession, path: str, schema: T.StructType, shards: Sequence[str] | None = None) -> DataFrame:
+    """One successful row per key, of some shards; a key written by two concurrent runs is taken once."""
+    stored = T.StructType([*schema.fields, T.StructField("error", T.StringType()), T.StructField(_SHARD, T.StringType())])
     try:
-        rows = spark.read.schema(schema).parquet(path)
+        rows = spark.read.schema(stored).parquet(path).filter("error is null")
     except AnalysisException:
         return spark.createDataFrame([], schema)
+    if shards is not None:
+        rows = rows.filter(F.col(_SHARD).isin(list(shards)))
     rest = [f.name for f in schema.fields if f.name not in ("key", "run")]
     return rows.groupBy("key").agg(F.min_by(F.struct(*rest, "run"), F.col("run")).alias("c")).select("key", "c.*")
 
 
 def cached_enrich(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFrame],
-                  schema: str | T.StructType, cache_path: str, concurrency: int | None = None,
-                  inputs: Sequence[str] = (), ord: Sequence[str] = (), attempts: int = ATTEMPTS,
+                  schema: str | T.StructType, cache_path: str, ord: Sequence[str], concurrency: int | None = None,
+                  inputs: Sequence[str] = (), attempts: int = ATTEMPTS,
                   first_delay_s: float = FIRST_DELAY_S, batch_rows: int = 64,
                   stage: bool = True) -> DataFrame:
     """Add ``fn``'s columns and ``was_cached`` to every row.
@@ -59,43 +70,74 @@ def cached_enrich(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataF
     ``fn`` gets pandas batches with ``key`` and ``inputs`` and returns one row
     per key with the columns of ``schema``.  It sees every key that is not in
     the cache exactly once per successful task; results are appended to the
-    cache (a parquet folder) by Spark's committer and joined back to all rows.
+    cache (a parquet folder, partitioned by two hex digits of the key's hash, so
+    that a small batch reads a part of it only) and joined back to all rows.
     ``concurrency`` bounds the number of simultaneous calls.  ``was_cached`` is
-    false for the first row (by ``ord``) of a key that had to be computed.
+    false for the first row (by ``ord``, unique within a key) of a key that had
+    to be computed.
+
+    If a batch fails for good, its keys are called one by one.  All successes are
+    committed before the first errors are raised, so the next run calls only what
+    failed.
 
     ``df`` is read twice, for its keys and for the result; ``stage`` writes it
     once before that.  Leave it off when ``df`` is a stored table.
     """
+    if not ord:
+        raise ValueError("ord must name the columns that order the rows of a key")
     spark = df.sparkSession
     if stage:
         df = cut_lineage(df)
     added = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    order = F.struct(*ord) if ord else F.struct(F.lit(0).alias("o"))
     # "first_row" names the row that caused the call
-    first = F.to_json(F.struct(*ord)) if ord else F.lit("{}")
+    first = F.to_json(F.struct(*ord))
     stored = T.StructType([T.StructField("key", df.schema[key].dataType), *added.fields,
                            T.StructField("first_row", T.StringType()), T.StructField("run", T.StringType())])
     run = uuid.uuid4().hex
     distinct = df.groupBy(F.col(key).alias("key")).agg(
-        F.min_by(F.struct(*inputs, first.alias("first_row")), order).alias("i")).select("key", "i.*")
-    missing = distinct.join(read_cache(spark, cache_path, stored).select("key"), "key", "left_anti")
+        F.min_by(F.struct(*inputs, first.alias("first_row")), F.struct(*ord)).alias("i")).select("key", "i.*")
+    # 256 values at most
+    shards = [r[0] for r in df.select(_shard(F.col(key)).alias("s")).distinct().collect() if r[0] is not None]
+    missing = distinct.join(read_cache(spark, cache_path, stored, shards).select("key"), "key", "left_anti")
     if concurrency:
         missing = missing.repartition(concurrency, "key")
     call = with_retries(fn, attempts, first_delay_s)
     names = [f.name for f in added.fields]
 
+    def enriched(part: pd.DataFrame) -> pd.DataFrame:
+        got = call(part[["key", *inputs]].rename(columns={"key": key}))
+        got = got.rename(columns={key: "key"})[["key", *names]]
+        return part[["key", "first_row"]].merge(got, on="key", how="left", validate="one_to_one").assign(error=None)
+
     def enrich(batches):
         for batch in batches:
             for at in range(0, len(batch), batch_rows):
                 part = batch.iloc[at:at + batch_rows]
-                got = call(part[["key", *inputs]].rename(columns={"key": key}))
-                got = got.rename(columns={key: "key"})[["key", *names]]
-                out = part[["key", "first_row"]].merge(got, on="key", how="left", validate="one_to_one")
-                yield out[["key", *names, "first_row"]]
-
-    computed = T.StructType(stored.fields[:-1])
-    missing.mapInPandas(enrich, computed).withColumn("run", F.lit(run)).write.mode("append").parquet(cache_path)
-    cache = read_cache(spark, cache_path, stored).withColumnRenamed("key", key)
+                rows = []
+                try:
+                    rows.append(enriched(part))
+                except Exception as whole:  # noqa: BLE001 - said again for the keys it belongs to
+                    for i in range(len(part)):
+                        one = part.iloc[i:i + 1]
+                        try:
+                            if len(part) == 1:
+                                raise whole
+                            rows.append(enriched(one))
+                        except Exception as error:  # noqa: BLE001
+                            rows.append(one[["key", "first_row"]].assign(
+                                **{n: None for n in names}, error=f"{type(error).__name__}: {error}"[:500]))
+                for out in rows:
+                    yield out[["key", *names, "first_row", "error"]]
+
+    computed = T.StructType([*stored.fields[:-1], T.StructField("error", T.StringType())])
+    (missing.mapInPandas(enrich, computed).withColumn("run", F.lit(run)).withColumn(_SHARD, _shard(F.col("key")))
+     .repartition(_SHARD).write.mode("append").partitionBy(_SHARD).parquet(cache_path))
+    failed = (spark.read.schema(T.StructType([*stored.fields, computed["error"]])).parquet(cache_path)
+              .filter((F.col("run") == run) & F.col("error").isNotNull()).select("key", "error").limit(5).collect())
+    if failed:
+        raise RuntimeError("some keys failed, all others are cached: "
+                           + "; ".join(f"{r['key']}: {r['error']}" for r in failed))
+    cache = read_cache(spark, cache_path, stored, shards).withColumnRenamed("key", key)
     fresh = (F.col("run") == run) & (F.col("first_row") == first)
     return df.join(cache, key, "left").withColumn("was_cached", ~fresh).select(
         *df.columns, *names, "was_cached")

@@ -99,8 +99,9 @@ def sentences(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
 def split_oversize(df: DataFrame, keys: list[str], col: str = "text",
                    max_words: int = MAX_SENTENCE_WORDS,
                    max_chars: int = MAX_SENTENCE_CHARS) -> DataFrame:
-    """``(keys, part_idx, text)``: each sentence cut to the limits."""
-    parts = split_oversize_list(F.array(F.col(col)), max_words, max_chars)
+    """``(keys, part_idx, text)``: each sentence cut to the limits; blank runs count as one space."""
+    single = F.trim(F.regexp_replace(F.col(col), rf"[{WS}]+", " "))
+    parts = split_oversize_list(F.array(single), max_words, max_chars)
     return _explode(df, keys, parts, "part_idx", "text")
 
 

@@ -1,7 +1,7 @@
 """Classifying clips from content boxes sampled at a few times."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed values (must equal the reference's).
 FULL_MIN_W, FULL_MIN_H = 1900, 1069
@@ -9,7 +9,6 @@ SAMPLE_SHARES = (0.1, 0.3, 0.5, 0.7, 0.9)
 MIN_CLIP_S = 3.0
 TAIL_S = 1.5
 MAX_TRIM_SHARE = 0.75
-BLOCK_S = 60.0
 
 
 def is_full(w="w", h="h", min_w: int = FULL_MIN_W, min_h: int = FULL_MIN_H) -> Column:
@@ -54,31 +53,20 @@ def shape_classify(samples: DataFrame, clips: DataFrame, key: str,
 
 
 def clean_suffix_start(samples: DataFrame, clips: DataFrame, key: str,
-                       full: Column | None = None, tail_s: float = TAIL_S,
-                       block_s: float = BLOCK_S) -> DataFrame:
+                       full: Column | None = None, tail_s: float = TAIL_S) -> DataFrame:
     """``(key, trim_s)``: earliest sampled time from which all samples are full.
 
-    The last ``tail_s`` seconds must hold a sample and all of them be full.
-    Samples are first reduced to one row per minute of a clip, so one clip with
-    very many samples is spread over its minutes.
+    The last ``tail_s`` seconds must hold a sample and all of them be full.  Two
+    hash aggregations: the last sample that is not full, and the first after it.
     """
     f = is_full() if full is None else full
-    # the clip's length rides along: one row per clip, joined on the clip
+    # one row per clip on the other side of both joins
     rows = samples.join(clips.select(key, "dur_s"), key).select(
-        key, F.col("t").cast("double").alias("t"), f.alias("f"),
-        (F.col("t") >= F.col("dur_s") - tail_s).alias("tail"),
-        F.floor(F.col("t") / block_s).alias("b"))
-    inside = Window.partitionBy(key, "b")
-    bad = F.max(F.when(~F.col("f"), F.col("t"))).over(inside)
-    blocks = rows.withColumn("bad", bad).groupBy(key, "b").agg(
-        F.max("bad").alias("bad"),
-        F.min(F.when(F.col("bad").isNull() | (F.col("t") > F.col("bad")), F.col("t"))).alias("clean"),
-        F.max(F.col("tail").cast("int")).alias("tail"),
+        key, F.col("t").cast("double").alias("t"), f.alias("f"), (F.col("t") >= F.col("dur_s") - tail_s).alias("tail"))
+    ends = rows.groupBy(key).agg(
+        F.max(F.when(~F.col("f"), F.col("t"))).alias("bad"), F.max(F.col("tail").cast("int")).alias("tail"),
         F.min(F.when(F.col("tail"), F.col("f").cast("int"))).alias("tail_ok"))
-    last_bad = F.max(F.when(F.col("bad").isNotNull(), F.col("b"))).over(Window.partitionBy(key))
-    ends = blocks.withColumn("lb", last_bad).groupBy(key).agg(
-        F.min(F.when(F.col("lb").isNull() | (F.col("b") >= F.col("lb")), F.col("clean"))).alias("start"),
-        F.max("tail").alias("tail"), F.min("tail_ok").alias("tail_ok"))
-    good = (F.col("tail") == 1) & (F.col("tail_ok") == 1)
-    return clips.select(key).join(ends, key, "left").select(
-        key, F.when(good, F.col("start")).alias("trim_s"))
+    good = ends.filter((F.col("tail") == 1) & (F.col("tail_ok") == 1)).select(key, "bad")
+    start = rows.join(good, key).filter(F.col("bad").isNull() | (F.col("t") > F.col("bad"))).groupBy(key).agg(
+        F.min("t").alias("trim_s"))
+    return clips.select(key).join(start, key, "left").select(key, "trim_s")

@@ -36,8 +36,8 @@ def build_timeline(spark: SparkSession, paths: str | Sequence[str], synthesise:
     stories = split_stories(scripts, ["script_id"])
     rows = units(stories, ["script_id"])
     rows = rows.withColumn("sha", content_key("text", F.lit(voice), F.lit(speed)))
-    rows = cached_enrich(rows, "sha", synthesise, "nbytes bigint", cache_path, concurrency,
-                         inputs=["text"], ord=["script_id", "story_idx", "sent_idx"])
+    rows = cached_enrich(rows, "sha", synthesise, "nbytes bigint", cache_path,
+                         ord=["script_id", "story_idx", "sent_idx"], concurrency=concurrency, inputs=["text"])
     rows.write.mode("overwrite").parquet(f"{out_path}/units")
     chunks = timeline_chunks(spark.read.parquet(f"{out_path}/units"), ["script_id"])
     chunks, events = write_timeline(chunks, lambda stored: card_events(stored, ["script_id"]), out_path)
@@ -64,7 +64,7 @@ def top_up(hits: DataFrame, catalog: DataFrame, blocklist: DataFrame, pool: Data
     cover = pool_coverage(pool, needed, keys)
     need = cover.filter(~F.col("enough")).select(
         *keys, (F.col("needed_s") * 1.2 - F.col("cover_s")).alias("need_s"))
-    return budget_prefix(fresh, need, keys, ord=ord[-1])
+    return budget_prefix(fresh, need, keys, ord=ord)
 
 
 def verify(segments: DataFrame, probes: DataFrame, events: DataFrame, captions: DataFrame,

@@ -27,10 +27,9 @@ def _merge_records(spark, d):
     return merge_records(orders, incoming, "o_orderkey")
 
 
-@query("patch_fields", """SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN 'kept?'
-    ELSE o_orderstatus END AS term, CASE WHEN o_orderpriority = '5-LOW' THEN 7.5 ELSE o_totalprice END AS duration_s
-  FROM (SELECT o_orderkey, o_orderpriority, o_totalprice, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END
-    AS o2, o_orderstatus FROM orders)""".replace("ELSE o_orderstatus END AS term", "ELSE o2 END AS term"))
+@query("patch_fields", """SELECT o_orderkey,
+    CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus WHEN o_orderpriority = '5-LOW' THEN 'kept?' ELSE '' END AS term,
+    CASE WHEN o_orderpriority = '5-LOW' THEN 7.5 ELSE o_totalprice END AS duration_s FROM orders""")
 def _patch_fields(spark, d):
     orders = table(spark, d, "orders")
     target = orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderstatus"))

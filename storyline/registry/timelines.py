@@ -58,9 +58,9 @@ def _card_events(spark, d):
   t AS (SELECT conv_id, max(t0b + nbytes + 48 * sil) / 48 AS total_ms,
     sum(len(string_split(text, ' ')))::BIGINT AS words, count(*) AS sentences,
     sum(len(groups))::BIGINT AS caption_events FROM ch GROUP BY conv_id)
-  SELECT *, printf('%d:%02d:%02d', z // 3600, z // 60 % 60, z % 60) AS length
-  FROM (SELECT *, floor(total_ms / 1000)::BIGINT AS z FROM t)""".replace("SELECT *, printf", """SELECT conv_id,
-    total_ms, words, sentences, caption_events, printf"""))
+  SELECT conv_id, total_ms, words, sentences, caption_events,
+    printf('%d:%02d:%02d', z // 3600, z // 60 % 60, z % 60) AS length
+  FROM (SELECT *, floor(total_ms / 1000)::BIGINT AS z FROM t)""")
 def _job_summary(spark, d):
     return _timeline(spark, d)[2]
 
@@ -311,4 +311,4 @@ def _clean_suffix_start(spark, d):
     rows = table(spark, d, "events").select("user_id", t.cast("double").alias("t"),
                                             (F.col("event_type") != "error").alias("f"))
     clips = rows.groupBy("user_id").agg((F.max("t") + 1).alias("dur_s"))
-    return clean_suffix_start(rows, clips, "user_id", full=F.col("f"), tail_s=86400.0, block_s=3600.0)
+    return clean_suffix_start(rows, clips, "user_id", full=F.col("f"), tail_s=86400.0)

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -48,13 +49,10 @@ def read_scripts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     files by ``(ord, path)``.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    rows = spark.read.text(paths, wholetext=True)
-    path = F.col("_metadata.file_path")
-    plain = F.regexp_replace(path, r"^[A-Za-z0-9+.-]+:/+", "/")
-    place = F.coalesce(*[F.when(plain.startswith(p) | path.startswith(p), i) for i, p in enumerate(paths)],
-                       F.lit(0))
-    return rows.select(F.sha2(path, 256).alias("script_id"), path.alias("path"), place.alias("ord"),
-                       normalise_newlines(F.col("value")).alias("text"))
+    parts = [spark.read.text(p, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.lit(i).alias("ord"), "value") for i, p in enumerate(paths)]
+    return reduce(DataFrame.union, parts).select(
+        F.sha2("path", 256).alias("script_id"), "path", "ord", normalise_newlines(F.col("value")).alias("text"))
 
 
 # ---- provider hits ---------------------------------------------------------

@@ -56,7 +56,8 @@ def write_timeline(chunks: DataFrame, events: DataFrame | Callable[[DataFrame],
     """Chunks and events as parquet; returns the stored tables.
 
     ``events`` may be a function of the stored chunks, so that these are not
-    worked out a second time.  Readers see the old table or the new one.
+    worked out a second time.  An existing timeline at ``path`` is replaced, and readers
+    must wait for that; write to a new folder where they cannot.
     """
     spark = chunks.sparkSession
     chunks.write.mode("overwrite").parquet(os.path.join(path, "chunks"))

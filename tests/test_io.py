@@ -110,7 +110,7 @@ def test_cached_enrich_retries(spark, tmp_path):
 
     def run(kind, fails, attempts):
         return cached_enrich(rows, "key", flaky(kind, fails), "n int", f"{tmp_path}/c-{kind}", inputs=["text"],
-                             attempts=attempts, first_delay_s=0.01).first().n
+                             ord=["key"], attempts=attempts, first_delay_s=0.01).first().n
 
     assert run("some", 2, 6) == 1 and os.path.getsize(f"{tmp_path}/tries-some") == 3
     with pytest.raises(Exception, match="failed after 3 attempts"):
@@ -119,6 +119,52 @@ def test_cached_enrich_retries(spark, tmp_path):
         run("perm", 10**6, 6)
 
 
+def test_cached_enrich_keeps_successes_before_it_fails(spark, tmp_path):
+    rows = spark.createDataFrame([(f"k{i}", "x" * i) for i in range(40)], "key string, text string")
+    bad, calls = f"{tmp_path}/bad", f"{tmp_path}/calls"
+    put(bad, "k7")
+
+    def fn(batch):
+        with open(bad) as names:
+            if names.read() in set(batch["key"]):
+                raise PermanentError("refused")
+        with open(calls, "a") as out:
+            out.write("".join(f"{k} " for k in batch["key"]))
+        return pd.DataFrame({"key": batch["key"], "n": batch["text"].str.len()})
+
+    def run():
+        return cached_enrich(rows, "key", fn, "n int", f"{tmp_path}/cache", ["key"], inputs=["text"])
+
+    with pytest.raises(RuntimeError, match="k7: PermanentError: refused"):
+        run()
+    assert len(open(calls).read().split()) == 39
+    put(bad, "none")
+    out = run().collect()
+    assert {r.key: r.n for r in out} == {f"k{i}": i for i in range(40)}
+    assert [r.key for r in out if not r.was_cached] == ["k7"] and open(calls).read().split()[39:] == ["k7"]
+    with pytest.raises(ValueError, match="ord"):
+        cached_enrich(rows, "key", fn, "n int", f"{tmp_path}/cache", [])
+
+
+def test_cached_enrich_reads_only_the_shards_in_use(spark, tmp_path, plan_of):
+    rows = spark.createDataFrame([("a", "x"), ("b", "y")], "key string, text string")
+
+    def fn(batch):
+        return pd.DataFrame({"key": batch["key"], "n": 1})
+
+    cached_enrich(rows, "key", fn, "n int", f"{tmp_path}/cache", ["key"], inputs=["text"]).collect()
+    plan = plan_of(cached_enrich(rows.filter("key = 'a'"), "key", fn, "n int", f"{tmp_path}/cache", ["key"], inputs=["text"]))
+    assert "PartitionFilters: [isnotnull(shard" in plan or "PartitionFilters: [(shard" in plan
+
+
+def test_scripts_are_numbered_by_their_path(spark, tmp_path):
+    put(f"{tmp_path}/scripts/a.txt", "A")
+    put(f"{tmp_path}/scripts2/b file.txt", "B")
+    put(f"{tmp_path}/scripts2/c.txt", "C")
+    rows = read_scripts(spark, [f"{tmp_path}/scripts", f"{tmp_path}/scripts2", f"{tmp_path}/scr*2/c.txt"]).collect()
+    assert sorted((r.ord, r.text) for r in rows) == [(0, "A"), (1, "B"), (1, "C"), (2, "C")]
+
+
 # ---- streams ---------------------------------------------------------------
 
 def test_checkpoint_merge_survives_a_kill(spark, tmp_path):
