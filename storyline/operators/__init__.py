@@ -5,8 +5,8 @@ from .enrich import PermanentError, cached_enrich, progress_stats
 from .intervals import boundary_snap, overlap_clip, tiling_check
 from .merging import carry_status, check_allowed, demote_stale, merge_records, patch_fields
 from .planning import assign_round_robin, plan_segments
-from .quality import (conservation_check, contract_violations, duration_check, job_problems,
-                      job_report, segment_problems)
+from .quality import (conservation_check, contract_violations, duration_check, final_problems, job_problems,
+                      job_report, job_totals, not_built, segment_problems)
 from .running import blocks_of, running_before
 from .scenes import plan_scenes
 from .segmentation import (min_text_filter, plan_budget, sentences, split_oversize, split_stories,

@@ -80,6 +80,61 @@ def segment_problems(segments: DataFrame, probes: DataFrame, keys: Sequence[str]
                        F.explode(F.array_compact(F.array(*checks))).alias("problem"))
 
 
+def not_built(jobs: DataFrame, segments: DataFrame, events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Jobs without any segment or without any caption event, as problem rows."""
+    keys = list(keys)
+    missing = jobs.select(*keys).join(segments.select(*keys).distinct(), keys, "left_anti").union(
+        jobs.select(*keys).join(events.select(*keys).distinct(), keys, "left_anti")).distinct()
+    return missing.select(*keys, F.lit("job").alias("scope"), F.lit("not a built job").alias("problem"))
+
+
+def final_problems(finals: DataFrame, totals: DataFrame, keys: Sequence[str],
+                   tol: float = TOLERANCE_S["final"]) -> DataFrame:
+    """Problems of finished outputs as ``(keys, scope, problem)``.
+
+    ``finals(keys, path, probe_s)`` has a row for every job that says it is
+    finished, with a null ``probe_s`` where no file was found, and may carry
+    ``violations``; ``totals(keys, total_ms)``.
+    """
+    keys = list(keys)
+    rows = finals.join(totals.select(*keys, (F.col("total_ms") / 1000.0).alias("__planned")), keys, "left")
+    checks = [
+        F.when(F.col("probe_s").isNull(), F.concat(F.lit("missing: "), F.coalesce("path", F.lit("null")))),
+        F.when(F.abs(F.col("probe_s") - F.col("__planned")) > tol, F.concat(
+            F.lit("duration "), F.format_string("%.2f", "probe_s"), F.lit(" vs planned "),
+            F.format_string("%.2f", "__planned")))]
+    if "violations" in finals.columns:
+        checks.append(F.when(F.col("probe_s").isNotNull() & (F.size("violations") > 0), F.array_join("violations", "; ")))
+    return rows.select(*keys, F.lit("final").alias("scope"), F.explode(F.array_compact(F.array(*checks))).alias("problem"))
+
+
+def job_totals(jobs: DataFrame, segments: DataFrame, events: DataFrame, captions: DataFrame, totals: DataFrame,
+               finals: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """``(keys, segments_done, segments_planned, events, caption_lines, final, hours)`` for every job.
+
+    All counters are reduced in one shuffle.
+    """
+    keys = list(keys)
+    names = ["segments_done", "segments_planned", "events", "caption_lines"]
+    has_file = F.coalesce((F.col("state") == "done") & (F.col("path") != ""), F.lit(False))
+
+    def counted(df: DataFrame, **which) -> DataFrame:
+        return df.select(*keys, *[F.coalesce(which[n].cast("bigint"), F.lit(0).cast("bigint")).alias(n) if n in which
+                                  else F.lit(0).cast("bigint").alias(n) for n in names])
+
+    one = F.lit(1)
+    counts = (counted(segments, segments_done=has_file, segments_planned=one)
+              .union(counted(events, events=one)).union(counted(captions, caption_lines=one))
+              .groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names]))
+    out = jobs.select(*keys).join(counts, keys, "left").join(
+        totals.select(*keys, F.round(F.col("total_ms") / 3_600_000.0, 3).alias("hours")), keys, "left")
+    if finals is None:
+        out = out.withColumn("final", F.lit(None).cast("string"))
+    else:
+        out = out.join(finals.select(*keys, F.col("path").alias("final")), keys, "left")
+    return out.select(*keys, *[F.coalesce(n, F.lit(0)).alias(n) for n in names], "final", "hours")
+
+
 def job_problems(*problem_dfs: DataFrame) -> DataFrame:
     """All problem rows, one per problem; nothing is gathered per job."""
     out = problem_dfs[0]

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import content_key
 from ..operators import (assign_round_robin, boundary_snap, budget_prefix, cached_enrich,
-                         card_events, conservation_check, first_seen_dedupe, fresh_candidates,
-                         job_problems, job_report, job_summary, overlap_clip, plan_scenes,
-                         plan_segments, pool_coverage, segment_problems, split_stories,
+                         card_events, conservation_check, final_problems, first_seen_dedupe, fresh_candidates,
+                         job_problems, job_report, job_summary, job_totals, not_built, overlap_clip, plan_scenes, plan_segments,
+                         pool_coverage, segment_problems, split_stories,
                          timeline_chunks, units)
 from ..sources import read_scripts, write_timeline
 
@@ -68,11 +68,27 @@ def top_up(hits: DataFrame, catalog: DataFrame, blocklist: DataFrame, pool: Data
 
 
 def verify(segments: DataFrame, probes: DataFrame, events: DataFrame, captions: DataFrame,
-           keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Report per job, and all its problems."""
+           keys: Sequence[str], jobs: DataFrame | None = None, totals: DataFrame | None = None,
+           finals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Report per job, and all its problems.
+
+    With ``jobs`` those without segments or events are reported too; with
+    ``totals(keys, total_ms)`` the report has the counters of a job, and
+    ``finals(keys, path, probe_s)`` of finished jobs are held against them.
+    """
+    keys = list(keys)
+    everyone = (segments if jobs is None else jobs).select(*keys).distinct()
     lost = conservation_check(events, captions, keys, segments).select(
         *keys, F.lit("captions").alias("scope"),
         F.concat(F.col("captions").cast("string"), F.lit(" lines for "),
                  F.col("events").cast("string"), F.lit(" events")).alias("problem"))
-    problems = job_problems(segment_problems(segments, probes, keys), lost)
-    return job_report(segments.select(*keys).distinct(), problems, keys), problems
+    found = [segment_problems(segments, probes, keys), lost]
+    if jobs is not None:
+        found.append(not_built(everyone, segments, events, keys))
+    if finals is not None and totals is not None:
+        found.append(final_problems(finals, totals, keys))
+    problems = job_problems(*found)
+    report = job_report(everyone, problems, keys)
+    if totals is not None:
+        report = report.join(job_totals(everyone, segments, events, captions, totals, finals, keys), keys)
+    return report, problems

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import content_key
 from ..functions.text import clean_text
 from ..operators import (cached_enrich, carry_status, demote_stale, duration_check, job_board,
-                         job_problems, job_report, merge_records, patch_fields, progress,
+                         final_problems, job_problems, job_report, job_totals, merge_records, not_built, patch_fields, progress,
                          progress_stats, resume_filter, segment_problems, sentences, status_counts)
 from ..session import scratch_path
 from ..sources import parse_job_state, read_log
@@ -271,6 +271,59 @@ def _job_report(spark, d):
     return job_report(jobs, _problems(spark, d), ["job"])
 
 
+def _jobs(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("job"))
+
+
+def _lines(spark, d, condition):
+    return table(spark, d, "lineitem").filter(condition).select(F.col("l_orderkey").alias("job"))
+
+
+@query("not_built", """SELECT o_orderkey AS job, 'job' AS scope, 'not a built job' AS problem FROM orders
+  WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
+    OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_tax > 0.05)""")
+def _not_built(spark, d):
+    return not_built(_jobs(spark, d), _segments(spark, d), _lines(spark, d, "l_tax > 0.05"), ["job"])
+
+
+_FINALS_SQL = """tot AS (SELECT l_orderkey AS job, sum(l_quantity) AS planned FROM lineitem GROUP BY ALL),
+  fin AS (SELECT o_orderkey AS job, 'out/' || o_orderkey AS path, CASE WHEN o_orderkey % 11 > 0
+    THEN planned + o_orderkey % 3 * 0.2 END AS probe_s FROM orders LEFT JOIN tot ON tot.job = o_orderkey
+    WHERE o_orderpriority = '1-URGENT')"""
+
+
+def _totals(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("job")).agg(
+        (F.sum("l_quantity") * 1000).alias("total_ms"))
+
+
+def _finals(spark, d):
+    job = F.col("o_orderkey")
+    orders = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").join(
+        _totals(spark, d), F.col("job") == job, "left")
+    return orders.select(job.alias("job"), F.concat(F.lit("out/"), job.cast("string")).alias("path"), F.when(
+        job % 11 > 0, F.col("total_ms") / 1000 + job % 3 * F.lit(0.2)).alias("probe_s"))
+
+
+@query("final_problems", f"""WITH {_FINALS_SQL} SELECT fin.job, 'final' AS scope, CASE WHEN probe_s IS NULL
+    THEN 'missing: ' || path ELSE printf('duration %.2f vs planned %.2f', probe_s, planned) END AS problem
+  FROM fin LEFT JOIN tot ON tot.job = fin.job WHERE probe_s IS NULL OR abs(probe_s - planned) > 0.25""")
+def _final_problems(spark, d):
+    return final_problems(_finals(spark, d), _totals(spark, d), ["job"])
+
+
+@query("job_totals", f"""WITH {_SEGS_SQL}, {_FINALS_SQL},
+  s AS (SELECT job, count(*) AS planned, count(*) FILTER (state = 'done' AND path <> '') AS done FROM sg GROUP BY job),
+  l AS (SELECT l_orderkey AS job, count(*) AS n, count(*) FILTER (l_tax > 0.05) AS c FROM lineitem GROUP BY ALL)
+  SELECT o_orderkey AS job, coalesce(s.done, 0) AS segments_done, coalesce(s.planned, 0) AS segments_planned,
+    coalesce(l.n, 0) AS events, coalesce(l.c, 0) AS caption_lines, fin.path AS final, round(tot.planned / 3600, 3) AS hours
+  FROM orders LEFT JOIN s ON s.job = o_orderkey LEFT JOIN l ON l.job = o_orderkey LEFT JOIN tot ON tot.job = o_orderkey
+  LEFT JOIN fin ON fin.job = o_orderkey""")
+def _job_totals(spark, d):
+    return job_totals(_jobs(spark, d), _segments(spark, d), _lines(spark, d, "true"), _lines(spark, d, "l_tax > 0.05"),
+                      _totals(spark, d), _finals(spark, d), ["job"])
+
+
 # ---- streams ---------------------------------------------------------------
 
 def _event_stream(spark, d, **options):

@@ -254,6 +254,14 @@ def test_build_captions_verify(spark, tmp_path):
     assert report.first().ok and problems.count() == 0
     report, problems = verify(segs, probes, line.events, clipped.filter("seg_idx > 0"), ["script_id"])
     assert not report.first().ok and problems.first().scope == "captions"
+    jobs = plan.select("script_id").distinct().union(spark.createDataFrame([("none",)], "script_id string"))
+    totals = line.summary.select("script_id", "total_ms")
+    finals = totals.select("script_id", F.lit("out/final").alias("path"), (F.col("total_ms") / 1000 + 0.3).alias("probe_s"))
+    report, problems = verify(segs, probes, line.events, clipped, ["script_id"], jobs, totals, finals)
+    assert {(r.scope, r.problem.split()[0]) for r in problems.collect()} == {("job", "not"), ("final", "duration")}
+    row = report.filter("script_id <> 'none'").first()
+    assert (row.segments_done, row.segments_planned, row.events, row.caption_lines, row.final) == (
+        len(rows), len(rows), total.caption_events, total.caption_events, "out/final")
 
 
 def test_shared_folder_is_the_one_the_cluster_names(spark):
