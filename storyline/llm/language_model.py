@@ -224,28 +224,33 @@ def _bigram_files(plan: Plan):
                 held.setdefault(s, []).append((_from_sorted(keys), _unsqueezed(counts).astype(np.int64)))
                 if sum(len(k) for k, _ in held[s][1:]) > len(held[s][0][0]):  # merge when the rest has caught up
                     held[s] = [_summed(np.concatenate([k for k, _ in held[s]]), np.concatenate([c for _, c in held[s]]))]
+        seen = np.zeros(4, np.int64)
+        contexts, followers = [], []
         for s in sorted(held):
             keys, counts = _summed(np.concatenate([k for k, _ in held[s]]), np.concatenate([c for _, c in held.pop(s)]))
             big = counts >= _BIG
             store.put(plan.path(f"keys-{s}"), keys.tobytes())
             store.put(plan.path(f"counts-{s}"), np.minimum(counts, _BIG).astype(np.uint8).tobytes())
             store.put(plan.path(f"big-{s}"), np.stack([keys[big].astype(np.int64), counts[big]], 1).tobytes())
-            first, second = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            words, at = np.unique(first, return_index=True)
-            context = np.stack([np.add.reduceat(v.astype(np.int64), at) for v in
-                                (counts, counts == 1, counts == 2, counts > 2)], 1)
-            after, times = _counted(second)
-            rows = []
-            for kind, who, what in ((0, words, context), (1, after, times[:, None])):
-                edges = np.searchsorted(who, plan.base)
-                rows += [(v, kind, _sorted_bytes(who[a:b].astype(np.uint64)), _squeezed(what[a:b].reshape(-1)))
-                         for v, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
-            seen = [int((counts == i).sum()) for i in (1, 2, 3, 4)]
-            v, kind, who, what = zip(*rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, pa.int64()), pa.array(kind, pa.int64()), pa.array(who, pa.binary()), pa.array(what, pa.binary()),
-                 *[pa.array([n] + [0] * (len(rows) - 1), pa.int64()) for n in seen]],
-                names=["shard", "kind", "words", "numbers", "n1", "n2", "n3", "n4"])
+            words, at = np.unique((keys >> np.uint64(32)).astype(np.int64), return_index=True)
+            contexts.append((words, np.stack([np.add.reduceat(v.astype(np.int64), at) for v in
+                                              (counts, counts == 1, counts == 2, counts > 2)], 1)))
+            followers.append(_counted((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)))
+            seen += [int((counts == i).sum()) for i in (1, 2, 3, 4)]
+        if not contexts:
+            return
+        # a task says about a word once what all its shards have
+        rows = []
+        for kind, parts in ((0, contexts), (1, followers)):
+            who, what = _summed(np.concatenate([w for w, _ in parts]), np.concatenate([n for _, n in parts]))
+            edges = np.searchsorted(who, plan.base)
+            rows += [(v, kind, _sorted_bytes(who[a:b].astype(np.uint64)), _squeezed(what[a:b].reshape(-1)))
+                     for v, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
+        v, kind, who, what = zip(*rows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v, pa.int64()), pa.array(kind, pa.int64()), pa.array(who, pa.binary()), pa.array(what, pa.binary()),
+             *[pa.array([int(n)] + [0] * (len(rows) - 1), pa.int64()) for n in seen]],
+            names=["shard", "kind", "words", "numbers", "n1", "n2", "n3", "n4"])
     return write
 
 
@@ -286,7 +291,7 @@ def train(docs: DataFrame, text: str = "text") -> str:
     spark = docs.sparkSession
     folder, width = scratch_path(spark, "bigram-model"), shuffle_width(spark)
     work = docs.select(F.coalesce(text, F.lit("")).alias("__text"))
-    bits, n_shards = max(3, (width - 1).bit_length()), 4 * width
+    bits, n_shards = max(3, (width - 1).bit_length() - 2), 4 * width
     words = work.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     dealt = words.withColumn("__v", F.shiftrightunsigned("word", 64 - bits))
     # the writer needs a shard whole: its size is the vocabulary's, divided by a number that follows the cluster's
