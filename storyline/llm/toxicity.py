@@ -22,13 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .words import IN_TERM, slices, split_words, bytes_of
+from .words import IN_TERM, bytes_of, join_hashes, slices, split_words, windows
 
 # Rows of labels that the model is fitted on at most, and terms it may have.
 MAX_LABELLED = 10_000
-MAX_TERMS = 2_000
+MAX_TERMS = 300
 _STEM = range(3, 9)
-_MIN_DOCS, _MIN_SHARE, _MIN_LOG_ODDS = 8, 0.008, 3.0
+_MIN_DOCS, _MIN_SHARE, _MIN_LOG_ODDS = 8, 0.012, 3.0
 _FUZZY_FROM = 5  # bytes a term needs before misspellings count
 _CONTEXT = 3  # words looked at on each side of a hit
 _QUOTES = (b'"', "“".encode(), "”".encode(), "„".encode(), "«".encode(), "»".encode())
@@ -176,14 +176,32 @@ def _labelled(docs: DataFrame, labels: DataFrame, eligible: Column | None, limit
             .join(F.broadcast(chosen), "doc_id").select("__text", "__toxic"))
 
 
+def _sketched(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least hash of a text's five-word shingles; near copies mostly agree in it."""
+    for batch in slices(rows, "__text", 2 << 20):
+        words = split_words(*bytes_of(batch.column("__text")), lower=True, inside=IN_TERM)
+        hashes = words.hashes()
+        shingles, whole = join_hashes(hashes, 5), windows(words, 5)
+        sketch = np.zeros(words.texts, np.uint64)
+        for t in range(words.texts):
+            own = slice(words.first[t], words.first[t + 1])
+            values = shingles[own][whole[own]]
+            values = values if len(values) else hashes[own]
+            sketch[t] = values.min() if len(values) else 0
+        yield pa.RecordBatch.from_arrays([batch.column("__text"), batch.column("__toxic").cast(pa.int32()),
+                                          pa.array(sketch.view(np.int64))], names=["__text", "__toxic", "__sketch"])
+
+
 def _document_frequencies(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(rows, "__text", 2 << 20):
         words = split_words(*bytes_of(batch.column("__text")), lower=True, inside=IN_TERM)
         toxic = batch.column("__toxic").to_numpy(zero_copy_only=False)
         found: dict[bytes, list[int]] = {}
         for t in range(words.texts):
+            text = words.data[words.offsets[t]:words.offsets[t + 1]].tobytes()
+            marked = any(q in text for q in _QUOTES)  # what is only quoted says nothing about the text
             own = {words.data[words.start[i]:words.end[i]].tobytes()
-                   for i in range(words.first[t], words.first[t + 1])}
+                   for i in range(words.first[t], words.first[t + 1]) if not (marked and _quoted(words, i))}
             stems = set()
             for word in own:
                 # stems are cut between characters only
@@ -253,8 +271,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, eligible: Column | None =
     if not n_toxic or not n_clean:
         return Toxicity(prior=float(n_toxic > 0))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    # copies of one text are one witness
-    candidates = (rows.dropDuplicates(["__text"])
+    # near copies of one text are one witness, or all their words would be terms
+    candidates = (rows.mapInArrow(_sketched, "__text string, __toxic int, __sketch long").dropDuplicates(["__sketch"])
                   .mapInArrow(_document_frequencies, "term binary, toxic long, clean long, whole long")
                   .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"),
                                        F.sum("whole").alias("whole"))
