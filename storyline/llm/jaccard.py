@@ -12,9 +12,10 @@ positions bound the overlap of two texts from above.
 
 *Hot groups.*  In a small group all pairs are candidates.  In a larger one each
 text is paired with the first of its tile and of the tile before.  Pairs that
-pass link their texts; members of a large group that are still in different
-classes are then paired with each other, so no link between classes is lost while
-a group of copies gives one pair per text.
+pass link their texts.  Then members outside a group's largest class are paired
+with sixteen of that class, and what is still in different classes with each
+other.  So no link between classes is lost, while a group of copies gives a few
+pairs per text.
 
 *Verification.*  A pair is checked by bitmap signatures first: a bit set in one
 signature and not in the other is a shingle without partner, so bit counts bound
@@ -34,14 +35,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
 from .repeats import passing
-from .rows import IdFilter, components, shuffle_width
+from .rows import IdFilter, Steps, components, shuffle_width
 from .words import bytes_of, join_hashes, mix, packed, ranges, slices, split_words, u64
 
-_HOT_PER_TASK = 1 << 16  # a task names the shingles that are over 1/2**16 of those it sees
+_HOT_SHARE = 19  # a task names the shingles that are over 1/2**19 of those it sees
 _HOT = 1 << 20  # shingles in the list of hot ones at most: 8 MB
 _SMALL = 4  # texts of a group of which all pairs are candidates
+_HEADS = 16  # members of a tile's largest class that others are held against before all are
 _GROUP_ROWS = 1 << 16
 
 
@@ -85,10 +86,10 @@ def _least_overlap(a, b, percent: int):
 
 
 def _hot_shingles(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """Shingles of very many texts: whatever takes more than 1/2**16 of a task's.
+    """Shingles of very many texts: whatever takes more than 1/2**19 of a task's.
 
-    A shingle in more than 1/2**15 of all is over the bar in some task, so it is
-    found.  The list is bounded (the most frequent first); which shingles are on it
+    A shingle that is over that share of all is over it in some task, so it is
+    found, but for what batches forget.  The list is bounded (the most frequent first); which shingles are on it
     changes the work but never the links.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,11 +98,11 @@ def _hot_shingles(docs: DataFrame, text: str, n: int) -> np.ndarray:
             values, _ = shingles(*bytes_of(batch.column(text)), n)
             seen += len(values)
             values, times = np.unique(values, return_counts=True)
-            # a batch forgets what is under 1/2**17 of it, so a task loses less than that
-            often = times > max(1, len(values) >> 17)
+            # a batch forgets what occurs once or is under 1/2**20 of it
+            often = times > max(1, len(values) >> (_HOT_SHARE + 1))
             kept, where = np.unique(np.concatenate([kept, values[often]]), return_inverse=True)
             counts = np.bincount(where, np.concatenate([counts, times[often]]), len(kept)).astype(np.int64)
-        stays = counts > max(8, seen // (2 * _HOT_PER_TASK))
+        stays = counts > max(4, seen >> _HOT_SHARE)
         yield pa.RecordBatch.from_arrays([pa.array(kept[stays].view(np.int64)), pa.array(counts[stays])],
                                          names=["shingle", "n"])
 
@@ -168,27 +169,41 @@ def _may_link(size, at, i, j, percent):
     return (small * 100 >= large * percent) & (left >= _least_overlap(small, large, percent))
 
 
-def _across(start, count, size, root, percent):
+def _across(start, count, size, root, node, percent, heads):
     """Pairs of members of a group, of neighbouring sizes and different classes.
 
     Members of the group's largest class are not paired with each other, so the
-    work grows with the members outside it.
+    work grows with the members outside it.  With ``heads``, these are paired with
+    that many members of the largest class in each tile next to their size.
     """
+    band = math.log(100 / percent) / 2
     for s, c in zip(start, count):
         sizes, roots = size[s:s + c], root[s:s + c]
         names, often = np.unique(roots, return_counts=True)
         largest = names[often.argmax()]
         others = np.flatnonzero(roots != largest)
-        low = np.searchsorted(sizes, -(-sizes[others] * percent // 100))
-        high = np.searchsorted(sizes, sizes[others] * 100 // percent, "right")
+        if not len(others):
+            continue
+        if heads:
+            tile = np.floor(np.log(sizes) / band).astype(np.int64)
+            inside = np.flatnonzero(roots == largest)
+            inside = inside[np.lexsort((mix(node[s + inside].view(np.uint64)), tile[inside]))]
+            first = np.searchsorted(tile[inside], tile[inside])
+            chosen = inside[np.arange(len(inside)) - first < heads]  # by tile, the least hashes of each
+            low = np.searchsorted(tile[chosen], tile[others] - 1)
+            high = np.searchsorted(tile[chosen], tile[others] + 1, "right")
+        else:
+            chosen = np.arange(c)
+            low = np.searchsorted(sizes, -(-sizes[others] * percent // 100))
+            high = np.searchsorted(sizes, sizes[others] * 100 // percent, "right")
         edges = np.searchsorted(np.cumsum(high - low), np.arange(0, int((high - low).sum()), 1 << 21), "left")
         for a, b in zip(edges, [*edges[1:], len(others)]):
-            i, j = np.repeat(others[a:b], (high - low)[a:b]), ranges(low[a:b], (high - low)[a:b])
+            i, j = np.repeat(others[a:b], (high - low)[a:b]), chosen[ranges(low[a:b], (high - low)[a:b])]
             good = (roots[i] != roots[j]) & ((roots[j] == largest) | (j > i))
             yield s + i[good], s + j[good]
 
 
-def _pairs_of(percent: int, classes: bool):
+def _pairs_of(percent: int, classes: bool = False, heads: int = 0):
     """Candidate pairs of every shingle's group.
 
     Without classes: all pairs of small groups; of larger ones the stars of the
@@ -222,7 +237,7 @@ def _pairs_of(percent: int, classes: bool):
             members = np.zeros(0, np.int64)
             if classes:
                 root = root[fresh]
-                for i, j in _across(start, count, size, root, percent):
+                for i, j in _across(start, count, size, root, node, percent, heads):
                     keep(i, j)
             else:
                 for step in range(1, _SMALL):
@@ -232,9 +247,12 @@ def _pairs_of(percent: int, classes: bool):
                     keep(i, i + step)
                 members = np.flatnonzero(count[of] > _SMALL)
                 if len(members):
+                    # the head is the least by hash, so shingles of the same copies agree on it
                     tile = np.floor(np.log(size[members]) / band).astype(np.int64)
                     mark = of[members] * 1_000_003 + tile
-                    tiles, head = np.unique(mark, return_index=True)
+                    by_hash = np.lexsort((mix(node[members].view(np.uint64)), mark))
+                    tiles, head = np.unique(mark[by_hash], return_index=True)
+                    head = by_hash[head]
                     keep(members, members[head[np.searchsorted(tiles, mark)]])
                     before = np.minimum(np.searchsorted(tiles, mark - 1), len(tiles) - 1)
                     has = tiles[before] == mark - 1
@@ -259,7 +277,9 @@ def _signature_width(size: int) -> int:
     return min(8192, max(64, 1 << (4 * size - 1).bit_length()))
 
 
-def _signature(values: np.ndarray) -> bytes:
+def _signature(values: np.ndarray) -> bytes | None:
+    if not len(values):
+        return None
     width = _signature_width(len(values))
     bits = np.zeros(width, np.uint8)
     bits[(values >> np.uint64(20)).astype(np.int64) & (width - 1)] = 1
@@ -271,31 +291,28 @@ def _folded(signature: np.ndarray, width: int) -> np.ndarray:
     return np.bitwise_or.reduce(signature.reshape(-1, width // 8), axis=0)
 
 
-def _sets(work: DataFrame, rows: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """(node, signature, hashes) of the sets in ``pairs``, from one text for each.
+def _sets(work: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """(node, hashes) of the sets in ``pairs``, from one text for each.
 
-    Texts are picked by a filter on their keys; a few others may pass and do no harm.
+    Texts are picked by a filter on their rows; a few others may pass and do no harm.
     """
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    wanted = IdFilter(rows.join(ends.distinct(), "node", "left_semi").groupBy("node").agg(
-        F.min("__key").alias("__key")), "__key")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = IdFilter(nodes.join(ends, "node", "left_semi"), "__rid")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = (b.filter(pa.array(wanted.may_hold(b.column("slot").to_numpy()))) for b in batches)
         for batch in slices(chosen, "__text"):
             values, first = shingles(*bytes_of(batch.column("__text")), n)
-            nodes = _nodes(values, first)
-            _, one = np.unique(nodes, return_index=True)
+            node = _nodes(values, first)
+            _, one = np.unique(node, return_index=True)
             one = np.sort(one)
             size = np.diff(first)[one]
             body = values[ranges(first[one], size)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes[one]), pa.array(size), pa.array([_signature(values[first[t]:first[t + 1]]) for t in one], pa.binary()),
-                 packed(body.view(np.uint8), np.concatenate([[0], np.cumsum(size * 8)]))],
-                names=["node", "size", "signature", "hashes"])
+                [pa.array(node[one]), packed(body.view(np.uint8), np.concatenate([[0], np.cumsum(size * 8)]))],
+                names=["node", "hashes"])
 
-    return work.select("__text", IdFilter.slot("__key").alias("slot")).mapInArrow(
-        emit, "node long, size long, signature binary, hashes binary")
+    return work.select("__text", IdFilter.slot("__rid").alias("slot")).mapInArrow(emit, "node long, hashes binary")
 
 
 def _bounded(percent: int):
@@ -328,16 +345,21 @@ def _linked(percent: int):
     return check
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
-    def side(name: str, column: str) -> DataFrame:
-        return sets.select(F.col("node").alias(name), F.col(column).alias(f"{column}_{name}"),
-                           F.col("size").alias(f"size_{name}"))
+def _verified(steps: Steps, work: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold, written; ``pairs`` is dropped."""
+    def side(name: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"),
+                            F.col("signature").alias(f"signature_{name}"))
 
-    bounded = (pairs.join(side("a", "signature"), "a").join(side("b", "signature"), "b")
-               .mapInArrow(_bounded(percent), "a long, b long").distinct())
-    return (bounded.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b")
-            .mapInArrow(_linked(percent), "a long, b long"))
+    bounded = steps.write(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(
+        _bounded(percent), "a long, b long"))
+    sets = steps.write(_sets(work, nodes, bounded, n))
+    linked = steps.write(
+        bounded.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b")
+        .mapInArrow(_linked(percent), "a long, b long"))
+    steps.drop(pairs, bounded, sets)
+    return linked
 
 
 def _classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
@@ -349,30 +371,43 @@ def _classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
         for batch in slices(batches, "__text"):
             values, first = shingles(*bytes_of(batch.column("__text")), n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__rid"), batch.column("__key"), pa.array(_nodes(values, first)), pa.array(np.diff(first))],
-                names=["__rid", "__key", "node", "n_shingles"])
-
-    rows = cut_lineage(work.mapInArrow(describe, "__rid long, __key long, node long, n_shingles long"))
+                [batch.column("__rid"), batch.column("__key"), pa.array(_nodes(values, first)), pa.array(np.diff(first)),
+                 pa.array([_signature(values[a:b]) for a, b in zip(first[:-1], first[1:])], pa.binary())],
+                names=["__rid", "__key", "node", "n_shingles", "signature"])
+
+    steps = Steps(docs.sparkSession)
+    described = steps.write(work.mapInArrow(
+        describe, "__rid long, __key long, node long, n_shingles long, signature binary"))
+    rows = described.drop("signature")
+    # one row of each set stands for its copies
+    chosen = described.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct("__key", "__rid")).alias("of"))
+    nodes = steps.write(described.join(chosen.select("node", "of.__key", "of.__rid"), ["node", "__key", "__rid"])
+                        .select("node", "__rid", F.col("n_shingles").alias("size"), "signature")
+                        .dropDuplicates(["node"]))
     hot = _hot_shingles(work, "__text", n)
     width = shuffle_width(docs.sparkSession)
-    found = cut_lineage(
+    found = steps.write(
         _tokens(work, "__text", n, percent, hot).repartition(width, "shingle").sortWithinPartitions("shingle")
-        .mapInArrow(_pairs_of(percent, False), _PAIR))
-    pairs = cut_lineage(found.filter("pair").select("a", "b").distinct())
-    links = cut_lineage(_check(work, rows, pairs, n, percent))
+        .mapInArrow(_pairs_of(percent), _PAIR))
+    pairs = steps.write(found.filter("pair").select("a", "b").distinct())
+    links = _verified(steps, work, nodes, pairs, n, percent)
     classes = components(links)
     members = found.filter("not pair").select("shingle", F.col("a").alias("node"), F.col("b").alias("place"))
-    if not members.isEmpty():
+    for heads in (_HEADS, 0):
         known = members.join(classes, "node", "left").select(
             "shingle", "node", "place", F.coalesce("root", "node").alias("root"))
         # a shingle whose members are all in one class has nothing left to say
         split = known.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-        rest = cut_lineage(
+        rest = steps.write(
             known.join(split.select("shingle"), "shingle", "left_semi")
             .repartition(width, "shingle").sortWithinPartitions("shingle")
-            .mapInArrow(_pairs_of(percent, True), _PAIR).select("a", "b").distinct())
-        more = cut_lineage(_check(work, rows, rest, n, percent))
-        classes = components(links.union(more))
+            .mapInArrow(_pairs_of(percent, True, heads), _PAIR).select("a", "b").distinct())
+        more = _verified(steps, work, nodes, rest, n, percent)
+        joined = steps.write(links.union(more))
+        steps.drop(links, more)
+        links = joined
+        classes = components(links)
+    steps.drop(found, nodes, links)
     named = rows.filter("n_shingles > 0").join(classes, "node", "left").select(
         "__key", "__rid", "n_shingles", F.coalesce("root", "node").alias("root"))
     return named.union(rows.filter("n_shingles = 0").select(
@@ -395,13 +430,15 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n
 
     Rows without words are linked with nothing and stay.
     """
-    named = cut_lineage(_classes(docs, key, text, n, percent).filter("root is not null"))
+    steps = Steps(docs.sparkSession)
+    named = steps.write(_classes(docs, key, text, n, percent).filter("root is not null"))
     first = named.groupBy("root").agg(F.min(F.struct(
         F.coalesce("__key", F.lit((1 << 63) - 1)).alias("k"), F.col("__rid").alias("rid"))).alias("first"))
     judged = named.groupBy("root", "__rid").agg(F.count("*").alias("times")).join(first, "root")
     # rows to look at: those that go, and the repeats of one that stays
-    doubtful = cut_lineage(judged.select("__rid", (F.col("__rid") == F.col("first.rid")).alias("stays"), "times")
+    doubtful = steps.write(judged.select("__rid", (F.col("__rid") == F.col("first.rid")).alias("stays"), "times")
                            .filter("not stays or times > 1"))
+    steps.drop(named)
     tagged = docs.withColumn("__rid", F.xxhash64(F.col(key), F.coalesce(text, F.lit("")))).withColumn(
         "__slot", IdFilter.slot("__rid"))
     wanted = IdFilter(doubtful, "__rid")
@@ -409,7 +446,3 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     hit = passing(tagged, wanted, True).join(doubtful, "__rid", "left")
     once = hit.filter("stays").dropDuplicates(["__rid"]).select(*docs.columns)
     return clear.union(hit.filter("stays is null").select(*docs.columns)).union(once)
-
-
-def _check(work: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    return _verified(pairs, cut_lineage(_sets(work, rows, pairs, n)), percent)

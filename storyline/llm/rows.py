@@ -1,10 +1,12 @@
 """Keys of rows, filters by key and components of links."""
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import cut_lineage
+from ..session import scratch_path
 
 _FILTER_BITS = 24
 
@@ -37,6 +39,28 @@ class IdFilter:
         return (self.bits[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1) > 0
 
 
+class Steps:
+    """Tables that an operator writes to the shared folder, and drops when they have been read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, "step")
+        df.write.parquet(path)
+        stored = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(stored)] = stored, path
+        return stored
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables on which nothing that is still to be read depends."""
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df))[1])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()  # Spark removes the shuffle files of plans that nothing refers to
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -50,7 +74,8 @@ def components(links: DataFrame) -> DataFrame:
     longest chain.  Every round is written to the shared folder.
     """
     spark = links.sparkSession
-    edges = cut_lineage(
+    steps = Steps(spark)
+    edges = steps.write(
         links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _state(edges)
     while state[0]:
@@ -60,7 +85,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = cut_lineage(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        before, edges = edges, steps.write(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        steps.drop(before)
         now = _state(edges)
         if now == state:
             break

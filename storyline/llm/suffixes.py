@@ -19,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..session import cut_lineage
 from . import repeats as R
-from .rows import IdFilter, shuffle_width
+from .rows import IdFilter, Steps, shuffle_width
 from .words import bytes_of, mix, ranges, slices, u64
 
 _GRAM = 8
@@ -216,20 +215,22 @@ def remove_repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "tex
     rows are repeats of each other.
     """
     shape, width = Shape(length), shuffle_width(docs.sparkSession)
+    steps = Steps(docs.sparkSession)
     work = R.identified(docs, key, text)
     anchors = work.select("__rid", "__text").mapInArrow(
         _anchors(shape), "content long, __rid long, anchor long, lead long, known boolean")
-    found = cut_lineage(R.repeated(anchors, "content", width).select("__rid", "anchor", "lead"))
+    found = steps.write(R.repeated(anchors, "content", width).select("__rid", "anchor", "lead"))
     n = 2 * width
     splits = found.agg(F.percentile_approx("lead", [(i + 1) / n for i in range(n - 1)], 10 * n)).first()[0] or []
     wanted = IdFilter(found.select("__rid").distinct(), "__rid")
     per_row = found.groupBy("__rid").agg(F.collect_set("anchor").alias("anchors"))
     candidates = R.passing(work.select("__rid", "__slot", "__text"), wanted, True).join(per_row, "__rid")
-    spans = cut_lineage(
+    spans = steps.write(
         candidates.select("__rid", "__text", "anchors")
         .mapInArrow(_strings(shape, np.array(sorted(set(splits)), np.int64)), _STRING)
         .repartition(width, "bucket").sortWithinPartitions("lead", "content")
         .mapInArrow(_resolve(shape), "__rid long, span long"))
+    steps.drop(found)
 
     def cut(texts: pa.Array, own: list[np.ndarray]) -> list[pa.Array]:
         data, offsets = bytes_of(texts)

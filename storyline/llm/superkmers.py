@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..session import cut_lineage
 from . import repeats as R
-from .rows import IdFilter, shuffle_width
+from .rows import IdFilter, Steps, shuffle_width
 from .words import Words, bytes_of, join_hashes, packed, ranges, slices, split_words
 
 _MINIMISER = 4
@@ -143,16 +142,18 @@ def remove_repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "tex
     remove each other's words.
     """
     width = shuffle_width(docs.sparkSession)
+    steps = Steps(docs.sparkSession)
     work = R.identified(docs, key, text)
     rows = work.select("__rid", "__text").mapInArrow(_minimisers(window), "minimiser long, __rid long, anchor long, known boolean")
-    found = cut_lineage(R.repeated(rows, "minimiser", width).select("__rid", "anchor"))
+    found = steps.write(R.repeated(rows, "minimiser", width).select("__rid", "anchor"))
     wanted = IdFilter(found.select("__rid").distinct(), "__rid")
     per_row = found.groupBy("__rid").agg(F.collect_set("anchor").alias("anchors"))
     candidates = R.passing(work, wanted, True).drop("__slot").join(per_row, "__rid")
-    spans = cut_lineage(
+    spans = steps.write(
         candidates.mapInArrow(_super_kmers(window), _STRING)
         .repartition(width, "minimiser").sortWithinPartitions("minimiser")
         .mapInArrow(_counted(window), "__rid long, span long"))
+    steps.drop(found)
 
     def cut(texts: pa.Array, own: list[np.ndarray]) -> list[pa.Array]:
         words = split_words(*bytes_of(texts))
