@@ -24,11 +24,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .words import IN_TERM, bytes_of, join_hashes, slices, split_words, windows
 
-# Rows of labels that the model is fitted on at most, and terms it may have.
+# Rows of labels that the model is fitted on at most.
 MAX_LABELLED = 10_000
-MAX_TERMS = 300
 _STEM = range(3, 9)
-_MIN_DOCS, _MIN_SHARE, _MIN_LOG_ODDS = 8, 0.012, 3.0
+_MIN_DOCS, _MIN_LOG_ODDS = 8, 3.0
 _FUZZY_FROM = 5  # bytes a term needs before misspellings count
 _CONTEXT = 3  # words looked at on each side of a hit
 _QUOTES = (b'"', "“".encode(), "”".encode(), "„".encode(), "«".encode(), "»".encode())
@@ -89,15 +88,24 @@ class _Finder:
         fuzzy = {t: s for t, s in model.terms.items() if len(t) >= _FUZZY_FROM}
         self.trie = Trie(fuzzy)
         # one of the two halves of a term survives a single edit
-        halves = set()
+        parts = {(0, term) for term in model.terms if len(term) < _FUZZY_FROM}
         for term in fuzzy:
             cut = len(term) // 2
-            halves.add((0, term[:cut][:8]))
-            halves.update((cut + shift, term[cut:][:8]) for shift in (-1, 0, 1))
-        self.halves: dict[int, list[tuple[int, int]]] = {}
-        for offset, part in sorted(halves):
-            mask = (1 << (8 * len(part))) - 1
-            self.halves.setdefault(offset, []).append((int.from_bytes(part, "little"), mask))
+            parts.add((0, term[:cut][:8]))
+            parts.update((cut + shift, term[cut:][:8]) for shift in (-1, 0, 1))
+        # by offset: which first two bytes occur, and the sorted parts of each length
+        self.parts: dict[int, tuple[np.ndarray, dict[int, np.ndarray]]] = {}
+        for offset in sorted({o for o, _ in parts}):
+            own = [p for o, p in parts if o == offset]
+            leads = np.zeros(1 << 16, bool)
+            for part in own:
+                if len(part) > 1:
+                    leads[int.from_bytes(part[:2], "little")] = True
+                else:
+                    leads[part[0]::256] = True
+            self.parts[offset] = leads, {
+                n: np.unique(np.array([int.from_bytes(p, "little") for p in own if len(p) == n], np.uint64))
+                for n in sorted({len(p) for p in own})}
         self.memo: dict[bytes, int] = {}
 
     def _kind(self, word: bytes) -> int:
@@ -124,14 +132,12 @@ class _Finder:
         eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
         maybe = np.zeros(len(out), bool)
         first = eight[words.start]
-        for term in self.model.terms:
-            if len(term) < _FUZZY_FROM:
-                mask = np.uint64((1 << (8 * len(term))) - 1)
-                maybe |= (first & mask) == np.uint64(int.from_bytes(term, "little"))
-        for offset, parts in self.halves.items():
+        for offset, (leads, by_length) in self.parts.items():
             at = first if not offset else eight[np.minimum(words.start + offset, len(eight) - 1)]
-            for part, mask in parts:
-                maybe |= (at & np.uint64(mask)) == np.uint64(part)
+            led = np.flatnonzero(leads[(at & np.uint64(0xFFFF)).astype(np.int64)] & ~maybe)
+            for n, own in by_length.items():
+                value = at[led] & np.uint64((1 << (8 * n)) - 1)
+                maybe[led] |= own[np.minimum(np.searchsorted(own, value), len(own) - 1)] == value
         for i in np.flatnonzero(maybe):
             out[i] = self.kind(words.data[words.start[i]:words.end[i]].tobytes())
         return out
@@ -230,15 +236,17 @@ def _choose(rows: Iterable, n_toxic: int, n_clean: int) -> dict[bytes, bool]:
         chars = term.decode(errors="ignore")
         following.setdefault(chars[:-1].encode(), []).append(term)
     chosen: dict[bytes, bool] = {}
+    beginnings: set[bytes] = set()
     for term in sorted(stats, key=lambda t: (len(t), t)):
         if any(term[:k] in chosen for k in range(1, len(term) + 1)):
             continue
-        if any(term.startswith(c[:len(term)]) and len(c) > len(term) for c in chosen):
+        if term in beginnings:
             continue
         grown = term
         while longer := [t for t in following.get(grown, []) if stats[t][0] >= 0.9 * stats[term][0]]:
             grown = max(longer, key=lambda t: stats[t][0])
         chosen[grown] = stats[grown][1] < 0.9 * stats[grown][0]
+        beginnings.update(grown[:k] for k in range(1, len(grown)))
     return chosen
 
 
@@ -259,11 +267,12 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, eligible: Column | None = None,
-                   max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Toxicity:
+                   max_labelled: int = MAX_LABELLED) -> Toxicity:
     """Learn terms and weights from at most ``max_labelled`` labelled documents.
 
-    ``eligible`` is a condition on ``labels`` rows.  What reaches the driver is
-    bounded by the two limits.
+    ``eligible`` is a condition on ``labels`` rows.  Every term that passes the test
+    of count and odds is learned.  What reaches the driver is bounded by the limit:
+    a term takes ``_MIN_DOCS`` of the documents at least.
     """
     rows = _labelled(docs, labels, eligible, max_labelled)
     sizes = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("__toxic"), F.lit(0)).alias("t")).first()
@@ -276,8 +285,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, eligible: Column | None =
                   .mapInArrow(_document_frequencies, "term binary, toxic long, clean long, whole long")
                   .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"),
                                        F.sum("whole").alias("whole"))
-                  .filter((F.col("toxic") >= max(_MIN_DOCS, _MIN_SHARE * n_toxic)) & (odds >= _MIN_LOG_ODDS))
-                  .orderBy(F.desc("toxic"), "term").limit(max_terms).collect())
+                  .filter((F.col("toxic") >= _MIN_DOCS) & (odds >= _MIN_LOG_ODDS)).collect())
     model = Toxicity(_choose([tuple(r) for r in candidates], n_toxic, n_clean), prior=n_toxic / (n_toxic + n_clean))
     seen = rows.mapInArrow(_hits_of(model), "toxic int, plain long, quoted long, misspelled array<binary>").collect()
     seen.sort(key=lambda r: (sorted(map(bytes, r.misspelled)), r.toxic, r.plain, r.quoted))

@@ -381,6 +381,24 @@ def test_toxicity(spark, empty):
         assert {r.toxicity for r in toxicity.with_toxicity(docs, toxicity.learn_toxicity(docs, none)).collect()} == {0.0}
 
 
+def test_every_toxic_term_is_learned(spark):
+    rng = random.Random(16)
+
+    def name():
+        return "".join(rng.choice("bcdfghklmnprstvwz") + rng.choice("aeiou") for _ in range(4))
+
+    terms, filler = [name() for _ in range(90)], [name() for _ in range(300)]
+    texts = [[rng.choice(filler) for _ in range(30)] for _ in range(2 * 12 * len(terms))]
+    for i in range(12 * len(terms)):      # each term in 12 of 1,080 toxic documents, a share of 1.1 percent
+        texts[i][15] = terms[i % len(terms)]
+    rows = [(i, " ".join(w), int(i < 12 * len(terms))) for i, w in enumerate(texts)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.learn_toxicity(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    got = {r.doc_id: r.toxicity >= 0.5 for r in toxicity.with_toxicity(docs, model).collect()}
+    assert all(any(t.startswith(m.decode()) for m in model.terms) for t in terms)      # itself or its stem
+    assert all(got[i] for i, _, y in rows if y)
+
+
 # ---- decontamination -------------------------------------------------------
 
 def test_blocks_meet_within_the_radius():
