@@ -379,9 +379,9 @@ def _classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
     described = steps.write(work.mapInArrow(
         describe, "__rid long, __key long, node long, n_shingles long, signature binary"))
     rows = described.drop("signature")
-    # one row of each set stands for its copies
-    chosen = described.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct("__key", "__rid")).alias("of"))
-    nodes = steps.write(described.join(chosen.select("node", "of.__key", "of.__rid"), ["node", "__key", "__rid"])
+    # one row of each set stands for its copies; keys may be null, row hashes are not
+    chosen = described.filter("n_shingles > 0").groupBy("node").agg(F.min("__rid").alias("__rid"))
+    nodes = steps.write(described.join(chosen, ["node", "__rid"])
                         .select("node", "__rid", F.col("n_shingles").alias("size"), "signature")
                         .dropDuplicates(["node"]))
     hot = _hot_shingles(work, "__text", n)

@@ -144,6 +144,17 @@ def test_jaccard_does_not_depend_on_group_limits(docs, corpus, monkeypatch, smal
     assert got == classes_by_force(corpus)
 
 
+def test_rows_without_key_link_their_copies(spark):
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(9000)}" for _ in range(120)]
+    near = [*base[:60], "edit", *base[61:]]
+    rows = [(None, " ".join(base)), (7, " ".join(base)), (8, " ".join(near)), (None, " ".join(near)), (9, "of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(docs).collect()), key=str)
+    assert got == classes_by_force(rows) and [c for _, _, c in got].count(7) == 4
+    assert sorted(r.doc_id for r in jaccard.keep_one_of_each(docs).collect()) == [7, 9]
+
+
 def test_one_of_each_stays(docs, corpus):
     kept = collections.Counter((r.doc_id, r.text) for r in jaccard.keep_one_of_each(docs).collect())
     groups = collections.defaultdict(set)
