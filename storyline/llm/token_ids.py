@@ -7,11 +7,13 @@ returns names its files, so files of a lost attempt are never read.
 The tokenizer splits a text before most blanks and punctuation, and what stands
 between two such places always gets the same ids.  So each different piece is
 encoded once and its ids are copied; a bounded number of pieces is remembered
-from one batch to the next.
+from one batch to the next.  A string that is an added token of the tokenizer is a
+piece of its own, and the text on both sides of it is split as if it ended there.
 """
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,15 +40,33 @@ _MARK = _PRINTED & ~_LETTER
 _MARK[[*range(0x30, 0x3A), 0x27]] = False  # digits and the apostrophe are left to the tokenizer
 
 
-def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def added_places(raw: bytes, offsets: np.ndarray, added: re.Pattern) -> tuple[np.ndarray, np.ndarray]:
+    """Where added tokens start and end; none reaches from one text into the next."""
+    start, end, at = [], [], 0
+    while found := added.search(raw, at):
+        a, b = found.span()
+        text_end = int(offsets[np.searchsorted(offsets, a, "right")])
+        at = b
+        if b > text_end:
+            at = a + 1
+        else:
+            start.append(a)
+            end.append(b)
+    return np.array(start, np.int64), np.array(end, np.int64)
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray, added: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Places at which byte-level BPE with the usual word pattern always starts a new word.
 
     Before a space that leads a printed character, around a single line end
-    between printed characters, and between a letter and a mark.
+    between printed characters, and between a letter and a mark.  ``added`` tokens
+    (starts, ends) are pieces.
     """
     before, after = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)
     before[1:], after[:-1] = data[:-1], data[1:]
     edges = offsets[1:-1]
+    if added is not None:
+        edges = np.concatenate([edges, *added])
     edges = edges[(edges > 0) & (edges < len(data))]
     before[edges], after[edges - 1] = 0, 0
     blank = np.isin(after, [0, *range(0x09, 0x0E), 0x20])
@@ -54,6 +74,8 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     line = (data == 0x0A) & _PRINTED[before] & _PRINTED[after]
     start |= line | (_MARK[data] & _LETTER[before])
     start[1:] |= line[:-1]
+    if added is not None:
+        start[ranges(added[0], added[1] - added[0])] = False
     start[edges] = True
     if len(data):
         start[0] = True
@@ -67,12 +89,17 @@ class Encoder:
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("added tokens that look at their neighbours are not supported")
+        names = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, names))) if names else None
         self.hashes, self.first, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        start = piece_starts(data, offsets)
+        raw = data.tobytes()
+        start = piece_starts(data, offsets, added_places(raw, offsets, self.added) if self.added else None)
         end = np.concatenate([start[1:], [len(data)]]).astype(np.int64)
         pieces = Words(data, offsets, start, end, np.searchsorted(start, offsets))
         hashes = pieces.hashes()
@@ -82,7 +109,6 @@ class Encoder:
         if len(self.hashes):
             hit = self.hashes[np.minimum(known, len(self.hashes) - 1)] == unique
         fresh = np.flatnonzero(~hit)
-        raw = data.tobytes()
         texts = [raw[start[e]:end[e]].decode() for e in example[fresh]]
         new = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, new), np.int64, len(new))

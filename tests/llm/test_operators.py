@@ -241,6 +241,20 @@ def test_pieces_give_the_ids_of_whole_texts():
             assert ids[edge[t]:edge[t + 1]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
+def test_added_tokens_in_a_text_are_matched():
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, fresh, rng = Encoder(path), Tokenizer.from_file(path), random.Random(18)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "a", "the", ".", "'s", "1", "é", "|"]
+    texts = ["x <|endoftext|> y", "<|endof", "text|>", "", *("".join(rng.choice(parts) for _ in range(rng.randrange(25)))
+                                                         for _ in range(3000))]
+    assert 50256 in fresh.encode(texts[0], add_special_tokens=False).ids
+    ids, count = encoder.encode(*bytes_of(pa.array(texts)))
+    edge = np.concatenate([[0], np.cumsum(count)])
+    for t, text in enumerate(texts):
+        assert ids[edge[t]:edge[t + 1]].tolist() == fresh.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_wavelet_matrix():
     for n in (0, 1, 65536, 150_001):
         ids = np.random.default_rng(n).integers(0, 50257, n) if n < 100_000 else np.arange(n) % 7 * 9000
