@@ -23,6 +23,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .jaccard import _classes
+
 SHARD = 4096  # pieces of a shard, on average
 
 
@@ -71,11 +73,6 @@ def token_count(text: str = "text") -> Column:
     return (F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long")
 
 
-def text_cluster(text: str = "text") -> Column:
-    """Equal for texts of the same words."""
-    return F.xxhash64(F.regexp_replace(F.trim(F.lower(F.coalesce(F.col(text), F.lit("")))), r"\s+", " "))
-
-
 def best_fit(lengths: DataFrame, capacity: int, key: str = "doc_id", length: str = "n_tokens",
              source: str = "source", cluster: str = "cluster") -> DataFrame:
     """One row per piece: ``sequence_id``, ``position`` in it, ``key``, ``piece``, ``start`` in the text, ``length``."""
@@ -85,9 +82,12 @@ def best_fit(lengths: DataFrame, capacity: int, key: str = "doc_id", length: str
               .withColumn("piece", F.explode(F.expr(f"sequence(0L, (n - 1) div {capacity}L)")))
               .select("__key", "piece", "source", "cluster", (F.col("piece") * capacity).alias("start"),
                       F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).alias("length")))
-    whole = pieces.filter(F.col("length") == capacity).select(
-        F.concat_ws("-", F.lit("w"), "__key", "piece").alias("sequence_id"), F.lit(0).cast("long").alias("position"),
-        "__key", "piece", "start", "length")
+    # rows may repeat and keys be null, so equal pieces are numbered
+    whole = (pieces.filter(F.col("length") == capacity).groupBy("__key", "piece", "start", "length")
+             .agg(F.count("*").alias("times")).withColumn("ordinal", F.explode(F.expr("sequence(1L, times)")))
+             .select(F.concat_ws("-", F.when(F.col("__key").isNull(), "n").otherwise("w"), "__key", "piece",
+                                 "ordinal").alias("sequence_id"),
+                     F.lit(0).cast("long").alias("position"), "__key", "piece", "start", "length"))
     # one remainder a row at most, so the number of rows gives the number of shards
     shards = max(1, -(-rows.count() // SHARD))
     rest = pieces.filter(F.col("length") < capacity).withColumn(
@@ -112,6 +112,12 @@ def best_fit(lengths: DataFrame, capacity: int, key: str = "doc_id", length: str
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Documents (doc_id, text, source) packed by words; one source and one text per sequence."""
-    return best_fit(docs.select("doc_id", "source", token_count().alias("n_tokens"), text_cluster().alias("cluster")),
-                    capacity)
+    """Documents (doc_id, text, source) packed by words; one source and one of linked near copies per sequence.
+
+    Texts without words are one cluster.
+    """
+    named = _classes(docs, "doc_id", "text", 5, 80).select(
+        "__rid", F.coalesce(F.col("root").cast("string"), F.lit("blank")).alias("cluster")).distinct()
+    lengths = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("__rid"),
+                          "doc_id", "source", token_count().alias("n_tokens"))
+    return best_fit(lengths.join(named, "__rid"), capacity)

@@ -482,6 +482,20 @@ def test_pack_takes_the_tightest_compatible_bin():
         assert packing.pack(pieces, 64) == best_fit_by_force(pieces, 64)
 
 
+def test_packed_documents_do_not_share_near_copies_or_names(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:30], f"edit{i}", *base[31:]]) if i else " ".join(base), f"s{i}") for i in range(4)]
+    rows += [(None, " ".join(f"x{i}" for i in range(300)), "a"), (None, " ".join(f"y{i}" for i in range(300)), "b")]
+    rows += [(9, " ".join(f"z{i}" for i in range(300)), "c")] * 2
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), 256).collect()
+    held = collections.Counter()
+    for r in got:
+        held[r.sequence_id] += r.length
+    assert len(got) == 4 + 2 * 4 and max(held.values()) <= 256 and len([r for r in got if r.length == 256]) == 4
+    assert len({r.sequence_id for r in got if r.length == 256}) == 4
+    assert len({r.sequence_id for r in got if r.doc_id in range(4)}) == 4
+
+
 def test_best_fit(spark, empty):
     rng = random.Random(12)
     rows = [(i, rng.randint(0, 300), rng.choice(["hot", "hot", f"s{i % 7}", None]), rng.choice([None, i % 40])) for i in range(900)]
