@@ -9,6 +9,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import sql
+from .collocations import mine_phrases
 from .decontamination import find_leaks
 from .fingerprints import edited_fingerprints
 from .jaccard import jaccard_classes
@@ -26,6 +28,7 @@ ORACLES: dict[str, str] = {}
 
 def query(fn):
     QUERIES[fn.__name__] = fn
+    ORACLES.update({fn.__name__: sql.SQL[fn.__name__]} if fn.__name__ in sql.SQL else {})
     return fn
 
 
@@ -99,3 +102,8 @@ def op5_quality(spark, sf_dir):
     trusted = table(spark, sf_dir, "labels").filter("quality = 1")
     return classified(docs, learn_quality(docs, trusted)).filter("__keep").select(
         "doc_id", "lang", F.col("__perplexity").alias("perplexity"), F.col("__keep").alias("keep"))
+
+
+@query
+def op12_collocations(spark, sf_dir):
+    return mine_phrases(table(spark, sf_dir, "documents"), 2000)
