@@ -16,6 +16,7 @@ from .fingerprints import edited_fingerprints
 from .jaccard import jaccard_classes
 from .language_model import score_texts, train
 from .packing import pack_documents
+from .prefix_trie import identified_turns, prefix_trie, swapped_heads
 from .quality import classified, learn_quality
 from .suffixes import remove_repeated_bytes
 from .superkmers import remove_repeated_words
@@ -107,3 +108,9 @@ def op5_quality(spark, sf_dir):
 @query
 def op12_collocations(spark, sf_dir):
     return mine_phrases(table(spark, sf_dir, "documents"), 2000)
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    turns, turnless = swapped_heads(identified_turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie(turns, turnless)
