@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .rows import Steps, shuffle_width
 from .words import bytes_of, mix, packed, slices, split_words, u64
 
-BUCKET_ROWS = 1 << 21      # suffixes in one bucket, on average
+BUCKET_ROWS = 1 << 20      # suffixes in one bucket, on average
 _BATCH = 12 << 20          # bytes of text whose equal suffixes travel as one
 _MOST_BITS = 28            # 32 MB
 _LEAST_BITS = 20
@@ -110,7 +110,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def _suffixes(docs: DataFrame, frequent: BitFilter, hot: BitFilter, depth: int) -> DataFrame:
-    """(route, deep, w0 ... , n): the different suffixes of each batch that begin with two frequent words."""
+    """(deep, w0 ... , n): the different suffixes of each batch that begin with two frequent words."""
     names = [f"w{d}" for d in range(depth)]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,18 +123,16 @@ def _suffixes(docs: DataFrame, frequent: BitFilter, hot: BitFilter, depth: int)
             for d in range(2, depth):
                 alive = alive & follows[np.minimum(start + d - 1, len(ids))] & good[start + d]
                 keys.append(np.where(alive, wide[start + d], np.uint64(0)))
-            pair = mix(keys[0] * u64(0xD1342543DE82EF95) + keys[1])
-            whole = pair
-            for key in keys[2:]:
+            whole = keys[0]
+            for key in keys[1:]:
                 whole = mix(whole * u64(0xD1342543DE82EF95) + key)
             at, n = _groups(whole)
             deep = hot.may_hold(keys[0][at]) & hot.may_hold(keys[1][at])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(deep, whole[at], pair[at]).view(np.int64)), pa.array(deep),
-                 *[pa.array(key[at].view(np.int64)) for key in keys], pa.array(n)],
-                names=["route", "deep", *names, "n"])
+                [pa.array(deep), *[pa.array(key[at].view(np.int64)) for key in keys], pa.array(n)],
+                names=["deep", *names, "n"])
 
-    return docs.mapInArrow(emit, "route long, deep boolean, " + ", ".join(f"{n} long" for n in names) + ", n long")
+    return docs.mapInArrow(emit, "deep boolean, " + ", ".join(f"{n} long" for n in names) + ", n long")
 
 
 def equal_partitions(keys: np.ndarray, weight: np.ndarray, least: Sequence[int]):
@@ -224,7 +222,8 @@ def _sorted_buckets(suffixes: DataFrame, least: int, depth: int, width: int) ->
                     pa.array(values[inside].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([lists, pa.array(sums[ok])], names=["ws", "f"])
 
-    return suffixes.repartition(width, "route").mapInArrow(sort, "ws array<long>, f long")
+    route = F.when(F.col("deep"), F.xxhash64(*names)).otherwise(F.xxhash64("w0", "w1"))
+    return suffixes.repartition(width, route).mapInArrow(sort, "ws array<long>, f long")
 
 
 def count_phrases(docs: DataFrame, words: DataFrame, least: int, max_words: int, hot_from: int = BUCKET_ROWS // 2,
