@@ -18,6 +18,7 @@ from .language_model import score_texts, train
 from .packing import pack_documents
 from .prefix_trie import identified_turns, prefix_trie, swapped_heads
 from .quality import classified, learn_quality
+from .site_trees import with_main_text
 from .suffixes import remove_repeated_bytes
 from .superkmers import remove_repeated_words
 from .token_ids import check_sums, token_folder, write_token_files
@@ -114,3 +115,9 @@ def op12_collocations(spark, sf_dir):
 def op13_prefix_trie(spark, sf_dir):
     turns, turnless = swapped_heads(identified_turns(table(spark, sf_dir, "conversations")))
     return prefix_trie(turns, turnless)
+
+
+@query
+def op11_site_trees(spark, sf_dir):
+    return with_main_text(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
