@@ -7,6 +7,7 @@ from ..operators import (assign_round_robin, boundary_snap, card_events, clean_s
                          conservation_check, job_summary, overlap_clip, plan_scenes,
                          plan_segments, shape_classify, tiling_check, timeline_chunks)
 from ..operators.running import running_before
+from ..operators.scenes import MULTIPLIERS
 from ..session import cut_lineage, scratch_path
 from ..sources import write_captions, write_timeline
 from .base import query, table
@@ -213,27 +214,42 @@ def _scenes(spark, d):
     return plan_scenes(conv_segments(spark, d)[2], _pool(spark, d), JOB)
 
 
+def _pick(n: str) -> str:
+    """The place of a job's scene number ``n`` among ``dims.size`` clips in ``dims.groups`` groups."""
+    q = f"({n} % size)"
+    group = f"((({q} + 1) * groups - 1) // size)"
+    low, high = f"({group} * size // groups)", f"(({group} + 1) * size // groups)"
+    drawn = S.draw(f"'1234|' || conv_id || '|' || ({n} // size) || '|' || {group} || '|order'")
+    return f"({low} + (({q} - {low}) * multipliers[{drawn} % 16 + 1] + {drawn} // 16) % ({high} - {low}))"
+
+
+# A job takes all clips in a drawn order, then all in another; a scene ends with its draw, its clip or its segment.
 _SCENES = f"""{S.conv_segments(SEG_MAX_S * 1000)},
-  clip AS (SELECT 'part:' || q.p_partkey AS key, 'norm/' || q.p_partkey AS path, q.p_size * 1000 AS ms
-    FROM main.part AS q),
-  top AS (SELECT least(16000, min(ms)) AS m FROM (SELECT ms FROM clip ORDER BY ms DESC LIMIT 8)),
-  fit AS (SELECT clip.*, m, m * 3 // 4 AS step, m // 8 AS spread, count(*) OVER () AS size,
-    row_number() OVER (ORDER BY sha256('1234|' || key), key) - 1 AS place FROM clip, top WHERE ms >= m),
-  par AS (SELECT DISTINCT step, spread, size FROM fit),
-  len AS (SELECT seg.*, t1_ms - t0_ms AS ms, par.* FROM seg, par),
-  cuts AS (SELECT *, j * step - spread
-      + {S.draw("'1234|' || conv_id || '|' || idx || '|' || j")} % (2 * spread + 1) AS moment
-    FROM (SELECT *, unnest(range(1, (ms // step)::BIGINT + 3)) AS j FROM len)),
-  edge AS (SELECT conv_id, idx, j, moment FROM cuts WHERE moment <= ms - 50
-    UNION ALL SELECT conv_id, idx, 0, 0 FROM len WHERE ms >= 50),
-  slot AS (SELECT e.conv_id, e.idx, e.j AS scene,
-      coalesce(lead(moment) OVER (PARTITION BY e.conv_id, e.idx ORDER BY j), ms) - moment AS dur,
-      ({S.draw("'1234|' || e.conv_id")} + row_number() OVER (PARTITION BY e.conv_id ORDER BY e.idx, j) - 1) % size AS place
-    FROM edge e JOIN len ON len.conv_id = e.conv_id AND len.idx = e.idx),
+  clip AS (SELECT 'part:' || q.p_partkey AS key, 'norm/' || q.p_partkey AS path, q.p_size * 1000 AS ms,
+    row_number() OVER (ORDER BY sha256('1234|part:' || q.p_partkey)) - 1 AS place FROM main.part AS q),
+  dims AS (SELECT count(*) AS size, CASE WHEN count(*) < 8 THEN 1 ELSE (2 * count(*) - 7) // (count(*) - 6) END AS groups,
+    {list(MULTIPLIERS)}::BIGINT[] AS multipliers FROM clip),
+  long AS (SELECT *, t1_ms - t0_ms AS len, row_number() OVER (PARTITION BY conv_id ORDER BY idx) AS s
+    FROM seg WHERE t1_ms - t0_ms >= 50),
+  step AS (
+    SELECT conv_id, s, 0 AS n, 0 AS scene, 0.0::DOUBLE AS start, -1::BIGINT AS place, 0.0::DOUBLE AS lasts FROM long WHERE s = 1
+    UNION ALL
+    SELECT t.conv_id, t.s, t.n + 1, t.scene + 1, t.start, c.place,
+      least(8000 + {S.draw("'1234|' || t.conv_id || '|' || t.n")} % 8001, c.ms)::DOUBLE
+    FROM (SELECT *, {_pick("n")} AS pick FROM (
+        SELECT p.conv_id, l.s, p.n, CASE WHEN l.s = p.s THEN p.scene ELSE 0 END AS scene,
+          CASE WHEN l.s = p.s THEN p.start + p.lasts ELSE 0 END AS start
+        FROM step p JOIN long o ON o.conv_id = p.conv_id AND o.s = p.s
+        JOIN long l ON l.conv_id = p.conv_id
+          AND l.s = CASE WHEN o.len - (p.start + p.lasts) < 50 THEN p.s + 1 ELSE p.s END), dims) t
+    JOIN clip c ON c.place = t.pick),
+  slot AS (SELECT conv_id, s, scene - 1 AS scene, place,
+      coalesce(lead(start) OVER (PARTITION BY conv_id, s ORDER BY scene), len) - start AS dur, idx
+    FROM step JOIN long USING (conv_id, s) WHERE n > 0),
   scene AS (SELECT conv_id, idx, scene, key, path, CASE WHEN ms - ceil(dur) > 1000
       THEN {S.draw("'1234|' || conv_id || '|' || idx || '|' || scene || '|in'")} % (ms - ceil(dur)::BIGINT + 1) / 1000.0
       ELSE 0.0 END AS in_s, round(dur / 1000.0, 3) AS dur_s
-    FROM slot JOIN fit ON fit.place = slot.place)"""
+    FROM slot JOIN clip USING (place))"""
 
 
 @query("plan_scenes", f"WITH RECURSIVE {_SCENES} SELECT * FROM scene")
@@ -255,9 +271,12 @@ def _plan_scenes_invariants(spark, d):
     last = Window.partitionBy("conv_id").orderBy("idx", "pos").rowsBetween(-6, -1)
     one = one.withColumn("recent", F.array_contains(F.collect_list("s.key").over(last), F.col("s.key")))
     one = one.withColumn("key", F.col("s.key")).join(parts, "key").groupBy("conv_id", "idx").agg(
-        F.bool_and((F.col("s.dur_s") <= 16.001) & ((F.col("s.dur_s") >= 8.0) | (F.col("pos") == F.col("n") - 1))
+        F.bool_and((F.col("s.dur_s") <= 16.001) & ((F.col("s.dur_s") >= F.least(F.lit(8), "p_size"))
+                                                         | (F.col("pos") == F.col("n") - 1))
                    & (F.col("s.dur_s") >= 0.05)).alias("in_band"),
-        F.bool_and(F.col("s.dur_s") + F.col("s.in_s") <= F.col("p_size") + 0.001).alias("clip_long_enough"),
+        # the last scene also takes what is left below 0.05 s
+        F.bool_and(F.col("s.dur_s") + F.col("s.in_s") <= F.col("p_size") + F.when(
+            F.col("pos") == F.col("n") - 1, 0.05).otherwise(0.001)).alias("clip_long_enough"),
         F.bool_and(~F.col("recent")).alias("no_repeat_in_seven"))
     return rows.select(
         "conv_id", "idx", (F.abs(total - (F.col("t1_ms") - F.col("t0_ms")) / 1000.0) <= 0.001).alias("sum_exact"),

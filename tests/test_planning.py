@@ -129,14 +129,47 @@ def test_scenes_repeatable_and_seeded(spark):
 
 def test_scenes_short_clips_tiny_pool_empty_pool(spark):
     assert all(s.dur_s <= 5.0 for r in scenes(spark, [60.0], [5.0] * 20) for s in r.scenes)
-    # eight clips are long enough for the longest scene: the short ones are left out
-    assert all(int(s.key[2:]) >= 3 for r in scenes(spark, [600.0], [5.0] * 3 + [16.0] * 8) for s in r.scenes)
     assert sum(s.dur_s for s in scenes(spark, [60.0], [30.0] * 2)[0].scenes) == pytest.approx(60.0, abs=0.001)
     assert all(s.in_s == 0 for s in scenes(spark, [60.0], [0.0] * 9)[0].scenes)      # unknown lengths
+    assert scenes(spark, [60.0], [0.06] * 3)[0].scenes[0].dur_s == 0.06
     with pytest.raises(ValueError, match="empty clip pool"):
         scenes(spark, [60.0], [])
 
 
+def test_every_clip_is_used(spark):
+    # eight clips that last the longest scene, and a thousand that do not
+    lengths = [20.0] * 8 + [10.0] * 1000
+    rows = scenes(spark, [540.0] * 20, lengths)
+    assert len(set(picks_of(rows))) == 1008
+    for s in (s for r in rows for s in r.scenes[:-1]):
+        assert 8.0 <= s.dur_s <= min(16.0, lengths[int(s.key[2:])])
+
+
+def test_a_short_clip_shortens_its_own_scenes_only(spark):
+    rows = scenes(spark, [400.0] * 3, [60.0] * 7 + [4.0])
+    lasts = {True: [], False: []}
+    for r in rows:
+        assert sum(s.dur_s for s in r.scenes) == pytest.approx(400.0, abs=0.001)
+        for s in r.scenes[:-1]:
+            lasts[s.key == "p:7"].append(s.dur_s)
+    assert set(lasts[True]) == {4.0} and len(lasts[True]) >= 10
+    assert min(lasts[False]) >= 8.0 and max(lasts[False]) <= 16.0
+    picks = picks_of(rows)
+    assert all(len(set(picks[i:i + 7])) == 7 for i in range(len(picks) - 6))
+
+
+@pytest.mark.parametrize("pool", [8, 11, 12, 13, 31])
+def test_laps_have_new_orders_and_meet_without_repeats(spark, pool):
+    rows = scenes(spark, [61.0, 0.3, 7.0, 250.0] * 10, ([3.0, 9.0, 30.0, 0.0, 15.5] * 7)[:pool], jobs=3)
+    for job in range(3):
+        picks = picks_of(rows, job)
+        assert all(len(set(picks[i:i + 7])) == 7 for i in range(len(picks) - 6))
+        laps = [tuple(picks[i:i + pool]) for i in range(0, len(picks) - pool, pool)]
+        assert all(len(set(lap)) == pool for lap in laps)
+        assert len(set(laps)) > len(laps) // 2
+    assert picks_of(rows, 0) != picks_of(rows, 1)
+
+
 def test_scenes_repeated_key_takes_the_least_path(spark):
     segments = spark.createDataFrame([(0, 0, 0.0, 20000.0, 0)], "job int, idx long, t0_ms double, t1_ms double, story_first long")
     pool = spark.createDataFrame([("k", "b", 20.0), ("k", "a", 30.0)], "key string, path string, duration_s double")
