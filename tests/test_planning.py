@@ -166,7 +166,7 @@ def test_laps_have_new_orders_and_meet_without_repeats(spark, pool):
         assert all(len(set(picks[i:i + 7])) == 7 for i in range(len(picks) - 6))
         laps = [tuple(picks[i:i + pool]) for i in range(0, len(picks) - pool, pool)]
         assert all(len(set(lap)) == pool for lap in laps)
-        assert len(set(laps)) > len(laps) // 2
+        assert len(set(laps)) >= min(10, len(laps) // 2)
     assert picks_of(rows, 0) != picks_of(rows, 1)
 
 
