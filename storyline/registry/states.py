@@ -1,7 +1,9 @@
 """Checked queries: merging, job state, enrichment, quality, streams."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import os
+
+from pyspark.sql import Window, functions as F
 
 from ..functions import content_key
 from ..functions.text import clean_text
@@ -171,13 +173,17 @@ _LOG_SQL = """SELECT strftime(ts, '%H:%M:%S') AS time, CASE WHEN event_type = 's
   WHERE event_type = 'error'"""
 
 
-def _log_lines(spark, d):
+def _log_values(events):
     kind = F.col("event_type")
     text = F.concat(kind, F.lit(" "), F.col("event_id").cast("string"))
     stamped = F.concat(F.lit("["), F.date_format("ts", "HH:mm:ss"), F.lit("] "),
                        F.when(kind == "signup", "---- session ----").otherwise(text))
+    return events.select("event_id", F.when(kind == "error", text).otherwise(stamped).alias("value"))
+
+
+def _log_lines(spark, d):
     path = scratch_path(spark, "log")
-    table(spark, d, "events").select(F.when(kind == "error", text).otherwise(stamped).alias("value")).write.text(path)
+    _log_values(table(spark, d, "events")).select("value").write.text(path)
     return path
 
 
@@ -186,13 +192,30 @@ def _read_log(spark, d):
     return read_log(spark, _log_lines(spark, d)).select("time", "message", "is_session")
 
 
-@query("stream_tail", _LOG_SQL)
+def _append_lines(folder):
+    def append(key, rows):
+        with open(f"{folder}/{key[0]}.log", "a", encoding="utf-8", newline="") as log:
+            log.writelines(line + "\n" for line in rows.sort_values("event_id")["value"])
+        return rows[["file"]].head(1)
+    return append
+
+
+@query("stream_tail", f"""SELECT event_id % 4 AS file, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id % 3, event_id) AS line_no,
+  time, message, is_session FROM ({_LOG_SQL.replace("SELECT", "SELECT event_id,", 1).replace("UNION ALL SELECT", "UNION ALL SELECT event_id,", 1)})""")
 def _stream_tail(spark, d):
-    out = scratch_path(spark, "tail")
-    (stream_tail(spark, _log_lines(spark, d)).writeStream.format("parquet")
-     .option("checkpointLocation", scratch_path(spark, "state")).trigger(availableNow=True)
-     .start(out).awaitTermination())
-    return spark.read.parquet(out).select("time", "message", "is_session")
+    # four files that grow twice; the stream is stopped and started again each time
+    folder, out = scratch_path(spark, "log"), scratch_path(spark, "tail")
+    state, positions = scratch_path(spark, "state"), scratch_path(spark, "positions")
+    os.makedirs(folder)
+    lines = _log_values(table(spark, d, "events")).withColumn("file", F.col("event_id") % 4)
+    for part in range(3):
+        lines.filter(F.col("event_id") % 3 == part).groupBy("file").applyInPandas(_append_lines(folder), "file long").count()
+        query = stream_tail(spark, folder, positions).writeStream.format("parquet").option("checkpointLocation", state).start(out)
+        query.processAllAvailable()
+        query.stop()
+    rows = spark.read.parquet(out).withColumn("file", F.regexp_extract("path", r"(\d)\.log$", 1).cast("long"))
+    return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("at")).alias("line_no"),
+                       "time", "message", "is_session")
 
 
 # ---- enrichment ------------------------------------------------------------
@@ -332,8 +355,29 @@ def _event_stream(spark, d, **options):
     return spark.readStream.schema(schema).options(**options).parquet(f"{d}/[e]vents.parquet")
 
 
-@query("stream_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
+@query("stream_first_seen", """SELECT user_id, event_type, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id,
+  arg_min(value, (ts, event_id)) AS value FROM events GROUP BY ALL""")
 def _stream_first_seen(spark, d):
+    # three batches, each over the whole time, and one row that closes it
+    source, out = scratch_path(spark, "parts"), scratch_path(spark, "first")
+    events = table(spark, d, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    for part in (2, 0, 1):
+        events.filter(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(source)
+    closing = events.agg((F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts")).select(
+        F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("event_type"), "ts",
+        F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("double").alias("value"))
+    closing.write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source).withColumn(
+        "key", F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))
+    (stream_first_seen(stream, "key", "ts", "400 days", order=["event_id"]).writeStream.format("parquet")
+     .option("checkpointLocation", scratch_path(spark, "state")).trigger(availableNow=True)
+     .start(out).awaitTermination())
+    return spark.read.parquet(out).filter("user_id IS NOT NULL").select(
+        "user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "value")
+
+
+@query("stream_first_to_arrive", "SELECT DISTINCT user_id, event_type FROM events")
+def _stream_first_to_arrive(spark, d):
     out = scratch_path(spark, "first")
     stream = _event_stream(spark, d).select(
         "user_id", "event_type", F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"))

@@ -4,40 +4,61 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.state import progress
 from ..sources.readers import parse_log_line
+from ..sources.tail import TAIL_BYTES, LogTail
+from .first_seen import ROCKSDB, FirstSeen, interval_ms
 
-TAIL_BYTES = 512 * 1024     # fixed value: most log bytes per poll
 
 
-def stream_tail(spark: SparkSession, path: str, max_bytes: int = TAIL_BYTES) -> DataFrame:
-    """New log lines as they arrive, parsed; at most ``max_bytes`` per trigger.
-
-    A file that is truncated and written again is not seen a second time: the
-    file source remembers names.  Give every run its own log file.
-    """
-    lines = spark.readStream.option("maxBytesPerTrigger", str(max_bytes)).text(path)
-    return lines.select(F.col("_metadata.file_path").alias("path"), *parse_log_line(F.col("value")))
+def stream_tail(spark: SparkSession, path: str, positions: str, max_bytes: int = TAIL_BYTES) -> DataFrame:
+    """Lines added to log files, parsed; at most ``max_bytes`` per trigger.
 
+    ``path`` is a file, a folder or a pattern of file names; files may be added and
+    may grow, and each line arrives once.  A file found shorter than it was read is
+    read from its start.  A line arrives when its end is written; one longer than
+    ``max_bytes`` arrives whole.  A restart goes on where the checkpoint ends;
+    ``positions`` is a folder of this stream's own that lives as long as the checkpoint.
 
-def stream_first_seen(stream: DataFrame, key: str, ts: str | None = None,
-                      watermark: str | None = None, unbounded: bool = False) -> DataFrame:
-    """The first row per key to arrive, over all batches.
-
-    With ``ts`` and ``watermark`` a key is forgotten once it is older than the
-    watermark allows.  Without them the state keeps every key for ever, which has
-    to be asked for with ``unbounded``.  Within one batch any row of a key may
-    stand for it; :func:`stream_upsert` with an order column keeps the first by
-    that column.
+    A trigger takes one portion: ``availableNow`` ends after it, and
+    ``StreamingQuery.processAllAvailable`` goes on until nothing is left.
+    """
+    spark.dataSource.register(LogTail)
+    lines = spark.readStream.format("log_tail").options(path=path, positions=positions, max_bytes=max_bytes).load()
+    return lines.select("path", "at", *parse_log_line(F.col("value")))
+
+
+def stream_first_seen(stream: DataFrame, key: str, ts: str | None = None, watermark: str | None = None,
+                      unbounded: bool = False, order: Sequence[str] | None = None,
+                      keep: str | None = None) -> DataFrame:
+    """The first row per key, over all batches.
+
+    With ``ts`` and ``watermark`` the row with the least ``ts`` (then the least
+    ``order``) wins, in whatever order rows arrive within the watermark's delay.  It
+    is put out when the watermark reaches its ``ts``, as no earlier row can follow
+    then.  Its key is remembered for ``keep`` longer (an interval; the watermark's
+    delay by default), and rows of the key that come in that time are dropped.  So
+    the state holds one row for each key of that span; a key that comes back later is
+    new.  The state store has to be RocksDB; it is set for the session.
+
+    Without a watermark nothing tells when a key's first row is final: the first row
+    to arrive is taken, and its key kept for ever, which has to be asked for with
+    ``unbounded``.
     """
-    if watermark and ts:
-        return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
-    if not unbounded:
-        raise ValueError("give ts and watermark, or unbounded=True to keep every key for ever")
-    return stream.dropDuplicates([key])
+    if not (watermark and ts):
+        if not unbounded:
+            raise ValueError("give ts and watermark, or unbounded=True to keep every key for ever")
+        return stream.dropDuplicates([key])
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rest = [f for f in stream.schema if f.name != key]
+    names = [ts, *(order or [])]
+    processor = FirstSeen(key, T.StructType(rest), names, interval_ms(keep or watermark))
+    return (stream.withWatermark(ts, watermark).groupBy(key)
+            .transformWithState(processor, T.StructType([stream.schema[key], *rest]), "Append", "EventTime")
+            .select(*stream.columns))
 
 
 def _latest(rows: DataFrame, keys: list[str], order: Sequence[str]) -> DataFrame:

@@ -1,6 +1,8 @@
+import datetime
 import hashlib
 import json
 import os
+import time
 
 import pandas as pd
 import pytest
@@ -209,17 +211,69 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sorted(r.job for r in spark.read.parquet(f"{tmp_path}/f").collect()) == [0, 1, 2, 3, 4]
 
 
-def test_stream_tail_reads_only_new_files(spark, tmp_path):
-    def poll():
-        (stream_tail(spark, f"{tmp_path}/logs").writeStream.format("parquet")
-         .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True)
-         .start(f"{tmp_path}/out").awaitTermination())
-        return sorted(r.message for r in spark.read.parquet(f"{tmp_path}/out").collect())
+def tailed(spark, tmp_path, **options):
+    """Poll until nothing is left; messages and the number of batches that had lines."""
+    query = (stream_tail(spark, f"{tmp_path}/logs", f"{tmp_path}/pos", **options).writeStream.format("parquet")
+             .option("checkpointLocation", f"{tmp_path}/cp").start(f"{tmp_path}/out"))
+    query.processAllAvailable()
+    sizes = [p.numInputRows for p in query.recentProgress if p.numInputRows]
+    query.stop()
+    query.awaitTermination(30)
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    return sorted(r.message for r in rows), sizes
+
+
+def test_stream_tail_follows_files_that_grow(spark, tmp_path):
     put(f"{tmp_path}/logs/a.log", "[10:00:00] one\n[10:00:01] two\n")
-    assert poll() == ["one", "two"]
-    assert poll() == ["one", "two"]
-    put(f"{tmp_path}/logs/b.log", "[10:00:02] three\n")
-    assert poll() == ["one", "three", "two"]
+    assert tailed(spark, tmp_path)[0] == ["one", "two"]
+    assert tailed(spark, tmp_path) == (["one", "two"], [])
+    with open(f"{tmp_path}/logs/a.log", "a") as log:
+        log.write("[10:00:02] three\r\n[10:00:03] unfini")
+    put(f"{tmp_path}/logs/b.log", "[10:00:02] four\n")
+    put(f"{tmp_path}/logs/.hidden", "no\n")
+    assert tailed(spark, tmp_path)[0] == ["four", "one", "three", "two"]
+    with open(f"{tmp_path}/logs/a.log", "a") as log:
+        log.write("shed\n")
+    assert tailed(spark, tmp_path)[0] == ["four", "one", "three", "two", "unfinished"]
+    put(f"{tmp_path}/logs/a.log", "[11:00:00] anew\n")      # cut and written again
+    assert tailed(spark, tmp_path)[0] == ["anew", "four", "one", "three", "two", "unfinished"]
+
+
+def test_stream_tail_is_bounded(spark, tmp_path):
+    lines = [f"line {i:04d} " + "x" * (i % 40) for i in range(600)] + ["y" * 5000, "last"]
+    put(f"{tmp_path}/logs/a.log", "".join(f"{line}\n" for line in lines[:300]))
+    options = {"max_bytes": 2000}
+    got, sizes = tailed(spark, tmp_path, **options)
+    assert got == sorted(lines[:300]) and max(sizes) <= 2000 // 10 and len(sizes) >= 4
+    put(f"{tmp_path}/logs/a.log", "".join(f"{line}\n" for line in lines))
+    got, sizes = tailed(spark, tmp_path, **options)
+    assert got == sorted(lines) and max(sizes) <= 2000 // 10 and len(sizes) >= 5
+
+
+def test_stream_first_seen_is_the_least_across_batches(spark, tmp_path):
+    rows = [(0, "a", 50, "late"), (0, "b", 10, "b-first"), (0, "a", 40, "a-40"), (0, None, 5, "null key"),
+            (1, "a", 20, "a-first"), (1, "b", 30, "b-later"), (1, "c", 25, None), (1, "d", None, "no time"),
+            (2, "b", 12, "b-12"), (2, "c", 25, "c-tie"), (2, "e", 90, "e-first"), (2, "a", 60, "a-60"),
+            (3, "close", 100000, "end"),       # closes all windows, and so do the next
+            (4, "a", 150000, "a-again"), (5, "close", 300000, "end")]
+    folder = tmp_path / "in"
+    for batch in range(6):
+        spark.createDataFrame([(k, datetime.datetime.fromtimestamp(t) if t is not None else None, t, v) for b, k, t, v in rows if b == batch],
+                              "key string, ts timestamp, n int, value string").coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(0.05)
+    stream = spark.readStream.schema("key string, ts timestamp, n int, value string").option("maxFilesPerTrigger", 1).parquet(str(folder))
+    query = (stream_first_seen(stream, "key", "ts", "200 seconds", order=["value"], keep="1000 seconds").writeStream.format("parquet")
+             .option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out"))
+    query.awaitTermination()
+    got = sorted((r.key or "", r.n, r.value or "") for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("", 5, "null key"), ("a", 20, "a-first"), ("a", 150000, "a-again"), ("b", 10, "b-first"),
+                   ("c", 25, "c-tie"), ("close", 100000, "end"), ("e", 90, "e-first")]
+    # what is over is forgotten
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 12
+    with pytest.raises(ValueError):
+        stream_first_seen(stream, "key")
+    with pytest.raises(ValueError):
+        stream_first_seen(stream, "key", "ts", "soon")
 
 
 # ---- the whole job ---------------------------------------------------------
