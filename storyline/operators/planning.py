@@ -4,7 +4,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -14,6 +13,8 @@ from ..session import cut_lineage
 TAIL_MS = 1.0
 
 BLOCK_SPAN = 1024           # longest segments per time block of plan_segments
+BLOCK_FAN = 1024            # blocks per group, and groups per group of groups
+_LEVELS = 2
 
 
 def _table(keys: list[str], key: tuple, columns: dict[str, tuple]) -> pa.Table:
@@ -72,19 +73,84 @@ def _events_by_block(rows: DataFrame, keys: list[str], max_ms: float, width: flo
     return placed if bridges is None else placed.unionByName(bridges)
 
 
+def _ways_schema(keys: list[T.StructField]) -> T.StructType:
+    """``blk``, left for event ``leave`` after ``hops`` segments if entered after event ``entry``."""
+    return T.StructType(keys + [T.StructField(n, T.LongType()) for n in ("blk", "entry", "leave", "hops")])
+
+
+def _group(fan: int):
+    return F.floor(F.col("blk") / fan).cast("bigint")
+
+
+def _composed(ways: DataFrame, keys: list[str], fan: int) -> DataFrame:
+    """The ways of groups of ``fan`` blocks: a group is entered in its first block, and left where a chain of ways leaves it."""
+    def compose(key, rows):
+        order = np.argsort(-rows["entry"].to_numpy())
+        first = rows["blk"].to_numpy().min()
+        blk, entry, leave, hops = (rows[c].to_pylist() for c in ("blk", "entry", "leave", "hops"))
+        known: dict[int, tuple[int | None, int]] = {}
+        for i in order.tolist():        # a way leads to a later event
+            beyond, more = known.get(leave[i], (leave[i], 0))
+            known[entry[i]] = beyond, hops[i] + more
+        found = [(e, *known[e]) for e, b in zip(entry, blk) if b == first]
+        return _table(keys, key[:-1], {"blk": (pa.int64(), [key[-1].as_py()] * len(found)),
+                                       **{n: (pa.int64(), [f[i] for f in found])
+                                          for i, n in enumerate(("entry", "leave", "hops"))}})
+
+    return ways.groupBy(*keys, _group(fan).alias("__group")).applyInArrow(
+        compose, _ways_schema([ways.schema[k] for k in keys]))
+
+
+def _walked(ways: DataFrame, entries: DataFrame, keys: list[str], fan: int) -> DataFrame:
+    """(keys, blk, entry, placed) of the blocks that a plan enters, from where it enters their groups."""
+    def walk(key, rows, start):
+        seen: list[tuple] = []
+        if rows.num_rows and start.num_rows:
+            blk, leave, hops = (rows[c].to_pylist() for c in ("blk", "leave", "hops"))
+            by_entry = {e: i for i, e in enumerate(rows["entry"].to_pylist())}
+            at, placed = start["entry"][0].as_py(), start["placed"][0].as_py()
+            while at in by_entry:
+                i = by_entry[at]
+                seen.append((blk[i], at, placed))
+                at, placed = leave[i], placed + hops[i]
+        return _table(keys, key[:-1], {n: (pa.int64(), [f[i] for f in seen]) for i, n in enumerate(("blk", "entry", "placed"))})
+
+    schema = T.StructType([ways.schema[k] for k in keys] + [T.StructField(n, T.LongType()) for n in ("blk", "entry", "placed")])
+    grouped = ways.withColumn("__group", _group(fan)).groupBy(*keys, "__group")
+    starts = entries.select(*keys, F.col("blk").alias("__group"), "entry", "placed")
+    return grouped.cogroup(starts.groupBy(*keys, "__group")).applyInArrow(walk, schema)
+
+
+def _block_before(blocks: DataFrame, keys: list[str], fan: int):
+    """``blocks`` (keys, b) with ``blk``, the job's block before that has events (0 for the first).
+
+    Looked up within groups of ``fan`` blocks, then among groups, then among groups of groups.
+    """
+    def lag(column, within, order):
+        return F.lag(column).over(Window.partitionBy(*keys, *within).orderBy(order))
+
+    level = [F.floor(F.col("b") / fan ** i).cast("bigint").alias(f"__g{i}") for i in range(1, _LEVELS + 1)]
+    work = blocks.select("*", *level)
+    work = work.withColumn("__p0", lag("b", ["__g1"], "b"))
+    last = work.groupBy(*keys, *[f"__g{i}" for i in range(1, _LEVELS + 1)]).agg(F.max("b").alias("__last"))
+    for i in range(1, _LEVELS + 1):
+        groups = last.withColumn(f"__p{i}", lag("__last", [f"__g{i + 1}"] if i < _LEVELS else [], f"__g{i}"))
+        work = work.join(groups.select(*keys, f"__g{i}", f"__p{i}"), [*keys, f"__g{i}"])
+        if i < _LEVELS:
+            last = last.groupBy(*keys, *[f"__g{j}" for j in range(i + 1, _LEVELS + 1)]).agg(F.max("__last").alias("__last"))
+    return work.withColumn("blk", F.coalesce(*[f"__p{i}" for i in range(_LEVELS + 1)], F.lit(0))).drop(
+        *[f"__{x}{i}" for x in "gp" for i in range(_LEVELS + 1)])
+
+
 def _block_entries(rows: DataFrame, totals: DataFrame, keys: list[str], max_ms: float,
-                   width: float, bridges: DataFrame, jobs: DataFrame) -> DataFrame:
+                   width: float, bridges: DataFrame, jobs: DataFrame, fan: int) -> DataFrame:
     """Where the plan of each long job enters each of its time blocks.
 
     A block can only be entered near its start.  For those few states the block
-    itself tells where its plan leaves it and after how many segments; a walk
-    over these exits, one small row per block, gives the true entry.
+    itself tells where its plan leaves it and after how many segments.  These ways
+    are composed over groups of blocks and groups of groups; then the true entry
+    goes down again, from groups of groups to blocks.
     """
-    key_fields = [rows.schema[k] for k in keys]
-    schema = T.StructType(key_fields + [
-        T.StructField("blk", T.LongType()), T.StructField("entry", T.LongType()),
-        T.StructField("leave", T.LongType()), T.StructField("hops", T.LongType())])
-
     def exits(key, rows):
         blk = key[-1].as_py()
         block = _Block(rows, blk, max_ms, rows["total_ms"][0].as_py())
@@ -119,33 +185,19 @@ def _block_entries(rows: DataFrame, totals: DataFrame, keys: list[str], max_ms:
 
     long_rows = rows.join(jobs, keys, "left_semi")
     blocks = _events_by_block(long_rows, keys, max_ms, width, bridges).join(totals, keys)
-    ways = cut_lineage(blocks.groupBy(*keys, "blk").applyInArrow(exits, schema))
-    targets = ways.filter("leave is not null").select(*keys, F.col("leave").alias("entry")).distinct()
-    used = ways.filter("entry = -1").unionByName(
-        ways.filter("entry >= 0").join(targets, [*keys, "entry"], "left_semi"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        by_entry = {e: i for i, e in enumerate(pdf["entry"])}
-        blk, leave, hops = pdf["blk"].to_numpy(), pdf["leave"].to_numpy(), pdf["hops"].to_numpy()
-        at, placed, seen = -1, 0, []
-        while at in by_entry:
-            i = by_entry[at]
-            seen.append((blk[i], at, placed))
-            if pd.isna(leave[i]):
-                break
-            placed += int(hops[i])
-            at = int(leave[i])
-        out = pd.DataFrame(seen, columns=["blk", "entry", "placed"])
-        for name in reversed(keys):
-            out.insert(0, name, pdf[name].iloc[0])
-        return out
-
-    walked = T.StructType(key_fields + [T.StructField(n, T.LongType()) for n in ("blk", "entry", "placed")])
-    return used.groupBy(*keys).applyInPandas(walk, walked)
+    ways = [cut_lineage(blocks.groupBy(*keys, "blk").applyInArrow(exits, _ways_schema([rows.schema[k] for k in keys])))]
+    for _ in range(_LEVELS):
+        ways.append(_composed(ways[-1], keys, fan))
+    # a job of a thousand million longest segments is one group of groups of blocks
+    entries = jobs.select(*keys, F.lit(0).cast("bigint").alias("blk"), F.lit(-1).cast("bigint").alias("entry"),
+                          F.lit(0).cast("bigint").alias("placed"))
+    for i, level in enumerate(reversed(ways)):
+        entries = _walked(level, entries, keys, fan if i else 1 << 62)
+    return entries
 
 
 def plan_segments(events: DataFrame, totals: DataFrame, keys: Sequence[str],
-                  seg_max_s: float, stage: bool = True, span: int = BLOCK_SPAN) -> DataFrame:
+                  seg_max_s: float, stage: bool = True, span: int = BLOCK_SPAN, fan: int = BLOCK_FAN) -> DataFrame:
     """Cut each job into segments of at most ``seg_max_s`` that end on events.
 
     Preferred cut: the latest story end that fits, else the latest event that
@@ -154,8 +206,9 @@ def plan_segments(events: DataFrame, totals: DataFrame, keys: Sequence[str],
 
     ``events(keys, id, t1_ms, story, story_end)`` and ``totals(keys, total_ms)``.
     The greedy rule is sequential, so a job is cut into time blocks ``span``
-    longest segments wide and no task ever holds more than one block.  Only jobs
-    longer than one block need their block entries worked out first.
+    longest segments wide and no task ever holds more than one block, or the ways
+    through ``fan`` blocks.  Only jobs longer than one block need their block entries
+    worked out first; whether there are any is looked up.
 
     ``stage`` writes the thin event columns once, because they are read more
     than once; leave it off when ``events`` is a stored table.
@@ -182,10 +235,9 @@ def plan_segments(events: DataFrame, totals: DataFrame, keys: Sequence[str],
         far = rows.filter(F.col("t1_ms") >= width)
         firsts = cut_lineage(far.groupBy(*keys, F.floor(F.col("t1_ms") / width).cast("bigint").alias("b"))
                              .agg(F.min(F.struct("idx", "t1_ms", "story_end", "story")).alias("f")))
-        before = F.lag("b", 1, 0).over(Window.partitionBy(*keys).orderBy("b"))
-        bridges = firsts.select(*keys, "f.*", before.alias("blk"), F.lit(False).alias("home"))
+        bridges = _block_before(firsts, keys, fan).select(*keys, "f.*", "blk", F.lit(False).alias("home"))
         jobs = firsts.select(*keys).distinct()
-        entries = _block_entries(rows, totals, keys, max_ms, width, bridges, jobs)
+        entries = _block_entries(rows, totals, keys, max_ms, width, bridges, jobs, fan)
         starts = starts.join(jobs, keys, "left_anti").unionByName(
             entries.join(totals, keys).select(*starts.columns))
     blocks = _events_by_block(rows, keys, max_ms, width, bridges)

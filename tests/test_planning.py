@@ -52,8 +52,8 @@ def test_plan_segments_golden(spark):
     assert plan(spark, {4: jobs[4]}, 10.0)[4] == [(0.0, 120_000.0, 0)]
 
 
-@pytest.mark.parametrize("span", [1, 2, 5, 1024])
-def test_plan_segments_any_block_width(spark, span):
+@pytest.mark.parametrize("span, fan", [(1, 2), (1, 1024), (2, 3), (5, 2), (1024, 1024)])
+def test_plan_segments_any_block_width(spark, span, fan):
     rng = random.Random(span)
     jobs = {}
     for j in range(25):
@@ -64,7 +64,7 @@ def test_plan_segments_any_block_width(spark, span):
             events.append((t, k // 7, rng.random() < 0.15))
         jobs[j] = (events, t + rng.choice([0.0, 0.5, 1200.0]))
     jobs = {j: v for j, v in jobs.items() if v[1] > 1.0}
-    got = plan(spark, jobs, 10.0, span=span)
+    got = plan(spark, jobs, 10.0, span=span, fan=fan)
     for j, (events, total) in jobs.items():
         assert got.get(j, []) == greedy(events, total, 10_000.0), j
 
