@@ -7,10 +7,10 @@ import uuid
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import cut_lineage
+from .cache import Cache, KeyMap
 
 # Fixed values (must equal the reference's).
 ATTEMPTS = 6
@@ -39,27 +39,6 @@ def with_retries(fn: Callable[[pd.DataFrame], pd.DataFrame], attempts: int = ATT
     return call
 
 
-_SHARD = "shard"
-
-
-def _shard(key: Column) -> Column:
-    """The cache's partition of a key: two hex digits."""
-    return F.substring(F.sha2(key.cast("string"), 256), 1, 2)
-
-
-def read_cache(spark: SparkSession, path: str, schema: T.StructType, shards: Sequence[str] | None = None) -> DataFrame:
-    """One successful row per key, of some shards; a key written by two concurrent runs is taken once."""
-    stored = T.StructType([*schema.fields, T.StructField("error", T.StringType()), T.StructField(_SHARD, T.StringType())])
-    try:
-        rows = spark.read.schema(stored).parquet(path).filter("error is null")
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-    if shards is not None:
-        rows = rows.filter(F.col(_SHARD).isin(list(shards)))
-    rest = [f.name for f in schema.fields if f.name not in ("key", "run")]
-    return rows.groupBy("key").agg(F.min_by(F.struct(*rest, "run"), F.col("run")).alias("c")).select("key", "c.*")
-
-
 def cached_enrich(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFrame],
                   schema: str | T.StructType, cache_path: str, ord: Sequence[str], concurrency: int | None = None,
                   inputs: Sequence[str] = (), attempts: int = ATTEMPTS,
@@ -70,9 +49,8 @@ def cached_enrich(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataF
     ``fn`` gets pandas batches with ``key`` and ``inputs`` and returns one row
     per key with the columns of ``schema``.  It sees every key that is not in
     the cache exactly once per successful task; results are appended to the
-    cache (a parquet folder, partitioned by two hex digits of the key's hash, so
-    that a small batch reads a part of it only) and joined back to all rows.
-    ``concurrency`` bounds the number of simultaneous calls.  ``was_cached`` is
+    cache (see :mod:`.cache`; only files that may hold a key of the batch are read)
+    and joined back to all rows.  ``concurrency`` bounds the number of simultaneous calls.  ``was_cached`` is
     false for the first row (by ``ord``, unique within a key) of a key that had
     to be computed.
 
@@ -92,13 +70,13 @@ def cached_enrich(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataF
     # "first_row" names the row that caused the call
     first = F.to_json(F.struct(*ord))
     stored = T.StructType([T.StructField("key", df.schema[key].dataType), *added.fields,
-                           T.StructField("first_row", T.StringType()), T.StructField("run", T.StringType())])
-    run = uuid.uuid4().hex
+                           T.StructField("first_row", T.StringType())])
+    run = f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex}"
     distinct = df.groupBy(F.col(key).alias("key")).agg(
         F.min_by(F.struct(*inputs, first.alias("first_row")), F.struct(*ord)).alias("i")).select("key", "i.*")
-    # 256 values at most
-    shards = [r[0] for r in df.select(_shard(F.col(key)).alias("s")).distinct().collect() if r[0] is not None]
-    missing = distinct.join(read_cache(spark, cache_path, stored, shards).select("key"), "key", "left_anti")
+    cache, wanted = Cache(spark, cache_path, stored), KeyMap(df, key)
+    parts = cache.parts_for(wanted)
+    missing = distinct.join(cache.rows(parts).select("key"), "key", "left_anti") if parts else distinct
     if concurrency:
         missing = missing.repartition(concurrency, "key")
     call = with_retries(fn, attempts, first_delay_s)
@@ -129,17 +107,13 @@ def cached_enrich(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataF
                 for out in rows:
                     yield out[["key", *names, "first_row", "error"]]
 
-    computed = T.StructType([*stored.fields[:-1], T.StructField("error", T.StringType())])
-    (missing.mapInPandas(enrich, computed).withColumn("run", F.lit(run)).withColumn(_SHARD, _shard(F.col("key")))
-     .repartition(_SHARD).write.mode("append").partitionBy(_SHARD).parquet(cache_path))
-    failed = (spark.read.schema(T.StructType([*stored.fields, computed["error"]])).parquet(cache_path)
-              .filter((F.col("run") == run) & F.col("error").isNotNull()).select("key", "error").limit(5).collect())
+    computed = T.StructType([*stored.fields, T.StructField("error", T.StringType())])
+    failed = cache.write(missing.mapInPandas(enrich, computed), run, wanted.range_bits)
     if failed:
-        raise RuntimeError("some keys failed, all others are cached: "
-                           + "; ".join(f"{r['key']}: {r['error']}" for r in failed))
-    cache = read_cache(spark, cache_path, stored, shards).withColumnRenamed("key", key)
+        raise RuntimeError("some keys failed, all others are cached: " + "; ".join(f"{k}: {e}" for k, e in failed))
+    known = cache.rows([*parts, (run, None)]).withColumnRenamed("key", key)
     fresh = (F.col("run") == run) & (F.col("first_row") == first)
-    return df.join(cache, key, "left").withColumn("was_cached", ~fresh).select(
+    return df.join(known, key, "left").withColumn("was_cached", ~fresh).select(
         *df.columns, *names, "was_cached")
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from storyline.operators import cache
 from storyline.operators import PermanentError, cached_enrich, overlap_clip, progress_stats, split_stories
 from storyline.plans import build_plan, build_timeline, segment_captions, verify
 from storyline.sources import (read_assets, read_blocklist, read_catalog, read_job_state, read_log, read_scripts,
@@ -148,15 +149,34 @@ def test_cached_enrich_keeps_successes_before_it_fails(spark, tmp_path):
         cached_enrich(rows, "key", fn, "n int", f"{tmp_path}/cache", [])
 
 
-def test_cached_enrich_reads_only_the_shards_in_use(spark, tmp_path, plan_of):
-    rows = spark.createDataFrame([("a", "x"), ("b", "y")], "key string, text string")
-
-    def fn(batch):
-        return pd.DataFrame({"key": batch["key"], "n": 1})
-
-    cached_enrich(rows, "key", fn, "n int", f"{tmp_path}/cache", ["key"], inputs=["text"]).collect()
-    plan = plan_of(cached_enrich(rows.filter("key = 'a'"), "key", fn, "n int", f"{tmp_path}/cache", ["key"], inputs=["text"]))
-    assert "PartitionFilters: [isnotnull(shard" in plan or "PartitionFilters: [(shard" in plan
+def test_a_small_batch_reads_only_files_that_may_hold_its_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cache, "RANGE_ROWS", 50)
+    path = f"{tmp_path}/cache"
+    rows = spark.createDataFrame([(f"k{i}", "x" * (i % 9)) for i in range(300)], "key string, text string")
+
+    def enrich(df):
+        return cached_enrich(df, "key", lambda b: pd.DataFrame({"key": b["key"], "n": b["text"].str.len()}), "n int", path,
+                             ["key"], inputs=["text"])
+
+    def files(df):
+        return {f.split("/data/")[1].rsplit("/", 1)[0] for f in df.inputFiles() if "/data/run=" in f}
+
+    for low, high in ((0, 200), (200, 201), (201, 300)):
+        enrich(rows.filter(F.substring("key", 2, 9).cast("int").between(low, high - 1)))
+    runs = sorted(os.listdir(f"{path}/data"))
+    assert [len([r for r in os.listdir(f"{path}/data/{run}") if r.startswith("range=")]) for run in runs] == [4, 1, 2]
+    one = enrich(rows.filter("key = 'k77'"))
+    old = {f for f in files(one) if f.split("/")[0] in runs}
+    assert len(old) == 1 and next(iter(old)).startswith(runs[0]) and [(r.n, r.was_cached) for r in one.collect()] == [(5, True)]
+    # the new run has nothing, and is not listed
+    assert len(os.listdir(f"{path}/manifest")) == len([f for f in os.listdir(f"{path}/manifest") if "crc" in f]) + 3
+    everything = enrich(rows)
+    assert {r.key: r.n for r in everything.collect()} == {f"k{i}": i % 9 for i in range(300)} and not everything.filter("not was_cached").count()
+    # what a run without a manifest left behind is not read
+    os.rename(f"{path}/manifest/{runs[1].removeprefix('run=')}.json", f"{tmp_path}/lost")
+    assert [r.key for r in enrich(rows).filter("not was_cached").collect()] == ["k200"]
+    assert cache.compact_cache(spark, path, "all") == 3
+    assert enrich(rows).filter("was_cached").count() == 300 and len(cache.Cache(spark, path, rows.schema).entries()) == 1
 
 
 def test_scripts_are_numbered_by_their_path(spark, tmp_path):
