@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
 __all__ = [
@@ -44,10 +47,44 @@ CHARS_TO = "'''\"\"\",, "
 # Unicode white space, to stand inside a Java character class.
 WS = r"\s\x1c-\x1f\x85\p{Z}"
 
-# Characters that compatibility composition leaves alone wherever they stand,
-# or that the character table above maps to the same result by itself.
-_STABLE = (r"^[\x00-\xa7\xa9\xab-\xae\xb0\xb1\xb6\xb7\xbb\xbf-\u0131\u0134-\u013e"
-           r"\u0141-\u0148\u014a-\u017e\u2013\u2014\u2018-\u201e\u2026\u20ac]*$")
+# Characters below U+0180 that compatibility composition leaves alone wherever they
+# stand, or that the character table above maps to the same result by itself.
+_STABLE_LATIN = (r"\x00-\xa7\xa9\xab-\xae\xb0\xb1\xb6\xb7\xbb\xbf-\u0131\u0134-\u013e"
+                 r"\u0141-\u0148\u014a-\u017e\u2013\u2014\u2018-\u201e\u2026\u20ac")
+_LEAST_RUN = 24
+
+
+@lru_cache(maxsize=1)
+def stable_pattern() -> str:
+    """Texts that NFKC leaves alone, in any script.
+
+    A character is stable if it maps to itself, does not combine, and is not the
+    second half of a composition.  Long runs of such characters make the class, so
+    that it stays short; what lies in short runs goes the slow way.
+    """
+    second = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))     # Hangul vowels and finals
+    for c in range(0x30000):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            second.add(int(parts[1], 16))
+    runs, start = [], None
+    for c in range(0x180, 0x30001):
+        t = chr(c)
+        stable = (c < 0x30000 and not 0xD800 <= c < 0xE000 and c not in second and not unicodedata.combining(t)
+                  and unicodedata.normalize("NFKC", t) == t)
+        if stable and start is None:
+            start = c
+        elif not stable and start is not None:
+            if c - start >= _LEAST_RUN:
+                runs.append(rf"\x{{{start:x}}}-\x{{{c - 1:x}}}")
+            start = None
+    return f"^[{_STABLE_LATIN}{''.join(runs)}]*+$"
+
+
+def is_stable(text) -> Column:
+    """Whether NFKC leaves a text alone; the long class is only tried where the short one fails."""
+    return _col(text).rlike(f"^[{_STABLE_LATIN}]*+$") | _col(text).rlike(stable_pattern())
+
 
 _SPLIT = "\n"
 
@@ -72,27 +109,38 @@ def word_count(text) -> Column:
 
 # ---- normalisation ---------------------------------------------------------
 
-@F.pandas_udf(T.StringType())
-def _nfkc_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+def _normalised(texts: pa.Array) -> pa.Array:
+    # pyarrow's utf8_normalize leaves NFKC decomposed
+    return pa.array([t and unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+
 
+@F.arrow_udf(T.StringType())
+def _nfkc_udf(texts: pa.Array) -> pa.Array:
+    return _normalised(texts)
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _nfkc_each_udf(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda ts: None if ts is None else
-                     [t if t is None else unicodedata.normalize("NFKC", t) for t in ts])
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _nfkc_each_udf(lists: pa.Array) -> pa.Array:
+    return _over_lists(lists, _normalised)
+
+
+def _over_lists(lists: pa.Array, fn) -> pa.Array:
+    """``fn`` over the values of all lists at once."""
+    done = pa.ListArray.from_arrays(pa.array(pc.cumulative_sum(pa.concat_arrays(
+        [pa.array([0], pa.int32()), pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int32())]))), fn(lists.flatten()))
+    return pc.if_else(lists.is_valid(), done, None)
 
 
 def nfkc(text) -> Column:
     """NFKC; only rows it may change travel to Python."""
     c = _col(text)
-    return F.coalesce(_nfkc_udf(F.when(~c.rlike(_STABLE), c)), c)
+    return F.coalesce(_nfkc_udf(F.when(~is_stable(c), c)), c)
 
 
 def nfkc_each(texts) -> Column:
     """NFKC over an array of texts, with the same short cut."""
     c = _col(texts)
-    touched = F.exists(c, lambda t: ~t.rlike(_STABLE))
+    touched = F.exists(c, lambda t: ~is_stable(t))
     return F.coalesce(_nfkc_each_udf(F.when(touched, c)), c)
 
 
@@ -148,54 +196,68 @@ def has_oversize(sentences, max_words: int = MAX_SENTENCE_WORDS,
     return F.exists(_col(sentences), lambda s: _too_long(s, max_words, max_chars))
 
 
+_PAUSE = re.compile(PAUSE, re.IGNORECASE)
+_TRIM = " ,;:"
+
+
 def break_long(sentence: str, max_words: int, max_chars: int) -> list[str]:
     """Cut one over-long, single-spaced sentence at its natural pauses.
 
-    A piece of at most four words over the character limit has no place to be
-    cut and stays whole.
+    Every piece is a span of the sentence.  Where words and pauses begin is found
+    once; each cut is then looked up: the last pause that lies within both limits,
+    or else half of the words, four at least.  A piece of at most four words over the
+    character limit has no place to be cut and stays whole.
     """
-    pause = re.compile(PAUSE, re.IGNORECASE)
-    waiting, finished = [sentence], []
-    while waiting:
-        piece = waiting.pop()
-        # enough words to decide every question below; the rest stays unsplit
-        words = piece.split(None, 2 * max_words)
-        if len(words) <= max_words and len(piece) <= max_chars:
-            finished.append(piece)
+    words = [m.start() for m in re.finditer(r"[^ ]+", sentence)]
+    pauses = [m.start() for m in _PAUSE.finditer(sentence)]
+    spans, pieces = [(0, len(sentence), "")], []
+
+    def word(begin: int, n: int) -> int:
+        """Where word n of a span begins; a span may begin inside a word of the sentence."""
+        at = bisect_right(words, begin) - 1 + n
+        return words[at] if n and at < len(words) else begin if not n else len(sentence)
+
+    while spans:
+        begin, end, tail = spans.pop()
+        count = bisect_left(words, end) - bisect_right(words, begin) + (begin < end)
+        if count <= max_words and end - begin + len(tail) <= max_chars:
+            pieces.append(sentence[begin:end] + tail)
             continue
-        cut = -1
-        for found in pause.finditer(piece, 0, max_chars + 64):
-            at = found.start()
-            if at >= max_chars or len(piece[:at].split()) > max_words:
-                break
-            cut = at
-        if cut >= MIN_PAUSE_POSITION:
-            left = piece[:cut].rstrip(" ,;:") + ","
-            right = piece[cut + 1:].strip()
+        # a pause that begins a word still has only the words before it
+        last = min(end, begin + max_chars) - 1
+        if count > max_words:
+            last = min(last, word(begin, max_words))
+        found = bisect_right(pauses, last)
+        pause = pauses[found - 1] if found else -1
+        if pause - begin >= MIN_PAUSE_POSITION:
+            left, right, mark = pause, pause + 1, ","
         else:
-            take = max(4, min(max_words, len(words) // 2))
-            if take >= len(words):
-                finished.append(piece)
+            half = max(4, min(max_words, count // 2))
+            if half >= count:
+                pieces.append(sentence[begin:end] + tail)
                 continue
-            left = " ".join(words[:take]).rstrip(" ,;:")
-            right = piece.split(None, take)[take]
-        waiting += [right, left]
-    return [p for p in finished if p]
+            left = right = word(begin, half)
+            mark = ""
+        kept = sentence[begin:left].rstrip(_TRIM)
+        rest = len(sentence[right:end]) - len(sentence[right:end].lstrip(" "))
+        spans += [(right + rest, end, tail), (begin, begin + len(kept), mark)]
+    return [p for p in pieces if p]
 
 
 def _break_udf(max_words: int, max_chars: int):
-    def run(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda ss: None if ss is None else
-                         [p for s in ss for p in break_long(s, max_words, max_chars)])
-    return F.pandas_udf(run, T.ArrayType(T.StringType()))
+    def cut(lists: pa.Array) -> pa.Array:
+        return _over_lists(lists, lambda texts: pa.array(
+            [t if t is None else break_long(t, max_words, max_chars) for t in texts.to_pylist()], pa.list_(pa.string())))
+    return F.arrow_udf(cut, T.ArrayType(T.ArrayType(T.StringType())))
 
 
 def split_oversize_list(sentences, max_words: int = MAX_SENTENCE_WORDS,
                         max_chars: int = MAX_SENTENCE_CHARS) -> Column:
-    """Sentences with the over-long ones cut; lists without one stay in the JVM."""
+    """Sentences with the over-long ones cut; only these travel to Python, nulls in place of the others."""
     s = _col(sentences)
-    long_only = F.when(has_oversize(s, max_words, max_chars), s)
-    return F.coalesce(_break_udf(max_words, max_chars)(long_only), s)
+    some = has_oversize(s, max_words, max_chars)
+    cut = _break_udf(max_words, max_chars)(F.when(some, F.transform(s, lambda x: F.when(_too_long(x, max_words, max_chars), x))))
+    return F.when(some, F.flatten(F.zip_with(s, cut, lambda x, pieces: F.coalesce(pieces, F.array(x))))).otherwise(s)
 
 
 # ---- caption cards ---------------------------------------------------------
