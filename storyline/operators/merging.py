@@ -67,18 +67,23 @@ def demote_stale(segments: DataFrame, probes: DataFrame, keys, tol: float = 0.15
         "path": F.when(~F.col("demoted"), F.col("path"))}).drop("__probe")
 
 
-def check_allowed(df: DataFrame, col: str, allowed, hint_prefix: str = "") -> DataFrame:
+def check_allowed(df: DataFrame, col: str, allowed, hint_prefix: str = "", max_hints: int | None = None) -> DataFrame:
     """Values outside the allowed list, how often, and the valid hints sorted.
 
-    An empty list disables the check.  With a DataFrame ``allowed(value)`` the
-    list may be of any length and hints are left to the caller.
+    Hints are the allowed values that begin with ``hint_prefix``, the first
+    ``max_hints`` of them.  An empty list disables the check.  ``allowed`` is a list,
+    or a DataFrame ``allowed(value)`` of any length; its hints are looked up as the
+    plan runs, and default to a hundred.
     """
     used = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     if isinstance(allowed, DataFrame):
-        if allowed.isEmpty():
-            return used.filter(F.lit(False))
-        return used.join(allowed.select("value"), "value", "left_anti")
+        some = allowed.select("value").orderBy("value").limit(1).agg(F.count("*") > 0).scalar()
+        text = F.col("value").cast("string")
+        first = allowed.select(text.alias("h")).filter(F.startswith("h", F.lit(hint_prefix))).distinct().orderBy("h").limit(
+            100 if max_hints is None else max_hints)
+        hints = first.agg(F.array_join(F.array_sort(F.collect_list("h")), ", ")).scalar()
+        return used.join(allowed.select("value"), "value", "left_anti").filter(some).withColumn("hints", hints)
     allowed = sorted(set(allowed))
-    hints = ", ".join(str(a) for a in allowed if str(a).startswith(hint_prefix))
+    hints = ", ".join([str(a) for a in allowed if str(a).startswith(hint_prefix)][:max_hints])
     bad = ~F.coalesce(F.col("value").isin(allowed), F.lit(False)) if allowed else F.lit(False)
     return used.filter(bad).withColumn("hints", F.lit(hints))

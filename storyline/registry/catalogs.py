@@ -10,6 +10,7 @@ from ..operators import (budget_prefix, check_allowed, first_seen_dedupe, fresh_
 from ..sources import parse_blocklist, parse_catalog, read_assets, read_provider_hits, read_scripts
 from ..session import scratch_path
 from ..functions import word_count
+from ..plans import top_up
 from .base import query, table
 
 TERMS = ["Brand#1", "brand#12", "BRAND#20"]
@@ -189,12 +190,14 @@ def _read_blocklist(spark, d):
 
 
 @query("read_scripts", r"""SELECT source, sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')))::BIGINT
-  AS words FROM documents GROUP BY source""")
+  AS words, (dense_rank() OVER (ORDER BY source) - 1)::INTEGER AS ord FROM documents GROUP BY source""")
 def _read_scripts(spark, d):
     path = scratch_path(spark, "scripts")
     table(spark, d, "documents").select("source", "text").write.partitionBy("source").text(path)
-    files = read_scripts(spark, [path])
-    return files.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")).agg(
+    # every source is a folder of its own, given in order
+    sources = sorted(r[0] for r in table(spark, d, "documents").select("source").distinct().collect())
+    files = read_scripts(spark, [f"{path}/source={source}" for source in sources])
+    return files.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "ord").agg(
         F.sum(word_count("text")).cast("bigint").alias("words"))
 
 
@@ -302,8 +305,35 @@ def _check_allowed(spark, d):
     return check_allowed(table(spark, d, "customer"), "c_mktsegment", ["BUILDING", "AUTOMOBILE"])
 
 
-@query("check_allowed_table", """SELECT l_partkey AS value, count(*) AS n FROM lineitem
-  WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40) GROUP BY ALL""")
+@query("check_allowed_table", """SELECT l_partkey AS value, count(*) AS n,
+    (SELECT string_agg(h, ', ' ORDER BY h) FROM (SELECT p_partkey::VARCHAR AS h FROM part WHERE p_size < 40 AND p_partkey::VARCHAR LIKE '1%'
+      ORDER BY h LIMIT 20)) AS hints
+  FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40) GROUP BY ALL""")
 def _check_allowed_table(spark, d):
     allowed = table(spark, d, "part").filter("p_size < 40").select(F.col("p_partkey").alias("value"))
-    return check_allowed(table(spark, d, "lineitem"), "l_partkey", allowed)
+    return check_allowed(table(spark, d, "lineitem"), "l_partkey", allowed, hint_prefix="1", max_hints=20)
+
+
+# ---- top-up ----------------------------------------------------------------
+
+@query("top_up", """WITH seen AS (
+    SELECT l_partkey, min((l_orderkey, l_linenumber)) AS o, arg_min(l_quantity, (l_orderkey, l_linenumber)) AS duration_s
+    FROM lineitem GROUP BY l_partkey),
+  fresh AS (SELECT p_brand AS brand, 'part:' || p_partkey AS key, p_size * 50 AS width, duration_s::DOUBLE AS duration_s, o
+    FROM seen JOIN part ON p_partkey = l_partkey WHERE p_type <> 'PROMO' AND p_size > 1),
+  need AS (SELECT p_brand AS brand, 400 * 1.2::DOUBLE - coalesce(sum(p_size) FILTER (p_type = 'PROMO'), 0) AS need_s,
+    coalesce(sum(p_size) FILTER (p_type = 'PROMO'), 0) >= 400 * 1.2::DOUBLE AS enough FROM part GROUP BY ALL)
+  SELECT brand, key, width, duration_s, b AS before_s FROM (
+    SELECT *, coalesce(sum(duration_s) OVER (PARTITION BY brand ORDER BY width < 1280, duration_s DESC, o
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM fresh) JOIN need USING (brand)
+  WHERE NOT enough AND b < need_s""")
+def _top_up(spark, d):
+    parts = table(spark, d, "part").withColumn("key", F.concat(F.lit("part:"), F.col("p_partkey").cast("string")))
+    hits = table(spark, d, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("p_brand").alias("brand"), "key", (F.col("p_size") * 50).alias("width"),
+        F.col("l_quantity").cast("double").alias("duration_s"), "l_orderkey", "l_linenumber")
+    promo = parts.filter("p_type = 'PROMO'")
+    pool = promo.select(F.col("p_brand").alias("brand"), F.col("p_size").cast("double").alias("duration_s"))
+    needed = parts.select(F.col("p_brand").alias("brand")).distinct().withColumn("needed_s", F.lit(400.0))
+    return top_up(hits, promo.select("key"), parts.filter("p_size <= 1").select("key"), pool, needed, ["brand"],
+                  ["l_orderkey", "l_linenumber"]).select("brand", "key", "width", "duration_s", "before_s")

@@ -64,10 +64,13 @@ def _params_hash(spark, d):
 
 
 @query("gain_db", """SELECT event_id, CASE WHEN event_type = 'error' THEN 0.0
-  ELSE greatest(-12.0::DOUBLE, least(12.0::DOUBLE, -16.0::DOUBLE - (10 - value))) END AS gain FROM events""")
+  ELSE greatest(-12.0::DOUBLE, least(12.0::DOUBLE, -16.0::DOUBLE - (10 - value))) END AS gain,
+  CASE WHEN event_type = 'error' THEN 0.0 ELSE round_even(greatest(-12.0::DOUBLE, least(12.0::DOUBLE, -16.0::DOUBLE - (10 - value))), 2)
+  END AS rounded FROM events""")
 def _gain_db(spark, d):
     measured = F.when(F.col("event_type") != "error", 10 - F.col("value"))
-    return table(spark, d, "events").select("event_id", gain_db(measured, digits=None).alias("gain"))
+    return table(spark, d, "events").select("event_id", gain_db(measured, digits=None).alias("gain"),
+                                                gain_db(measured).alias("rounded"))
 
 
 @query("last_match", r"""SELECT doc_id, list_extract(regexp_extract_all(text, '([A-Z][a-z]+)\.', 1), -1) AS last_end

@@ -67,13 +67,13 @@ def _job_summary(spark, d):
 
 
 @query("write_timeline", f"""WITH RECURSIVE {S.conv_events()}
-  SELECT conv_id, count(*) AS events, max(t1_ms) AS last_ms,
-    (SELECT count(*) FROM ch WHERE ch.conv_id = ev.conv_id) AS chunks FROM ev GROUP BY conv_id""")
+  SELECT ev.conv_id, ev.id, ev.text, ev.t0_ms, ev.t1_ms, ev.story, ev.story_end, (SELECT count(*) FROM ch WHERE ch.conv_id = ev.conv_id) AS chunks
+  FROM ev""")
 def _write_timeline(spark, d):
     chunks, events = write_timeline(conv_chunks(spark, d), lambda stored: card_events(stored, JOB, "turn"),
                                     scratch_path(spark, "timeline"))
-    events = events.groupBy(*JOB).agg(F.count(F.lit(1)).alias("events"), F.max("t1_ms").alias("last_ms"))
-    return events.join(chunks.groupBy(*JOB).agg(F.count(F.lit(1)).alias("chunks")), JOB)
+    return events.select("conv_id", "id", "text", "t0_ms", "t1_ms", "story", "story_end").join(
+        chunks.groupBy(*JOB).agg(F.count(F.lit(1)).alias("chunks")), JOB)
 
 
 @query("plan_segments", f"""WITH RECURSIVE {S.conv_segments(SEG_MAX_S * 1000)}

@@ -204,6 +204,10 @@ def test_resume_and_allowed(spark):
     bad = check_allowed(voices, "voice", ["en-B", "en-A", "de-C"], hint_prefix="en-").collect()
     assert sorted((r.value or "", r.n, r.hints) for r in bad) == [("", 1, "en-A, en-B"), ("xx", 2, "en-A, en-B")]
     assert check_allowed(voices, "voice", []).count() == 0
+    names = spark.createDataFrame([("en-B",), ("en-A",), ("de-C",), (None,)], "value string")
+    assert check_allowed(voices, "voice", names, hint_prefix="en-").collect() == bad
+    assert {r.hints for r in check_allowed(voices, "voice", names, max_hints=1).collect()} == {"de-C"}
+    assert check_allowed(voices, "voice", names.limit(0)).count() == 0
 
 
 # ---- quality ---------------------------------------------------------------
