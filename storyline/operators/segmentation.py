@@ -1,7 +1,7 @@
 """Script text to stories, sentences, cards and speech units.
 
-All operators here are narrow: one input row holds one text (or one story), and
-its pieces are produced from that row alone.
+All operators here but ``join_scripts`` are narrow: one input row holds one text
+(or one story), and its pieces are produced from that row alone.
 """
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from ..functions.scalars import WORDS_PER_MINUTE, plan_budget_columns
 from ..functions.text import (MAX_SENTENCE_CHARS, MAX_SENTENCE_WORDS, WS,
                               caption_cards, nfkc_each, sentence_list,
                               split_oversize_list, tidy_text, trim_ws, word_count)
+from .running import running_before
 
 MIN_SCRIPT_CHARS = 40
 
@@ -91,6 +92,20 @@ def split_stories(df: DataFrame, id_cols: list[str], text_col: str = "text") ->
         *id_cols, "story_idx", "s.title", "s.paragraphs")
 
 
+def join_scripts(stories: DataFrame, keys: list[str], files: list[str], story_col: str = "story_idx") -> DataFrame:
+    """Stories of all scripts of a job, numbered on from script to script.
+
+    ``stories`` are numbered within each script; scripts stand in the order of
+    ``files``, which name a script within its job and are dropped.  Only one count
+    per script is summed up, so a story's text is not moved for its number.
+    """
+    sizes = stories.groupBy(*keys, *files).agg(F.count("*").alias("__n"))
+    starts = running_before(sizes, keys, [[F.col(c) for c in files]], {"__before": (F.col("__n"), "bigint")}).drop("__n")
+    rest = [c for c in stories.columns if c not in (*keys, *files, story_col)]
+    return stories.join(starts, [*keys, *files]).select(
+        *keys, (F.col(story_col) + F.col("__before")).cast("int").alias(story_col), *rest)
+
+
 def sentences(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """``(keys, sent_idx, text)`` from a clean text."""
     return _explode(df, keys, sentence_list(text_col), "sent_idx", "text")

@@ -8,6 +8,7 @@ from ..functions import (caption_cards, clean_text, content_key, escape_caption,
                          stamp_cs, bytes_to_ms, exceeds_cap, word_count)
 from ..operators import (contract_violations, min_text_filter, plan_budget, sentences, split_oversize,
                          split_stories, units)
+from ..plans import job_stories
 from .base import nbytes, query, table, texts
 from . import sql as S
 
@@ -161,7 +162,7 @@ def _scripts(spark, d):
         "doc_id", F.concat(F.lit("STORY: "), "source", F.lit("\n"), text).alias("text"))
 
 
-@query("split_stories", rf"""WITH d AS (SELECT doc_id, string_split({_SCRIPT_SQL}, chr(10)) AS l FROM documents),
+_STORIES_SQL = rf"""WITH d AS (SELECT doc_id, string_split({_SCRIPT_SQL}, chr(10)) AS l FROM documents),
 lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM d),
 k AS (SELECT *, trim(regexp_extract(line, '(?i)^\s*(?:STORY\s*[:#]|={{3,}}|-{{3,}}|\*{{3,}})\s*(.*)$', 1)) AS title,
   CASE WHEN trim(line) = '' THEN 'b'
@@ -185,13 +186,27 @@ s AS (SELECT doc_id, sno, string_agg(para, chr(10) || chr(10) ORDER BY pno) AS b
 h AS (SELECT doc_id, sno, max(CASE WHEN head AND kind = 'T' THEN title END) AS title FROM a GROUP BY ALL)
 SELECT h.doc_id, row_number() OVER (PARTITION BY h.doc_id ORDER BY h.sno) - 1 AS story_idx, h.title,
   coalesce(s.n, 0) AS n_paragraphs, coalesce(s.body, '') AS body
-FROM h LEFT JOIN s ON s.doc_id = h.doc_id AND s.sno = h.sno WHERE h.title IS NOT NULL OR s.n > 0""")
+FROM h LEFT JOIN s ON s.doc_id = h.doc_id AND s.sno = h.sno WHERE h.title IS NOT NULL OR s.n > 0"""
+
+
+@query("split_stories", _STORIES_SQL)
 def _split_stories(spark, d):
     return split_stories(_scripts(spark, d), ["doc_id"]).select(
         "doc_id", "story_idx", "title", F.size("paragraphs").alias("n_paragraphs"),
         F.array_join("paragraphs", "\n\n").alias("body"))
 
 
+@query("job_stories", f"""SELECT source AS job_id, row_number() OVER (PARTITION BY source ORDER BY doc_id, story_idx) - 1 AS story_idx,
+  title, n_paragraphs, body FROM ({_STORIES_SQL}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id)""")
+def _job_stories(spark, d):
+    # every source is a job, and its documents are the job's scripts
+    sources = table(spark, d, "documents").select("doc_id", "source")
+    scripts = _scripts(spark, d).join(sources, "doc_id").select(
+        F.col("source").alias("job_id"), F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("path"), "text")
+    return job_stories(scripts).select("job_id", "story_idx", "title", F.size("paragraphs").alias("n_paragraphs"),
+                                       F.array_join("paragraphs", "\n\n").alias("body"))
+
+
 @query("sentences", f"""WITH c AS (SELECT doc_id, {S.clean('text')} AS text FROM documents),
   {S.sentences('c', 'doc_id', 'text')} SELECT doc_id, k AS sent_idx, text FROM sent""")
 def _sentences(spark, d):

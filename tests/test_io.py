@@ -298,6 +298,28 @@ def test_stream_first_seen_is_the_least_across_batches(spark, tmp_path):
 
 # ---- the whole job ---------------------------------------------------------
 
+def test_one_job_from_several_scripts(spark, tmp_path):
+    one = put(f"{tmp_path}/z.txt", "STORY: Last name first\nOne. Two.\nSTORY: B\nThree.")
+    two = put(f"{tmp_path}/a.txt", "STORY: C\nFour.\n\nFive. Six.")
+    other = put(f"{tmp_path}/o.txt", "STORY: Other\nSeven.")
+
+    def speak(batch):
+        return pd.DataFrame({"sha": batch["sha"], "nbytes": batch["text"].str.len() * 2880})
+
+    jobs = {"film": [one, two], "short": [other]}
+    line = build_timeline(spark, jobs, speak, f"{tmp_path}/cache", f"{tmp_path}/out", "v")
+    assert [(r.job_id, r.story_idx, r.title) for r in line.stories.orderBy("job_id", "story_idx").collect()] == [
+        ("film", 0, "Last name first"), ("film", 1, "B"), ("film", 2, "C"), ("short", 0, "Other")]
+    film = [r.text for r in line.events.filter("job_id = 'film'").orderBy("t0_ms").collect()]
+    assert film == ["One.", "Two.", "Three.", "Four.", "Five.", "Six."]
+    pool = spark.createDataFrame([(f"p:{i}", f"n{i}", 20.0) for i in range(9)], "key string, path string, duration_s double")
+    plan = build_plan(line, pool, 45.0)
+    assert {r.job_id for r in segment_captions(line, plan).collect()} == {"film", "short"}
+    blank = put(f"{tmp_path}/blank.txt", " \n\n")
+    with pytest.raises(ValueError, match="no stories found in .*blank.txt"):
+        build_timeline(spark, {"film": [one, blank]}, speak, f"{tmp_path}/cache", f"{tmp_path}/out2", "v")
+
+
 def test_build_captions_verify(spark, tmp_path):
     text = "\n\n".join(f"STORY: S{k}\n" + " ".join(f"This is sentence {i} of story {k}, said slowly." for i in range(12))
                        for k in range(6))
