@@ -9,13 +9,14 @@ _SQL_TYPES = {
         "sentences": ["sent_idx"], "sentences_conversations": ["sent_idx"],
         "split_oversize": ["sent_idx", "part_idx"], "caption_cards": ["sent_idx", "card_idx"],
         "units": ["sent_idx"], "units_documents": ["sent_idx"], "timeline_chunks": ["sent_idx"],
-        "card_events": ["grp"], "union_sources": ["n"],
+        "card_events": ["grp"], "union_sources": ["n"], "job_stories": ["story_idx", "n_paragraphs"],
+        "stream_tail": ["line_no"],
     },
     "BIGINT": {
         "read_provider_hits": ["size_bytes"], "read_provider_hits_array": ["bitrate"], "read_job_state": ["idx"],
         "plan_segments": ["idx"], "plan_segments_long_jobs": ["idx"], "boundary_snap": ["idx"],
         "overlap_clip": ["seg_idx"], "write_captions": ["seg_idx"], "tiling_check": ["idx"],
-        "plan_scenes_invariants": ["idx"], "assign_round_robin": ["idx"],
+        "plan_scenes_invariants": ["idx"], "plan_scenes": ["idx"], "assign_round_robin": ["idx"],
     },
     "DOUBLE": {"read_catalog": ["norm_duration_s"], "pool_coverage": ["needed_s"], "progress_stats": ["eta_s"]},
 }

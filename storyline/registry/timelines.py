@@ -9,7 +9,7 @@ from ..operators import (assign_round_robin, boundary_snap, card_events, clean_s
 from ..operators.running import running_before
 from ..operators.scenes import MULTIPLIERS
 from ..session import cut_lineage, scratch_path
-from ..sources import write_captions, write_timeline
+from ..sources import read_texts, write_caption_packs, write_captions, write_timeline
 from .base import query, table
 from .texts import conv_units
 from . import sql as S
@@ -149,17 +149,38 @@ def _conservation_check(spark, d):
     return conservation_check(events, clipped.filter("seg_idx <> 1"), JOB, segments)
 
 
-@query("write_captions", f"""WITH RECURSIVE {_CLIPPED}
-  SELECT conv_id, seg_idx, count(*) AS dialogue, count(*) + 8 AS lines,
-    (SELECT count(*) FROM cl) AS reported FROM cl GROUP BY conv_id, seg_idx""")
+def _stamp(ms: str) -> str:
+    cs = f"round_even(greatest({ms}, 0) / 10, 0)::BIGINT"
+    return f"printf('%d:%02d:%02d.%02d', {cs} // 360000, {cs} // 6000 % 60, {cs} // 100 % 60, {cs} % 100)"
+
+
+# All lines of every segment's text: eight of the head, then the events in order.
+_CAPTIONS_SQL = rf"""{_CLIPPED},
+  line AS (SELECT conv_id, seg_idx, id, 'Dialogue: 0,' || {_stamp("t0_ms")} || ',' || {_stamp("t1_ms")} || ',Narr,,0,0,0,,' ||
+    replace(translate(text, '{{{{}}}}', '()'), chr(10), '\N') AS value FROM cl),
+  head AS (SELECT DISTINCT conv_id, seg_idx, unnest([-8, -7, -6, -5, -4, -3, -2, -1]) AS id, unnest(string_split(
+    '[Script Info]|Title: captions|ScriptType: v4.00+|PlayResX: 1920|PlayResY: 1080||[Events]|Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text',
+    '|')) AS value FROM cl),
+  captions AS (SELECT conv_id, seg_idx, row_number() OVER (PARTITION BY conv_id, seg_idx ORDER BY id) - 1 AS line_no, value
+    FROM (SELECT * FROM line UNION ALL SELECT * FROM head))"""
+
+
+@query("write_captions", f"WITH RECURSIVE {_CAPTIONS_SQL} SELECT conv_id, seg_idx, value, count(*) AS n, (SELECT count(*) FROM cl) AS reported "
+       "FROM captions GROUP BY ALL")
 def _write_captions(spark, d):
     path = scratch_path(spark, "captions")
     n = write_captions(_clipped(spark, d)[2], path, keys=JOB)
-    lines = spark.read.text(path, wholetext=False)
-    return lines.groupBy(F.col("conv_id").cast("bigint").alias("conv_id"),
-                         F.col("seg_idx").cast("bigint").alias("seg_idx")).agg(
-        F.count_if(F.col("value").startswith("Dialogue:")).alias("dialogue"),
-        F.count(F.lit(1)).alias("lines"), F.lit(n).cast("bigint").alias("reported"))
+    return spark.read.text(path).select(
+        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("seg_idx").cast("bigint").alias("seg_idx"), "value").groupBy(
+        "conv_id", "seg_idx", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("reported", F.lit(n).cast("bigint"))
+
+
+@query("write_caption_packs", f"WITH RECURSIVE {_CAPTIONS_SQL} SELECT conv_id, seg_idx, line_no, value FROM captions")
+def _write_caption_packs(spark, d):
+    path = scratch_path(spark, "captions")
+    write_caption_packs(_clipped(spark, d)[2], path, keys=JOB, files=50)
+    lines = F.split(F.regexp_replace("value", r"\n\z", ""), "\n")
+    return read_texts(spark, path).select("conv_id", "seg_idx", F.posexplode(lines).alias("line_no", "value"))
 
 
 @query("overlap_clip_open_end", """WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 - epoch_us(date_trunc('month', ts)) // 1000 AS t0 FROM events)

@@ -12,7 +12,8 @@ from storyline.operators import cache
 from storyline.operators import PermanentError, cached_enrich, overlap_clip, progress_stats, split_stories
 from storyline.plans import build_plan, build_timeline, segment_captions, verify
 from storyline.sources import (read_assets, read_blocklist, read_catalog, read_job_state, read_log, read_scripts,
-                               write_captions)
+                               read_text_index, read_texts, write_captions, write_timeline)
+from storyline.sources.packs import listed, write_text_packs
 from storyline.streaming import (checkpoint_merge, read_latest, read_progress, stream_first_seen, stream_progress,
                                  stream_tail, stream_upsert)
 
@@ -296,6 +297,46 @@ def test_stream_first_seen_is_the_least_across_batches(spark, tmp_path):
         stream_first_seen(stream, "key", "ts", "soon")
 
 
+# ---- packed texts ----------------------------------------------------------
+
+def test_text_packs(spark, tmp_path):
+    path = f"{tmp_path}/packs"
+    rows = [(f"job {i % 7}", i, k, f"line {k} of {i} é" if k else "") for i in range(230) for k in range(i % 4 + 1)]
+    df = spark.createDataFrame(rows, "job string, seg int, k int, value string").repartition(5)
+    want = {(f"job {i % 7}", i): "".join(f"line {k} of {i} é\n" if k else "\n" for k in range(i % 4 + 1)) for i in range(230)}
+    write_text_packs(df, path, ["job", "seg"], ["k"], files=20, partitions=3)
+    assert {(r.job, r.seg): r.value for r in read_texts(spark, path).collect()} == want
+    files = sorted(os.listdir(f"{path}/packs"))
+    texts = [f for f in files if f.endswith(".txt")]
+    assert 12 <= len(texts) <= 15 and len(files) == 2 * len(texts)
+    assert {f.split(".")[0] for f in texts} == set(listed(path))
+    one = read_text_index(spark, path).filter("job = 'job 3' AND seg = 31")
+    assert [r.value for r in read_texts(spark, path, one).collect()] == [want["job 3", 31]]
+
+    # a task that fails: the texts before it stay, and nothing of the run is left
+    bad = df.withColumn("value", F.when(F.col("seg") == 200, F.raise_error("stop")).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="stop"):
+        write_text_packs(bad, path, ["job", "seg"], ["k"], files=20, partitions=3)
+    assert {(r.job, r.seg): r.value for r in read_texts(spark, path).collect()} == want
+    # another write replaces all, also what a lost attempt has left
+    put(f"{path}/packs/lost-00000-1-0000.txt", "x")
+    write_text_packs(df.filter("seg < 3"), path, ["job", "seg"], ["k"])
+    assert {r.seg for r in read_texts(spark, path).collect()} == {0, 1, 2}
+    assert not [f for f in os.listdir(f"{path}/packs") if f.startswith("lost")]
+    write_text_packs(df.limit(0), path, ["job", "seg"], ["k"])
+    assert listed(path) == [] and os.listdir(f"{path}/packs") == []
+
+
+def test_write_timeline_keeps_the_old_one_when_it_fails(spark, tmp_path):
+    path, chunks = f"{tmp_path}/line", spark.createDataFrame([(1,), (2,)], "i int")
+    write_timeline(chunks, lambda stored: stored.filter("i = 1"), path)
+    with pytest.raises(Exception, match="stop"):
+        write_timeline(spark.createDataFrame([(3,)], "i int"), lambda stored: stored.select(F.raise_error("stop").alias("i")), path)
+    assert spark.read.parquet(f"{path}/chunks").count() == 2 and spark.read.parquet(f"{path}/events").count() == 1
+    new = write_timeline(spark.createDataFrame([(3,)], "i int"), chunks, path)
+    assert [df.count() for df in new] == [1, 2]
+
+
 # ---- the whole job ---------------------------------------------------------
 
 def test_one_job_from_several_scripts(spark, tmp_path):
