@@ -200,6 +200,16 @@ def _append_lines(folder):
     return append
 
 
+@query("read_log_numbered", f"""SELECT event_id % 4 AS file, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1 AS line_no,
+  time, message, is_session FROM ({_LOG_SQL.replace("SELECT", "SELECT event_id,", 1).replace("UNION ALL SELECT", "UNION ALL SELECT event_id,", 1)})""")
+def _read_log_numbered(spark, d):
+    path = scratch_path(spark, "log")
+    lines = _log_values(table(spark, d, "events")).withColumn("file", F.col("event_id") % 4)
+    lines.repartition("file").sortWithinPartitions("file", "event_id").select("file", "value").write.partitionBy("file").text(path)
+    file = F.regexp_extract("path", r"file=(\d)/", 1).cast("long").alias("file")
+    return read_log(spark, f"{path}/*", numbered=True).select(file, "line_no", "time", "message", "is_session")
+
+
 @query("stream_tail", f"""SELECT event_id % 4 AS file, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id % 3, event_id) AS line_no,
   time, message, is_session FROM ({_LOG_SQL.replace("SELECT", "SELECT event_id,", 1).replace("UNION ALL SELECT", "UNION ALL SELECT event_id,", 1)})""")
 def _stream_tail(spark, d):

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.running import running_before
 from ..operators.catalog import (MAP_TIERS, MAX_HEIGHT, SIZE_CAP, rendition_rank, usable_rendition)
 
 ASSET_EXTENSIONS = ("png", "jpg", "jpeg", "webp")
@@ -208,20 +209,28 @@ def parse_log_line(line: Column) -> list[Column]:
     return [time.alias("time"), message.alias("message"), (message == SESSION_MARKER).alias("is_session")]
 
 
-def read_log(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
-    """``(path, time, message, is_session)`` of job logs.
+def numbered_lines(spark: SparkSession, path) -> DataFrame:
+    """``(path, line_no, line)`` of text files of any length, numbered from 0.
 
-    ``numbered`` adds ``line_no``; a log file is then read as one row.
+    A file is read in splits by many tasks.  A line's number is its place within its
+    split plus the lines of the splits before, which are counted where they lie.  A
+    line ends with a newline, with or without a carriage return.
     """
-    if not numbered:
-        try:
-            lines = spark.read.text(path)
-        except AnalysisException:
-            lines = _no_file(spark)
-            return lines.select("path", *parse_log_line(F.col("value")))
-        return lines.select(F.col("_metadata.file_path").alias("path"), *parse_log_line(F.col("value")))
-    files = _whole_files(spark, path)
-    files = _no_file(spark) if files is None else files
-    lines = files.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), r"\r?\n"))
-                         .alias("line_no", "line"))
-    return lines.select("path", "line_no", *parse_log_line(F.col("line")))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__at"), F.regexp_replace("value", r"\r\z", "").alias("line"))
+    # the lines of a split come in order, and its task numbers them in order
+    return running_before(lines, ["path"], [[F.col("__block")], [F.col("__at")]], {"line_no": (F.lit(1), "bigint")}).select(
+        "path", "line_no", "line")
+
+
+def read_log(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """``(path, time, message, is_session)`` of job logs; ``numbered`` adds ``line_no``."""
+    try:
+        if numbered:
+            return numbered_lines(spark, path).select("path", "line_no", *parse_log_line(F.col("line")))
+        lines = spark.read.text(path)
+    except AnalysisException:
+        extra = [F.lit(0).cast("bigint").alias("line_no")] if numbered else []
+        return _no_file(spark).select("path", *extra, *parse_log_line(F.col("value")))
+    return lines.select(F.col("_metadata.file_path").alias("path"), *parse_log_line(F.col("value")))

@@ -13,6 +13,7 @@ from storyline.operators import PermanentError, cached_enrich, overlap_clip, pro
 from storyline.plans import build_plan, build_timeline, segment_captions, verify
 from storyline.sources import (read_assets, read_blocklist, read_catalog, read_job_state, read_log, read_scripts,
                                read_text_index, read_texts, write_captions, write_timeline)
+from storyline.sources.readers import numbered_lines
 from storyline.sources.packs import listed, write_text_packs
 from storyline.streaming import (checkpoint_merge, read_latest, read_progress, stream_first_seen, stream_progress,
                                  stream_tail, stream_upsert)
@@ -74,6 +75,25 @@ def test_read_job_state_and_log(spark, tmp_path):
     assert read_log(spark, log).count() == 3 and read_log(spark, f"{tmp_path}/none.log").count() == 0
 
 
+@pytest.mark.parametrize("split", ["700", "4096", "1m"])
+def test_lines_are_numbered_over_splits(spark, tmp_path, split):
+    texts = {f"{tmp_path}/logs/{name}.log": sep.join(f"[10:00:{i % 60:02d}] line {i} " + "é" * (i % 50) for i in range(n)) + end
+             for name, n, sep, end in (("a", 900, "\n", "\n"), ("b", 333, "\r\n", ""), ("c", 1, "\n", "\n\n"), ("d", 40, "\n\n", "x\ry"))}
+    for path, text in texts.items():
+        put(path, text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = {}
+        for r in numbered_lines(spark, f"{tmp_path}/logs").collect():
+            got.setdefault("/" + r.path.removeprefix("file:").lstrip("/"), {})[r.line_no] = r.line
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for path, text in texts.items():
+        lines = text.replace("\r\n", "\n").removesuffix("\n").split("\n")
+        assert got[path] == dict(enumerate(lines))
+
+
 # ---- enrichment ------------------------------------------------------------
 
 def counting(folder):
