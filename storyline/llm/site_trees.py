@@ -179,14 +179,15 @@ def with_main_text(pages: DataFrame, html: str = "html", url: str = "url", out:
     steps = Steps(pages.sparkSession)
     elements = steps.write(pages.select(page.alias("page"), host.alias("host"), html_text.alias("html")).mapInArrow(
         _elements, "page long, element long, style long, texts array<long>"))
-    known = _per_page(elements.select("page", "element").distinct(), importance_of(elements))
+    known = _per_page(elements.select("page", "element"), importance_of(elements))
 
     def packed_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=6)
         for batch in slices(batches, "html"):
             texts = [t.encode() for t in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page"), batch.column("host"), batch.column("missing"), batch.column("row"),
-                 pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary()),
+                 pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary()),
                  pa.array([len(t) for t in texts], pa.int64())], names=["page", "host", "missing", "row", "packed", "size"])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
