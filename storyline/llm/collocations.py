@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .rows import Steps, shuffle_width
 from .words import bytes_of, mix, packed, slices, split_words, u64
 
-BUCKET_ROWS = 1 << 20      # suffixes in one bucket, on average
-_BATCH = 12 << 20          # bytes of text whose equal suffixes travel as one
+BUCKET_ROWS = 1 << 19      # suffixes in one bucket, on average
+_BATCH = 8 << 20           # bytes of text whose equal suffixes travel as one
 _MOST_BITS = 28            # 32 MB
 _LEAST_BITS = 20
 
