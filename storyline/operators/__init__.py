@@ -9,7 +9,7 @@ from .quality import (conservation_check, contract_violations, duration_check, f
                       job_report, job_totals, not_built, segment_problems)
 from .running import blocks_of, running_before
 from .scenes import plan_scenes
-from .segmentation import (join_scripts, min_text_filter, plan_budget, sentences, split_oversize, split_stories,
+from .segmentation import (join_scripts, min_text_filter, plan_budget, sentences, split_oversize, split_stories, split_stories_blocks,
                            story_words, units)
 from .shapes import clean_suffix_start, sample_times, shape_classify
 from .state import job_board, progress, resume_filter, status_counts

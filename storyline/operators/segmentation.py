@@ -1,11 +1,11 @@
 """Script text to stories, sentences, cards and speech units.
 
-All operators here but ``join_scripts`` are narrow: one input row holds one text
+All operators here but ``join_scripts`` and ``split_stories_blocks`` are narrow: one input row holds one text
 (or one story), and its pieces are produced from that row alone.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import WORDS_PER_MINUTE, plan_budget_columns
 from ..functions.text import (MAX_SENTENCE_CHARS, MAX_SENTENCE_WORDS, WS,
@@ -80,18 +80,67 @@ def split_stories(df: DataFrame, id_cols: list[str], text_col: str = "text") ->
     head = F.when(F.col("__letters").rlike(r"\A[Td]"), "").otherwise(_MARK + "\n")
     texts = F.slice(F.split(F.concat(head, body), _MARK), F.lit(2), F.lit(2**30))
 
-    def story(s: Column) -> Column:
-        title = F.regexp_extract(s, r"\A([^\n]*)", 1)
-        body = F.regexp_replace(s, r"\A[^\n]*", "")
-        paragraphs = F.filter(F.transform(F.split(body, r"\n{2,}"), trim_ws), lambda p: p != "")
-        return F.struct(F.nullif(title, F.lit("")).alias("title"), paragraphs.alias("paragraphs"))
-
-    found = F.filter(F.transform(texts, story),
-                     lambda s: s.title.isNotNull() | (F.size(s.paragraphs) > 0))
+    found = F.filter(F.transform(texts, _story), lambda s: s.title.isNotNull() | (F.size(s.paragraphs) > 0))
     return _explode(rows, id_cols, found, "story_idx", "s").select(
         *id_cols, "story_idx", "s.title", "s.paragraphs")
 
 
+def _story(text: Column) -> Column:
+    """Title line and body of one story."""
+    title = F.regexp_extract(text, r"\A([^\n]*)", 1)
+    body = F.regexp_replace(text, r"\A[^\n]*", "")
+    paragraphs = F.filter(F.transform(F.split(body, r"\n{2,}"), trim_ws), lambda p: p != "")
+    return F.struct(F.nullif(title, F.lit("")).alias("title"), paragraphs.alias("paragraphs"))
+
+
+def split_stories_blocks(lines: DataFrame, keys: list[str], block: str = "block", order: tuple[str, ...] = ("at",),
+                         line_col: str = "line") -> DataFrame:
+    """``(keys, story_idx, title, paragraphs)`` from the lines of files of any length.
+
+    The same rule as :func:`split_stories`, for files that are read in blocks: a block
+    is a range of lines, ``order`` orders lines within it.  Whether a bare delimiter
+    separates depends on one bit, whether its story has text yet.  A text line sets
+    it, a titled delimiter clears it, a bare one turns it over (it separates if the bit
+    is set and is text otherwise), a blank line leaves it.  So a run of lines maps the
+    bit by its last set or clear and the turns after that; these maps are composed
+    within blocks, then over blocks.  Only a story's own lines meet in one task.
+    """
+    order, place = list(order), [*keys, block]
+    work = lines.select(*place, *order, F.col(line_col).alias("__line"), _letter(F.col(line_col)).alias("__kind"))
+    sets = F.when(F.col("__kind") == "t", 1).when(F.col("__kind") == "T", 0)
+    turn = (F.col("__kind") == "d").cast("int")
+    inside = Window.partitionBy(*place).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    work = work.withColumns({"__set": sets, "__turns": F.coalesce(F.sum(turn).over(inside), F.lit(0))})
+    last_set = F.last("__set", ignorenulls=True).over(inside)
+    turns_there = F.last(F.when(F.col("__set").isNotNull(), F.col("__turns")), ignorenulls=True).over(inside)
+    work = work.withColumns({"__last": last_set, "__since": F.col("__turns") - F.coalesce(turns_there, F.lit(0))})
+
+    # the map of each block, and the bit where it begins
+    known = F.when(F.col("__set").isNotNull(), F.col("__turns"))
+    maps = work.groupBy(*place).agg(
+        F.max_by("__set", known).alias("__set"), (F.sum(turn) - F.coalesce(F.max(known), F.lit(0))).alias("__after"))
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    maps = maps.withColumn("__sum", F.coalesce(F.sum("__after").over(before), F.lit(0)))
+    there = F.last(F.when(F.col("__set").isNotNull(), F.col("__sum")), ignorenulls=True).over(before)
+    bit = F.coalesce(F.last("__set", ignorenulls=True).over(before), F.lit(0)) + F.col("__sum") - F.coalesce(there, F.lit(0))
+    begins = maps.select(*place, bit.alias("__bit"))
+
+    has_text = F.coalesce(F.col("__last"), F.col("__bit")) + F.col("__since")
+    parts = (F.col("__kind") == "T") | ((F.col("__kind") == "d") & (has_text % 2 == 1))
+    marked = work.join(begins, place).select(*place, *order, "__line", "__kind", parts.cast("int").alias("__parts"))
+    numbered = running_before(marked, keys, [[F.col(block)], [F.col(c) for c in order]], {"__story": (F.col("__parts"), "bigint")})
+    text = (F.when(F.col("__parts") == 1, F.when(F.col("__kind") == "T", _title(F.col("__line"))).otherwise(""))
+            .when(F.col("__kind") == "b", "").otherwise(F.col("__line")))
+    stories = numbered.groupBy(*keys, (F.col("__story") + F.col("__parts")).alias("__story")).agg(
+        F.array_sort(F.collect_list(F.struct(block, *order, text.alias("text")))).alias("__lines"), F.max("__parts").alias("__headed"))
+    # text before the first delimiter has no title line of its own
+    whole = F.concat(F.when(F.col("__headed") == 1, "").otherwise("\n"), F.array_join("__lines.text", "\n"))
+    found = _once(stories, [*keys, "__story"], _story(whole), "__s").filter(
+        "__s.title IS NOT NULL OR size(__s.paragraphs) > 0")
+    placed = running_before(found, keys, [[F.col("__story")]], {"__idx": (F.lit(1), "bigint")})
+    return placed.select(*keys, F.col("__idx").cast("int").alias("story_idx"), "__s.title", "__s.paragraphs")
+
+
 def join_scripts(stories: DataFrame, keys: list[str], files: list[str], story_col: str = "story_idx") -> DataFrame:
     """Stories of all scripts of a job, numbered on from script to script.
 

@@ -10,6 +10,7 @@ _SQL_TYPES = {
         "split_oversize": ["sent_idx", "part_idx"], "caption_cards": ["sent_idx", "card_idx"],
         "units": ["sent_idx"], "units_documents": ["sent_idx"], "timeline_chunks": ["sent_idx"],
         "card_events": ["grp"], "union_sources": ["n"], "job_stories": ["story_idx", "n_paragraphs"],
+        "split_stories_blocks": ["story_idx", "n_paragraphs"],
         "stream_tail": ["line_no"],
     },
     "BIGINT": {

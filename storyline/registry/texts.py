@@ -7,7 +7,7 @@ from ..functions import (caption_cards, clean_text, content_key, escape_caption,
                          gain_db, hms, last_match, params_hash, shard_path,
                          stamp_cs, bytes_to_ms, exceeds_cap, word_count)
 from ..operators import (contract_violations, min_text_filter, plan_budget, sentences, split_oversize,
-                         split_stories, units)
+                         split_stories, split_stories_blocks, units)
 from ..plans import job_stories
 from .base import nbytes, query, table, texts
 from . import sql as S
@@ -196,6 +196,16 @@ def _split_stories(spark, d):
         F.array_join("paragraphs", "\n\n").alias("body"))
 
 
+@query("split_stories_blocks", _STORIES_SQL)
+def _split_stories_blocks(spark, d):
+    # blocks of forty lines, as if each came from another split of a file
+    lines = _scripts(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn(
+        "block", F.floor(F.col("at") / 40))
+    return split_stories_blocks(lines, ["doc_id"]).select(
+        "doc_id", "story_idx", "title", F.size("paragraphs").alias("n_paragraphs"),
+        F.array_join("paragraphs", "\n\n").alias("body"))
+
+
 @query("job_stories", f"""SELECT source AS job_id, row_number() OVER (PARTITION BY source ORDER BY doc_id, story_idx) - 1 AS story_idx,
   title, n_paragraphs, body FROM ({_STORIES_SQL}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id)""")
 def _job_stories(spark, d):

@@ -56,6 +56,23 @@ def read_scripts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         F.sha2("path", 256).alias("script_id"), "path", "ord", normalise_newlines(F.col("value")).alias("text"))
 
 
+def read_script_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``(script_id, path, ord, block, at, sub, line)``: scripts of any length, read in splits by many tasks.
+
+    Lines end as in :func:`read_scripts`; :func:`..operators.split_stories_blocks`
+    takes them, ordered by ``at`` and ``sub`` within a block.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    parts = [spark.read.option("lineSep", "\n").text(p).select(
+        F.col("_metadata.file_path").alias("path"), F.lit(i).alias("ord"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value") for i, p in enumerate(paths)]
+    lines = reduce(DataFrame.union, parts)
+    text = F.regexp_replace("value", r"\r\z", "")
+    text = F.when(F.col("block") == 0, F.regexp_replace(text, r"\A\x{feff}", "")).otherwise(text)
+    return lines.select(F.sha2("path", 256).alias("script_id"), "path", "ord", "block", "at",
+                        F.posexplode(F.split(text, r"\r|[\x0b\x0c]")).alias("sub", "line"))
+
+
 # ---- provider hits ---------------------------------------------------------
 
 _MAP_HIT = ("struct<id string, duration double, tags string, image string, "

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyline.operators import cache
-from storyline.operators import PermanentError, cached_enrich, overlap_clip, progress_stats, split_stories
+from storyline.operators import PermanentError, cached_enrich, overlap_clip, progress_stats, split_stories, split_stories_blocks
 from storyline.plans import build_plan, build_timeline, segment_captions, verify
-from storyline.sources import (read_assets, read_blocklist, read_catalog, read_job_state, read_log, read_scripts,
+from storyline.sources import (read_assets, read_blocklist, read_catalog, read_job_state, read_log, read_script_lines, read_scripts,
                                read_text_index, read_texts, write_captions, write_timeline)
 from storyline.sources.readers import numbered_lines
 from storyline.sources.packs import listed, write_text_packs
@@ -94,6 +94,23 @@ def test_lines_are_numbered_over_splits(spark, tmp_path, split):
         assert got[path] == dict(enumerate(lines))
 
 
+def test_long_scripts_are_split_like_short_ones(spark, tmp_path):
+    body = "\n".join(f"line {i} é" if i % 11 else ["", "---", "STORY: number %d" % i][i % 3] for i in range(3000))
+    put(f"{tmp_path}/in/a.txt", b"\xef\xbb\xbf" + body.replace("\n", "\r\n").encode())
+    put(f"{tmp_path}/in/b.txt", "no title\x0b\n---\n---\rtext\n\n\x0cmore")
+    whole = split_stories(read_scripts(spark, f"{tmp_path}/in"), ["script_id"])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        lines = read_script_lines(spark, f"{tmp_path}/in")
+        assert lines.select("path", "block").distinct().count() > 10
+        blocks = split_stories_blocks(lines, ["script_id"], order=("at", "sub")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(tuple, whole.collect()), key=lambda r: r[:2]) == sorted(map(tuple, blocks), key=lambda r: r[:2])
+    assert len(blocks) > 100
+
+
 # ---- enrichment ------------------------------------------------------------
 
 def counting(folder):

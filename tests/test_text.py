@@ -8,7 +8,7 @@ from storyline.functions import (break_long, caption_cards, clean_text, content_
                                  exceeds_cap, gain_db, hms, last_match, nfkc, params_hash,
                                  sentence_list, split_oversize_list, stamp_cs)
 from storyline.functions.text import is_stable
-from storyline.operators import min_text_filter, split_stories, units
+from storyline.operators import min_text_filter, split_stories, split_stories_blocks, units
 
 
 def one(spark, text, fn):
@@ -159,6 +159,21 @@ def test_split_stories_random(spark):
         assert got.get(i, []) == brute_stories(text), text
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_stories_of_blocks_are_those_of_whole_files(spark, size):
+    rng = random.Random(size)
+    texts = ["\n".join(rng.choice(["a b", "---", "---", "", "=== T", " ", "c"]) for _ in range(rng.choice([1, 3, 30, 90])))
+             for _ in range(400)]
+    lines = [(i, at // size, at, line) for i, text in enumerate(texts) for at, line in enumerate(text.split("\n"))]
+    df = spark.createDataFrame(lines, "id int, block int, at int, line string").repartition(4)
+    got = {}
+    for r in split_stories_blocks(df, ["id"]).orderBy("id", "story_idx").collect():
+        assert r.story_idx == len(got.setdefault(r.id, []))
+        got[r.id].append((r.title, list(r.paragraphs)))
+    for i, text in enumerate(texts):
+        assert got.get(i, []) == brute_stories(text), text
+
+
 def test_units_number_sentences_through_a_story(spark):
     df = spark.createDataFrame([(1, "STORY: One\nFirst here. Then there.\n\nLast one.\n\nstory # Two\nOnly.")],
                                "id int, text string")
