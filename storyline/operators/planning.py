@@ -281,11 +281,10 @@ def assign_round_robin(df: DataFrame, idx_col: str, resources, out: str = "resou
     ``resources`` is a list, or a DataFrame ``(pos, value)`` numbered from 0.
     """
     if isinstance(resources, DataFrame):
-        n = resources.count()
-        if n == 0:
-            return df.withColumn(out, F.lit(None).cast(resources.schema["value"].dataType))
-        table = resources.select(F.col("pos").cast("bigint").alias("__pos"), F.col("value").alias(out))
-        return (df.withColumn("__pos", F.pmod(F.col(idx_col).cast("bigint"), F.lit(n)))
+        pos = F.col("pos").cast("bigint")
+        n = resources.select((pos + 1).alias("n")).orderBy(F.desc("n")).limit(1).scalar()    # null without resources
+        table = resources.select(pos.alias("__pos"), F.col("value").alias(out))
+        return (df.withColumn("__pos", F.pmod(F.col(idx_col).cast("bigint"), n))
                 .join(table, "__pos", "left").drop("__pos"))
     values = list(resources)
     if not values:

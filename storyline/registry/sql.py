@@ -1,9 +1,10 @@
 """SQL building blocks of the oracles (DuckDB)."""
 from __future__ import annotations
 
-from ..functions.text import ABBREVIATIONS
-
-_ABBR = "[" + ", ".join(f"'{a}'" for a in ABBREVIATIONS) + "]"
+# Fixed values, written out here so that the check does not use those it checks.
+_ABBR = ("['mr', 'mrs', 'ms', 'dr', 'sr', 'jr', 'st', 'vs', 'etc', 'e.g', 'i.e', 'u.s', 'u.k', 'no', 'gen', 'hon', 'prof', "
+         "'inc', 'ltd', 'co', 'ave', 'blvd', 'rd', 'dept', 'approx', 'min', 'max', 'jan', 'feb', 'mar', 'apr', 'jun', 'jul', "
+         "'aug', 'sep', 'oct', 'nov', 'dec']")
 
 
 def clean(x: str) -> str:

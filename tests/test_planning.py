@@ -183,6 +183,7 @@ def test_round_robin(spark):
     assert {r.resource for r in assign_round_robin(df, "n", []).collect()} == {None}
     table = spark.createDataFrame([(0, "a"), (1, "b")], "pos int, value string")
     assert [r.resource for r in assign_round_robin(df, "n", table).orderBy("n").collect()] == ["a", "b", "a", "b"]
+    assert {r.resource for r in assign_round_robin(df, "n", table.limit(0)).collect()} == {None}
 
 
 # ---- shapes ----------------------------------------------------------------
