@@ -87,6 +87,9 @@ COLUMNS = {
     "op8_best_fit": {"doc_id", "sequence_id", "position", "length"},
     "op9_toxicity": {"doc_id", "held_out", "score", "predicted"},
     "op10_jaccard_join": {"doc_id", "n_shingles", "component_id"},
+    "op11_site_trees": {"page_id", "url", "text", "n_chars"},
+    "op12_collocations": {"lang", "rank", "phrase", "a", "l", "r", "n", "score"},
+    "op13_prefix_trie": {"conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"},
 }
 
 
@@ -94,10 +97,11 @@ COLUMNS = {
 def test_queries_have_their_columns(spark, sf_dir, name):
     rows = QUERIES[name](spark, sf_dir)
     assert COLUMNS[name] <= set(rows.columns)
-    whole = {"op1_decontamination", "op5_quality", "op8_best_fit"}
-    if name not in whole:
-        assert rows.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    others = {"op1_decontamination", "op5_quality", "op8_best_fit", "op12_collocations", "op13_prefix_trie"}
+    if name not in others:
+        source = "pages" if name == "op11_site_trees" else "documents"
+        assert rows.count() == spark.read.parquet(f"{sf_dir}/{source}.parquet").count()
 
 
-def test_ten_operators():
+def test_all_operators():
     assert set(QUERIES) == set(COLUMNS)
