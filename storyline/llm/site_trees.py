@@ -47,7 +47,9 @@ NO_ARTICLE_WORDS = frozenset(
     "promo promos promotion cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter "
     "subscribe subscription signup login register share sharing social comment comments disqus respond replies reply "
     "discussion guestbook sidebar sidebars related recommended recommendations breadcrumb breadcrumbs nav navbar "
-    "navigation menu menus topbar toolbar footer colophon copyright masthead pagination pager search header".split())
+    "navigation menu menus topbar toolbar footer colophon copyright masthead pagination pager search header disclaimer".split())
+# Names that are also written together with others, such as commentlist.
+NO_ARTICLE_STEMS = ("comment", "advert", "sponsor", "newsletter", "breadcrumb", "sidebar", "cookieb", "cookien")
 _NEGATIONS = frozenset("no non not has with without".split())
 # Elements of running text; without attributes they are judged with what holds them.
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre caption figcaption tr td th tbody thead tfoot".split())
@@ -68,7 +70,7 @@ def _declared(page: Page, element: Element, heading: list[bool], in_main: bool)
         return False   # a wrapper around the article, whatever it is called
     if element.tag == "form" or element.role == "form":
         return True
-    return any(word in NO_ARTICLE_WORDS and (i == 0 or element.words[i - 1] not in _NEGATIONS)
+    return any((word in NO_ARTICLE_WORDS or word.startswith(NO_ARTICLE_STEMS)) and (i == 0 or element.words[i - 1] not in _NEGATIONS)
                for i, word in enumerate(element.words)) and not (in_main and element.tag == "h1")
 
 

@@ -257,7 +257,7 @@ def semantic_frame(i, body):
     return (f"<html><head><title>t {i}</title><style>x</style></head><body class='page has-sidebar'><header><h1>Site</h1></header>"
             f"<nav><ul><li>a{i}<li>b</ul></nav><form id=aspnetForm><main><article><header><h2>Heading {i}</h2></header>{body}"
             f"<ul><li>point {i}</li></ul><aside>aside {i}</aside><div class='ad-slot ad'>buy {i}</div></article>"
-            f"<section id=comments><article class=comment><p>I, reader {i}, think so</p></article></section></main></form>"
+            f"<ol class=commentlist><li>Nice, {i}</ol><div class='cookieBanner'>We use them</div><section id=comments><article class=comment><p>I, reader {i}, think so</p></article></section></main></form>"
             f"<div role=complementary>more {i}</div><footer>&copy; {i}</footer><p hidden>x</p></body></html>")
 
 
