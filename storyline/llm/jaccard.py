@@ -15,9 +15,10 @@ text is paired with the first of its tile and of the tile before.  Pairs that
 pass link their texts.  Then members outside a group's largest class are paired
 with sixteen of that class, and what is still in different classes with each
 other.  So no link between classes is lost, while a group of copies gives a few
-pairs per text.
+pairs per text.  In both steps the bitmap signatures of the members are at hand,
+folded to 1,024 bits at most, and a pair that they rule out is not emitted.
 
-*Verification.*  A pair is checked by bitmap signatures first: a bit set in one
+*Verification.*  A pair is checked by whole bitmap signatures first: a bit set in one
 signature and not in the other is a shingle without partner, so bit counts bound
 the overlap from above.  What is left is counted exactly by intersecting the two
 sorted arrays.
@@ -44,6 +45,7 @@ _HOT = 1 << 20  # shingles in the list of hot ones at most: 8 MB
 _SMALL = 4  # texts of a group of which all pairs are candidates
 _HEADS = 16  # members of a tile's largest class that others are held against before all are
 _GROUP_ROWS = 1 << 16
+_GROUP_BYTES = 128  # of a signature that bounds the pairs of a group
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,12 +205,55 @@ def _across(start, count, size, root, node, percent, heads):
             yield s + i[good], s + j[good]
 
 
+class _Bitmaps:
+    """Signatures of the members of a table, for bounds on many pairs at once."""
+
+    def __init__(self, signatures: pa.Array, order: np.ndarray):
+        data, offsets = bytes_of(signatures)
+        self.start, self.width = offsets[:-1][order], np.minimum(np.diff(offsets)[order], _GROUP_BYTES)
+        self.data, self.whole = data, np.diff(offsets)[order]
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _level(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures folded to ``width`` bytes of all members that have as many, and where each member's is."""
+        if width not in self.levels:
+            rows = np.flatnonzero(self.width >= width)
+            at = np.zeros(len(self.width), np.int64)
+            at[rows] = np.arange(len(rows))
+            folded = np.zeros((len(rows), width), np.uint8)
+            for whole in np.unique(self.whole[rows]):
+                own = np.flatnonzero(self.whole[rows] == whole)
+                for a in range(0, len(own), 1 << 14):
+                    some = own[a:a + (1 << 14)]
+                    bits = self.data[self.start[rows[some]][:, None] + np.arange(whole)]
+                    folded[some] = np.bitwise_or.reduce(bits.reshape(len(some), -1, width), axis=1)
+            self.levels[width] = folded.view(np.uint64), at
+        return self.levels[width]
+
+    def may_link(self, size: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Do the bit counts of pairs allow enough overlap?"""
+        out = np.zeros(len(i), bool)
+        widths = np.minimum(self.width[i], self.width[j])
+        for width in np.unique(widths):
+            folded, at = self._level(int(width))
+            these = np.flatnonzero(widths == width)
+            for a in range(0, len(these), 1 << 15):
+                some = these[a:a + (1 << 15)]
+                x, y = folded[at[i[some]]], folded[at[j[some]]]
+                most = np.minimum(size[i[some]] - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64),
+                                  size[j[some]] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+                out[some] = most >= _least_overlap(size[i[some]], size[j[some]], percent)
+        return out
+
+
 def _pairs_of(percent: int, classes: bool = False, heads: int = 0):
     """Candidate pairs of every shingle's group.
 
     Without classes: all pairs of small groups; of larger ones the stars of the
     tiles, and the members again as rows without ``b``.  With classes: pairs of
-    members that are in different classes.
+    members that are in different classes and whose bitmaps allow a link.  A pair with
+    a head is held against sizes and bitmaps only: positions bound the overlap at
+    the first shingle that two sets share, where the head may not be one.
     """
     band = math.log(100 / percent) / 2
 
@@ -223,6 +268,7 @@ def _pairs_of(percent: int, classes: bool = False, heads: int = 0):
             fresh = np.ones(len(key), bool)  # copies of a set came once from every batch
             fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
             key, node, place, size = key[fresh], node[fresh], place[fresh], size[fresh]
+            bitmaps = _Bitmaps(table.column("signature").combine_chunks(), order[fresh]) if classes else None
             at = place & 0xFFFFFFFF
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             count = np.diff(np.concatenate([start, [len(key)]]))
@@ -230,7 +276,10 @@ def _pairs_of(percent: int, classes: bool = False, heads: int = 0):
             found_a, found_b = [], []
 
             def keep(i: np.ndarray, j: np.ndarray) -> None:
-                good = _may_link(size, at, i, j, percent)
+                good = _may_link(size, np.zeros_like(at) if heads else at, i, j, percent)
+                if classes:
+                    i, j = i[good], j[good]
+                    good = bitmaps.may_link(size, i, j, percent)
                 found_a.append(np.minimum(node[i], node[j])[good])
                 found_b.append(np.maximum(node[i], node[j])[good])
 
@@ -399,7 +448,7 @@ def _classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
         # a shingle whose members are all in one class has nothing left to say
         split = known.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
         rest = steps.write(
-            known.join(split.select("shingle"), "shingle", "left_semi")
+            known.join(split.select("shingle"), "shingle", "left_semi").join(nodes.select("node", "signature"), "node")
             .repartition(width, "shingle").sortWithinPartitions("shingle")
             .mapInArrow(_pairs_of(percent, True, heads), _PAIR).select("a", "b").distinct())
         more = _verified(steps, work, nodes, rest, n, percent)
