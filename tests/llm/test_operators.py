@@ -155,6 +155,33 @@ def test_rows_without_key_link_their_copies(spark):
     assert sorted(r.doc_id for r in jaccard.keep_one_of_each(docs).collect()) == [7, 9]
 
 
+def test_a_chain_of_near_copies_and_a_passage_of_many(spark):
+    rng = random.Random(23)
+
+    def fresh(n):
+        return [f"v{rng.randrange(10**6)}" for _ in range(n)]
+
+    # each text replaces two words of the one before: neighbours link, ends do not
+    chain, rows = fresh(150), []
+    for i in range(300):
+        for _ in range(2):
+            chain[rng.randrange(len(chain))] = f"edit{i}-{rng.random()}"
+        rows.append((i, " ".join(chain)))
+    passage = fresh(60)
+    rows += [(1000 + i, " ".join([*fresh(rng.randint(10, 80)), *passage, *fresh(rng.randint(10, 80))])) for i in range(300)]
+    star = fresh(140)    # copies of one text, two words changed in each
+    for i in range(300):
+        copy = list(star)
+        for _ in range(2):
+            copy[rng.randrange(len(copy))] = f"own{i}-{rng.random()}"
+        rows.append((2000 + i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(docs).collect()), key=str)
+    assert got == classes_by_force(rows)
+    ends = shingles(rows[0][1]), shingles(rows[299][1])
+    assert 100 * len(ends[0] & ends[1]) < 80 * len(ends[0] | ends[1])
+
+
 def test_one_of_each_stays(docs, corpus):
     kept = collections.Counter((r.doc_id, r.text) for r in jaccard.keep_one_of_each(docs).collect())
     groups = collections.defaultdict(set)
