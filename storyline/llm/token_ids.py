@@ -16,6 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +95,12 @@ class Encoder:
             raise ValueError("added tokens that look at their neighbours are not supported")
         names = sorted((t.content.encode() for t in added), key=len, reverse=True)
         self.added = re.compile(b"|".join(map(re.escape, names))) if names else None
-        self.hashes, self.first, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self._forget()
+
+    def _forget(self) -> None:
+        """``pool[begin[i]:begin[i] + size[i]]`` are the ids of the piece with the hash ``hashes[i]``."""
+        self.hashes, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
@@ -104,6 +110,8 @@ class Encoder:
         pieces = Words(data, offsets, start, end, np.searchsorted(start, offsets))
         hashes = pieces.hashes()
         unique, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) + len(unique) > _REMEMBERED:
+            self._forget()
         known = np.searchsorted(self.hashes, unique)
         hit = np.zeros(len(unique), bool)
         if len(self.hashes):
@@ -111,29 +119,24 @@ class Encoder:
         fresh = np.flatnonzero(~hit)
         texts = [raw[start[e]:end[e]].decode() for e in example[fresh]]
         new = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, new), np.int64, len(new))
-        ids = np.fromiter((i for e in new for i in e), np.uint32, int(size.sum()))
-        # one pool: remembered pieces, then new ones
-        pool = np.concatenate([self.ids, ids])
-        begin, count = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
-        begin[hit], count[hit] = self.first[known[hit]], np.diff(self.first)[known[hit]]
-        begin[fresh], count[fresh] = len(self.ids) + np.cumsum(size) - size, size
-        self._remember(unique[fresh], size, ids)
+        self._remember(unique[fresh], known[fresh], np.fromiter(map(len, new), np.int64, len(new)), chain.from_iterable(new))
+        place = np.searchsorted(self.hashes, unique) if len(fresh) else known
+        begin, count = self.begin[place], self.size[place]
         per_piece = count[which]
-        out = pool[ranges(begin[which], per_piece)]
+        out = self.pool[ranges(begin[which], per_piece)]
         total = np.concatenate([[0], np.cumsum(per_piece)])
         return out, np.diff(total[pieces.first])
 
-    def _remember(self, hashes: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
-        if len(self.hashes) + len(hashes) > _REMEMBERED:
-            self.hashes, self.first, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
-        every = np.concatenate([self.hashes, hashes])
-        sizes = np.concatenate([np.diff(self.first), size])
-        begins = np.concatenate([self.first[:-1], len(self.ids) + np.cumsum(size) - size])
-        order = np.argsort(every, kind="stable")
-        self.ids = np.concatenate([self.ids, ids])[ranges(begins[order], sizes[order])]
-        self.hashes = every[order]
-        self.first = np.concatenate([[0], np.cumsum(sizes[order])])
+    def _remember(self, hashes: np.ndarray, place: np.ndarray, size: np.ndarray, ids: Iterator[int]) -> None:
+        """Put sorted new hashes in their places; ids stay where they were appended."""
+        total = int(size.sum())
+        if self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool[:self.used], np.zeros(max(total, self.used), np.uint32)])
+        self.pool[self.used:self.used + total] = np.fromiter(ids, np.uint32, total)
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.begin = np.insert(self.begin, place, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, place, size)
+        self.used += total
 
 
 _encoders: dict[str, Encoder] = {}
