@@ -94,6 +94,7 @@ class Encoder:
         if any(t.lstrip or t.rstrip or t.single_word for t in added):
             raise ValueError("added tokens that look at their neighbours are not supported")
         names = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.added = re.compile(b"|".join(map(re.escape, names))) if names else None
         self._forget()
 
@@ -160,7 +161,7 @@ def _written(folder: str, tokenizer: str, shard_tokens: int):
         def flush() -> pa.RecordBatch:
             path = f"{folder}/{part:06d}-{task.taskAttemptId()}-{seq:06d}.wvm"
             every = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-            store.put(path, encode(every, keys, np.concatenate(counts)))
+            store.put(path, encode(every, keys, np.concatenate(counts), encoder.bits))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()),
                                                pa.array([path]), pa.array([len(every)], pa.int64())], names=names)
 

@@ -9,17 +9,20 @@ the compressed file by opening the blocks on its way only.
 from __future__ import annotations
 
 import struct
-import zlib
 
 import numpy as np
+import zstandard
 
-_MAGIC = b"WVM1"
+_MAGIC = b"WVM2"
 _BLOCK = 1 << 16
 _KEPT = 64  # opened blocks that are kept
 
 
 def encode(ids: np.ndarray, keys: list[int | None], counts: np.ndarray, bits: int = 16) -> bytes:
     """The file of one shard: ids of the documents ``keys``, ``counts`` ids each."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"the id {int(ids.max())} does not fit into {bits} bits")
+    squeeze = zstandard.ZstdCompressor(level=1)
     planes, zeros = [], []
     rest = np.ascontiguousarray(ids, np.uint16 if bits <= 16 else np.uint32)
     for level in range(bits - 1, -1, -1):
@@ -37,7 +40,7 @@ def encode(ids: np.ndarray, keys: list[int | None], counts: np.ndarray, bits: in
         for a in range(0, len(bit), _BLOCK):
             part = bit[a:a + _BLOCK]
             raw = np.packbits(part, bitorder="little").tobytes()
-            small = zlib.compress(raw, 1)
+            small = squeeze.compress(raw)
             plain = len(small) >= len(raw)
             body.append(raw if plain else small)
             directory.append((at, ones, plain))
@@ -81,7 +84,7 @@ class WaveletMatrix:
             start, _, plain = self.table[number]
             end = self.table[number + 1][0] if number + 1 < len(self.table) else len(self.body)
             raw = self.body[start:end]
-            raw = raw if plain else zlib.decompress(raw)
+            raw = raw if plain else zstandard.ZstdDecompressor().decompress(raw)
             size = min(_BLOCK, self.n - block * _BLOCK)
             self.opened[number] = np.unpackbits(np.frombuffer(raw, np.uint8), count=size, bitorder="little")
         return self.opened[number]

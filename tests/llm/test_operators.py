@@ -282,6 +282,14 @@ def test_added_tokens_in_a_text_are_matched():
         assert ids[edge[t]:edge[t + 1]].tolist() == fresh.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
+def test_wide_ids_are_kept_or_refused():
+    ids = np.array([70000, 5, 70000, 131071, 0], np.uint32)
+    matrix = WaveletMatrix(encode(ids, [1, None], np.array([2, 3]), 17))
+    assert [matrix.access(i) for i in range(5)] == ids.tolist()
+    with pytest.raises(ValueError, match="131071 does not fit"):
+        encode(ids, [1, None], np.array([2, 3]), 16)
+
+
 def test_wavelet_matrix():
     for n in (0, 1, 65536, 150_001):
         ids = np.random.default_rng(n).integers(0, 50257, n) if n < 100_000 else np.arange(n) % 7 * 9000
