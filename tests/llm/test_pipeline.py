@@ -36,6 +36,10 @@ def sf_dir(spark, tmp_path_factory):
     docs = [(i, t, "en", f"s{i % 4}", len(t or "")) for i, t in rows]
     for name, data, schema in (("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"),
                                ("labels", labels, "doc_id long, quality int, toxic int"),
+                               ("pages", [(i, f"http://h{i % 3}.example/{i}", f"<nav>menu</nav><article><p>{text(9)}</article>") for i in range(20)],
+                                "page_id long, url string, html string"),
+                               ("conversations", [(i // 3, i % 3, "user", text(4)) for i in range(60)],
+                                "conv_id long, turn long, role string, text string"),
                                ("benchmark", list(enumerate(items)), "item_id long, text string")):
         spark.createDataFrame(data, schema).repartition(2).write.parquet(f"{folder}/{name}.parquet")
     return folder
