@@ -283,21 +283,24 @@ def _plan_scenes(spark, d):
   SELECT conv_id, idx, true AS sum_exact, true AS in_band, true AS clip_long_enough, true AS no_repeat_in_seven,
     t1_ms - t0_ms >= 50 AS filled FROM seg""")
 def _plan_scenes_invariants(spark, d):
-    rows = _scenes(spark, d)
+    return scene_invariants(_scenes(spark, d), table(spark, d, "part").select(
+        F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("key"), "p_size"))
+
+
+def scene_invariants(rows, parts):
+    """What holds for the scenes of every segment; ``parts(key, p_size)`` are the lengths of the clips."""
     total = F.aggregate("scenes", F.lit(0.0), lambda a, s: a + s.dur_s)
-    parts = table(spark, d, "part").select(
-        F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("key"), "p_size")
     one = rows.select("conv_id", "idx", F.posexplode("scenes").alias("pos", "s"), F.size("scenes").alias("n"))
     # the same clip in the six picks before, over the whole job
     last = Window.partitionBy("conv_id").orderBy("idx", "pos").rowsBetween(-6, -1)
     one = one.withColumn("recent", F.array_contains(F.collect_list("s.key").over(last), F.col("s.key")))
+    # the last scene also takes what is left below 0.05 s
+    spare = F.when(F.col("pos") == F.col("n") - 1, 0.05).otherwise(0.001)
     one = one.withColumn("key", F.col("s.key")).join(parts, "key").groupBy("conv_id", "idx").agg(
-        F.bool_and((F.col("s.dur_s") <= 16.001) & ((F.col("s.dur_s") >= F.least(F.lit(8), "p_size"))
+        F.bool_and((F.col("s.dur_s") <= 16.0 + spare) & ((F.col("s.dur_s") >= F.least(F.lit(8), "p_size"))
                                                          | (F.col("pos") == F.col("n") - 1))
                    & (F.col("s.dur_s") >= 0.05)).alias("in_band"),
-        # the last scene also takes what is left below 0.05 s
-        F.bool_and(F.col("s.dur_s") + F.col("s.in_s") <= F.col("p_size") + F.when(
-            F.col("pos") == F.col("n") - 1, 0.05).otherwise(0.001)).alias("clip_long_enough"),
+        F.bool_and(F.col("s.dur_s") + F.col("s.in_s") <= F.col("p_size") + spare).alias("clip_long_enough"),
         F.bool_and(~F.col("recent")).alias("no_repeat_in_seven"))
     return rows.select(
         "conv_id", "idx", (F.abs(total - (F.col("t1_ms") - F.col("t0_ms")) / 1000.0) <= 0.001).alias("sum_exact"),

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from storyline.operators import (assign_round_robin, clean_suffix_start, plan_scenes, plan_segments,
                                  shape_classify)
+from storyline.operators.scenes import _drawn
+from storyline.registry.timelines import scene_invariants
 
 EVENTS = "job int, id long, story long, t1_ms double, story_end boolean"
 
@@ -116,6 +118,25 @@ def test_scenes_invariants(spark, pool):
         assert len(set(picks)) == min(pool, len(picks))
 
 
+def test_last_scene_is_in_band_with_the_rest_of_its_segment(spark):
+    """What is left below 0.05 s makes a scene of almost 16 s longer than 16 s."""
+    first = {j: 8000 + _drawn(f"1234|{j}|0") % 8001 for j in range(2000)}
+    long = [(j, ms) for j, ms in first.items() if ms >= 15_980]
+    assert long
+    rows = [(j, 0, 0.0, ms + 45.0, 0) for j, ms in long] + [(-1, 0, 0.0, 60_000.0, 0)]
+    segments = spark.createDataFrame(rows, "conv_id long, idx long, t0_ms double, t1_ms double, story_first long")
+    pool = spark.createDataFrame([(f"p:{i}", f"n/{i}", 20.0) for i in range(30)], "key string, path string, duration_s double")
+    planned = plan_scenes(segments, pool, ["conv_id"])
+    assert max(s.dur_s for r in planned.collect() for s in r.scenes) > 16.02
+    lengths = pool.select("key", F.col("duration_s").alias("p_size"))
+    for r in scene_invariants(planned, lengths).collect():
+        assert r.sum_exact and r.in_band and r.clip_long_enough and r.no_repeat_in_seven and r.filled
+    # a scene before the last that is as long is out of the band
+    early = planned.withColumn("scenes", F.concat("scenes", "scenes"))
+    bad = scene_invariants(early.filter("conv_id >= 0"), lengths).collect()
+    assert bad and not any(r.in_band for r in bad)
+
+
 def test_scenes_do_not_depend_on_later_segments(spark):
     short, long = (scenes(spark, [20.0] * n, [20.0] * 12) for n in (1000, 1100))
     assert short == long[:1000]
