@@ -27,7 +27,9 @@ def overlap_clip(events: DataFrame, segments: DataFrame, keys: Sequence[str],
     Both sides are put into time buckets of their job, and the join is an
     equi-join on job and bucket: one very long job spreads over as many tasks
     as it has buckets, and only events near a segment meet it.  A pair sharing
-    several buckets is kept in the first of them only.  A segment without an end
+    several buckets is kept in the first of them only.  A segment gives a row for
+    every bucket it touches, which its size before that does not tell, so these rows
+    are dealt and never sent whole to every task.  A segment without an end
     is open: it is joined on the job alone and lasts as long as the job has events.
 
     An event that comes out empty or inverted is an error, or with
@@ -39,7 +41,7 @@ def overlap_clip(events: DataFrame, segments: DataFrame, keys: Sequence[str],
         "__bucket", F.explode(_buckets(F.col("__s0"), F.col("__s1"), bucket_ms)))
     evs = events.withColumn("__bucket", F.explode(_buckets(F.col("t0_ms"), F.col("t1_ms"), bucket_ms)))
     first_shared = F.floor(F.greatest(F.col("t0_ms"), F.col("__s0")) / bucket_ms)
-    pairs = evs.join(closed, [*keys, "__bucket"]).filter(
+    pairs = evs.join(closed.hint("merge"), [*keys, "__bucket"]).filter(
         (F.col("t1_ms") > F.col("__s0")) & (F.col("t0_ms") < F.col("__s1"))
         & (F.col("__bucket") == first_shared)).drop("__bucket")
     # a segment without an end takes all later events of its job

@@ -142,6 +142,13 @@ def test_overlap_is_an_equi_join(spark, plan_of):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_rows_of_buckets_are_not_broadcast(spark, plan_of):
+    """A segment has a row for every bucket it touches, whatever size its table has."""
+    _, _, out = clip(spark, [(0, 1)], [(0, 10**9)], bucket_ms=1000)
+    joins = [line for line in plan_of(out).splitlines() if "Join" in line and "__bucket" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_tiling(spark):
     sg = spark.createDataFrame([(1, 0, 0.0, 10.0), (1, 1, 10.0, 20.0), (2, 0, 1.0, 5.0), (2, 1, 6.0, 9.0)], SEGS)
     totals = spark.createDataFrame([(1, 20.0), (2, 10.0)], "job int, total_ms double")
