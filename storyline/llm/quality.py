@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import cut_lineage, scratch_path
 from .language_model import discounts
+from .repeats import passing
+from .rows import IdFilter
 from .store import local_path
 from .words import bytes_of, ranges, slices
 
-# Trusted rows that the model is fitted on at most (those whose id hashes lowest).
-MAX_TRUSTED = 12_000
 QUANTILES = (0.005, 0.995)
 _LEAST_DOCS = 100  # of a language, for quantiles of its own
 _SHARD_ROWS = 1 << 20
@@ -195,14 +195,14 @@ def with_perplexity(docs: DataFrame, model: QualityModel, text: str = "text", ou
 
 
 def learn_quality(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-                  order: int = 4, max_trusted: int = MAX_TRUSTED,
-                  quantiles: tuple[float, float] = QUANTILES) -> QualityModel:
-    """Fit on the rows of ``docs`` that ``trusted`` names (column ``key``): half to count, half for the quantiles."""
-    chosen = (trusted.select(key).filter(F.col(key).isNotNull()).distinct()
-              .orderBy(F.xxhash64(key), key).limit(max_trusted))
-    rows = cut_lineage(docs.select(F.col(key).alias("__key"), F.coalesce(text, F.lit("")).alias("__text"),
-                                   F.col(lang).cast("string").alias("__lang"))
-                       .join(F.broadcast(chosen.select(F.col(key).alias("__key"))), "__key"))
+                  order: int = 4, quantiles: tuple[float, float] = QUANTILES) -> QualityModel:
+    """Fit on all rows of ``docs`` that ``trusted`` names (column ``key``): half to count, half for the quantiles."""
+    chosen = (trusted.select(F.col(key).cast(docs.schema[key].dataType).alias("__key"))
+              .filter("__key is not null").distinct())
+    named = docs.select(F.col(key).alias("__key"), F.coalesce(text, F.lit("")).alias("__text"),
+                        F.col(lang).cast("string").alias("__lang"), IdFilter.slot(key).alias("__slot"))
+    # the filter leaves few texts to move; the keys, of any number, are not sent to every task
+    rows = cut_lineage(passing(named, IdFilter(chosen, "__key"), True).drop("__slot").join(chosen.hint("merge"), "__key"))
     # copies of a text are in the same half
     half = F.pmod(F.xxhash64("__text"), F.lit(2))
     counts = _counts_by_order(rows.filter(half == 0).select("__text"), order)

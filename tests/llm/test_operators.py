@@ -387,6 +387,15 @@ def test_quality(spark, empty):
     assert all(r["__keep"] for r in quality.classified(docs, blank).collect())
 
 
+def test_quality_counts_all_trusted_rows(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(13_000)]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string").cache()
+    model = quality.learn_quality(docs, docs.select(F.col("doc_id").cast("int")))
+    counted = [r.text for r in docs.filter(F.pmod(F.xxhash64("text"), F.lit(2)) == 0).select("text").collect()]
+    assert spark.read.parquet(f"{model.tables}/p-4").count() == len({t[i:i + 4] for t in counted for i in range(3)})
+
+
 def test_trie_finds_what_edit_distance_finds():
     rng = random.Random(4)
     terms = {b"moron": False, b"stupid": False, b"achlich": True}
