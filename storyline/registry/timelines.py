@@ -9,7 +9,7 @@ from ..operators import (assign_round_robin, boundary_snap, card_events, clean_s
 from ..operators.running import running_before
 from ..operators.scenes import MULTIPLIERS
 from ..session import cut_lineage, scratch_path
-from ..sources import read_texts, write_caption_packs, write_captions, write_timeline
+from ..sources import read_text_folders, read_texts, write_caption_packs, write_captions, write_timeline
 from .base import query, table
 from .texts import conv_units
 from . import sql as S
@@ -170,7 +170,7 @@ _CAPTIONS_SQL = rf"""{_CLIPPED},
 def _write_captions(spark, d):
     path = scratch_path(spark, "captions")
     n = write_captions(_clipped(spark, d)[2], path, keys=JOB)
-    return spark.read.text(path).select(
+    return read_text_folders(spark, path).select(
         F.col("conv_id").cast("bigint").alias("conv_id"), F.col("seg_idx").cast("bigint").alias("seg_idx"), "value").groupBy(
         "conv_id", "seg_idx", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("reported", F.lit(n).cast("bigint"))
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions.scalars import escape_caption, stamp_cs
+from .folders import write_text_folders
 from .packs import PACK_FILES, write_text_packs
 
 # A caption file starts with this; ``title`` is filled in.
@@ -50,13 +51,12 @@ def write_captions(df: DataFrame, path: str, header: str = CAPTION_HEADER, title
     ``df`` holds events already clipped to their segment.  With ``segments(keys,
     idx)`` a segment without events gets a file too, and ``df`` is read once.  All lines of a file
     meet in one task by (job, segment), so a long job spreads over its segments.
-    Every segment is a folder; :func:`write_caption_packs` is for very many of them.
+    Every segment is a folder that its task writes; :func:`.folders.read_text_folders` reads
+    them without listing them.  :func:`write_caption_packs` is for very many of them.
     """
     group = [*keys, seg_col]
     both, seen = _caption_lines(df, group, header, title, effect, segments)
-    both = both.repartition(partitions, *group) if partitions else both.repartition(*group)
-    (both.sortWithinPartitions(*group, "__o", "__id").select(*group, "value")
-     .write.mode("overwrite").partitionBy(*group).text(path))
+    write_text_folders(both, path, group, ["__o", "__id"], partitions)
     return int(seen.get["n"])
 
 

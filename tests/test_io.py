@@ -12,7 +12,7 @@ from storyline.operators import cache
 from storyline.operators import PermanentError, cached_enrich, overlap_clip, progress_stats, split_stories, split_stories_blocks
 from storyline.plans import build_plan, build_timeline, segment_captions, verify
 from storyline.sources import (read_assets, read_blocklist, read_catalog, read_job_state, read_log, read_script_lines, read_scripts,
-                               read_text_index, read_texts, write_captions, write_timeline)
+                               read_text_folders, read_text_index, read_texts, write_captions, write_timeline)
 from storyline.sources.readers import numbered_lines
 from storyline.sources.packs import listed, write_text_packs
 from storyline.streaming import (checkpoint_merge, read_latest, read_progress, stream_first_seen, stream_progress,
@@ -464,3 +464,24 @@ def test_upsert_keeps_what_another_stream_wrote(spark, tmp_path):
         return {(r.k, r.v) for r in read_latest(spark, f"{tmp_path}/u", "k").collect()}
     assert run("a", [("a", 1), ("b", 1)]) == {("a", 1), ("b", 1)}
     assert run("b", [("b", 2), ("c", 1)]) == {("a", 1), ("b", 2), ("c", 1)}
+
+
+def test_captions_in_folders_are_read_by_their_index(spark, tmp_path):
+    """The same folders as Spark's writer makes, without moving or listing any of them in the driver."""
+    rows = [(job, seg, i, float(i), i + 0.5, f"line {i}") for job in ("a", "b=c/d: 100%", None) for seg in range(4) for i in range(3 + seg)]
+    df = spark.createDataFrame(rows, "job_id string, seg_idx int, id long, t0_ms double, t1_ms double, text string")
+    for out in (df, df.filter("seg_idx < 2")):       # a second run replaces the first
+        n = out.count()
+        assert write_captions(out, f"{tmp_path}/ass", header="H {title}", title="T") == n
+        lines = read_text_folders(spark, f"{tmp_path}/ass").collect()
+        want = [(r.job_id, r.seg_idx, r.text) for r in out.collect()]
+        assert sorted((str(r.job_id), r.seg_idx, r.value.rsplit(",", 1)[1]) for r in lines if r.value != "H T") == sorted(
+            (str(j), s, t) for j, s, t in want)
+        assert sum(r.value == "H T" for r in lines) == len({w[:2] for w in want})
+        listed = spark.read.text(f"{tmp_path}/ass").collect()
+        assert sorted((str(r.job_id), r.seg_idx, r.value) for r in listed) == sorted((str(r.job_id), r.seg_idx, r.value) for r in lines)
+    write_captions(df.limit(0), f"{tmp_path}/none")
+    assert read_text_folders(spark, f"{tmp_path}/none").collect() == []
+    os.remove(f"{tmp_path}/ass/_SUCCESS")
+    with pytest.raises(FileNotFoundError):
+        read_text_folders(spark, f"{tmp_path}/ass")
