@@ -18,6 +18,7 @@ MIN_SCRIPT_CHARS = 40
 # Fixed value: what a story delimiter line looks like.
 _DELIMITER = rf"(?isu)\A[{WS}]*(?:STORY[{WS}]*[:#]|={{3,}}|-{{3,}}|\*{{3,}})[{WS}]*(.*)\z"
 _BLANK = rf"\A[{WS}]*\z"
+_STORIES = 4096     # stories of a file that are numbered together
 # A Unicode non-character: it cannot occur in interchanged text.
 _MARK = "\ufdd0"
 
@@ -106,7 +107,8 @@ def split_stories_blocks(lines: DataFrame, keys: list[str], block: str = "block"
     within blocks, then over blocks.  Only a story's own lines meet in one task.
     """
     order, place = list(order), [*keys, block]
-    work = lines.select(*place, *order, F.col(line_col).alias("__line"), _letter(F.col(line_col)).alias("__kind"))
+    # dealt once, so that the branches that need letters only read one shuffle
+    work = lines.select(*place, *order, F.col(line_col).alias("__line"), _letter(F.col(line_col)).alias("__kind")).repartition(*place)
     sets = F.when(F.col("__kind") == "t", 1).when(F.col("__kind") == "T", 0)
     turn = (F.col("__kind") == "d").cast("int")
     inside = Window.partitionBy(*place).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -135,10 +137,14 @@ def split_stories_blocks(lines: DataFrame, keys: list[str], block: str = "block"
         F.array_sort(F.collect_list(F.struct(block, *order, text.alias("text")))).alias("__lines"), F.max("__parts").alias("__headed"))
     # text before the first delimiter has no title line of its own
     whole = F.concat(F.when(F.col("__headed") == 1, "").otherwise("\n"), F.array_join("__lines.text", "\n"))
-    found = _once(stories, [*keys, "__story"], _story(whole), "__s").filter(
-        "__s.title IS NOT NULL OR size(__s.paragraphs) > 0")
-    placed = running_before(found, keys, [[F.col("__story")]], {"__idx": (F.lit(1), "bigint")})
-    return placed.select(*keys, F.col("__idx").cast("int").alias("story_idx"), "__s.title", "__s.paragraphs")
+    found = _once(stories, [*keys, "__story"], _story(whole), "__s")
+    # a story counts if it has a title or a text line, which the letters tell: its text is not moved for its number
+    counts = ((F.col("__kind") == "T") | ((F.col("__parts") == 0) & (F.col("__kind") != "b"))).cast("int")
+    sizes = numbered.groupBy(*keys, (F.col("__story") + F.col("__parts")).alias("__story")).agg(F.max(counts).alias("__found"))
+    placed = running_before(sizes.filter("__found = 1").select(*keys, "__story"), keys,
+                            [[F.floor(F.col("__story") / _STORIES)], [F.col("__story")]], {"__idx": (F.lit(1), "bigint")})
+    return found.join(placed, [*keys, "__story"]).select(
+        *keys, F.col("__idx").cast("int").alias("story_idx"), "__s.title", "__s.paragraphs")
 
 
 def join_scripts(stories: DataFrame, keys: list[str], files: list[str], story_col: str = "story_idx") -> DataFrame:

@@ -485,3 +485,13 @@ def test_captions_in_folders_are_read_by_their_index(spark, tmp_path):
     os.remove(f"{tmp_path}/ass/_SUCCESS")
     with pytest.raises(FileNotFoundError):
         read_text_folders(spark, f"{tmp_path}/ass")
+
+
+def test_stories_of_blocks_are_not_moved_for_their_numbers(spark, plan_of):
+    lines = spark.createDataFrame([("f", b, i, t) for b in range(3) for i, t in enumerate(["STORY: one", "", "text", "---", "more"])],
+                                  "file string, block long, at long, line string")
+    stories = split_stories_blocks(lines, ["file"])
+    plan = plan_of(stories)
+    assert "Window" not in plan[:plan.index("Generate explode")]
+    assert [(r.story_idx, r.title, r.paragraphs) for r in stories.orderBy("story_idx").collect()] == [
+        (i, None if i % 2 else "one", ["more"] if i % 2 else ["text"]) for i in range(6)]
