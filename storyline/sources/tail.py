@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow.fs as fs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-TAIL_BYTES = 512 * 1024     # fixed value: most log bytes per poll
+TAIL_BYTES = 512 * 1024     # fixed value: most bytes of a log per poll
 _LOOK_BACK = 64 * 1024
 
 
@@ -49,7 +49,6 @@ class TailReader(DataSourceStreamReader):
     def __init__(self, path: str, positions: str, max_bytes: int):
         self.path, self.positions, self.max_bytes = path, positions, max_bytes
         self.known: dict[str, dict] | None = None
-        self.turn = 0
 
     # ---- files ----
 
@@ -111,18 +110,14 @@ class TailReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         if self.known is None:
             self.known = self._resume()
-        known, room = {path: dict(entry) for path, entry in self.known.items()}, self.max_bytes
-        sizes = sorted(self._sizes().items())
+        known = {path: dict(entry) for path, entry in self.known.items()}
         system, _ = self._system(self.path)
-        self.turn += 1
-        for path, size in sizes[self.turn % len(sizes):] + sizes[:self.turn % len(sizes)] if sizes else []:
+        for path, size in sorted(self._sizes().items()):
             entry = known.setdefault(path, {"life": 0, "at": 0})
             if size < entry["at"]:
                 entry["life"], entry["at"] = entry["life"] + 1, 0
-            if room > 0 and size > entry["at"]:
-                end = self._line_end(system, path, entry["at"], size, room)
-                room -= end - entry["at"]
-                entry["at"] = end
+            if size > entry["at"]:      # every file goes on by a portion of its own, which is a task
+                entry["at"] = self._line_end(system, path, entry["at"], size, self.max_bytes)
         if known != self.known:
             self._keep(known)
             self.known = known

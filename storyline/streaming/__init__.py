@@ -15,7 +15,7 @@ from .first_seen import ROCKSDB, FirstSeen, interval_ms
 
 
 def stream_tail(spark: SparkSession, path: str, positions: str, max_bytes: int = TAIL_BYTES) -> DataFrame:
-    """Lines added to log files, parsed; at most ``max_bytes`` per trigger.
+    """Lines added to log files, parsed; at most ``max_bytes`` of each file per trigger.
 
     ``path`` is a file, a folder or a pattern of file names; files may be added and
     may grow, and each line arrives once.  A file found shorter than it was read is

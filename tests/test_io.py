@@ -308,6 +308,15 @@ def test_stream_tail_is_bounded(spark, tmp_path):
     assert got == sorted(lines) and max(sizes) <= 2000 // 10 and len(sizes) >= 5
 
 
+def test_stream_tail_takes_a_portion_of_every_file(spark, tmp_path):
+    lines = {name: [f"{name} {i:04d} " + "x" * 20 for i in range(150)] for name in "abc"}
+    for name, own in lines.items():
+        put(f"{tmp_path}/logs/{name}.log", "".join(f"{line}\n" for line in own))
+    got, sizes = tailed(spark, tmp_path, max_bytes=2000)
+    assert got == sorted(sum(lines.values(), [])) and max(sizes) <= 3 * 2000 // 28
+    assert len(sizes) <= 3       # not as many batches as all files together have portions
+
+
 def test_stream_first_seen_is_the_least_across_batches(spark, tmp_path):
     rows = [(0, "a", 50, "late"), (0, "b", 10, "b-first"), (0, "a", 40, "a-40"), (0, None, 5, "null key"),
             (1, "a", 20, "a-first"), (1, "b", 30, "b-later"), (1, "c", 25, None), (1, "d", None, "no time"),
