@@ -13,6 +13,7 @@ from ..operators import (assign_round_robin, boundary_snap, budget_prefix, cache
                          job_problems, job_report, job_summary, job_totals, join_scripts, not_built, overlap_clip, plan_scenes, plan_segments,
                          pool_coverage, segment_problems, split_stories,
                          timeline_chunks, units)
+from ..session import cut_lineage
 from ..sources import read_scripts, write_timeline
 
 
@@ -34,10 +35,11 @@ def read_jobs(spark: SparkSession, jobs: Mapping[str, Sequence[str]]) -> DataFra
 def job_stories(scripts: DataFrame) -> DataFrame:
     """Stories of (job_id, ord, path, text), numbered through all scripts of a job.
 
-    A script without any story is an error; its name is looked up at once.
+    A script without any story is an error; its name is looked up at once.  Stories
+    are written once, as the look-up, the counts and the result all read them.
     """
     names = ["job_id", "ord", "path"]
-    stories = split_stories(scripts, names)
+    stories = cut_lineage(split_stories(scripts, names))
     bare = scripts.select(*names).join(stories.select(*names).distinct(), names, "left_anti").limit(5).collect()
     if bare:
         raise ValueError("no stories found in " + ", ".join(r["path"] for r in bare))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from storyline.operators import cache
 from storyline.operators import PermanentError, cached_enrich, overlap_clip, progress_stats, split_stories, split_stories_blocks
-from storyline.plans import build_plan, build_timeline, segment_captions, verify
+from storyline.plans import build_plan, build_timeline, job_stories, segment_captions, verify
 from storyline.sources import (read_assets, read_blocklist, read_catalog, read_job_state, read_log, read_script_lines, read_scripts,
                                read_text_folders, read_text_index, read_texts, write_captions, write_timeline)
 from storyline.sources.readers import numbered_lines
@@ -504,3 +504,11 @@ def test_stories_of_blocks_are_not_moved_for_their_numbers(spark, plan_of):
     assert "Window" not in plan[:plan.index("Generate explode")]
     assert [(r.story_idx, r.title, r.paragraphs) for r in stories.orderBy("story_idx").collect()] == [
         (i, None if i % 2 else "one", ["more"] if i % 2 else ["text"]) for i in range(6)]
+
+
+def test_scripts_of_a_job_are_split_once(spark, plan_of):
+    scripts = spark.createDataFrame([("j", i, f"s{i}", "STORY: a\nText.\nSTORY: b\nMore.") for i in range(2)],
+                                    "job_id string, ord int, path string, text string")
+    stories = job_stories(scripts)
+    assert "Generate" not in plan_of(stories)
+    assert [(r.story_idx, r.title) for r in stories.orderBy("story_idx").collect()] == [(0, "a"), (1, "b"), (2, "a"), (3, "b")]
