@@ -19,8 +19,9 @@ pairs per text.
 
 *Verification.*  A pair is checked by bitmap signatures first: a bit set in one
 signature and not in the other is a shingle without partner, so bit counts bound
-the overlap from above.  What is left is counted exactly by intersecting the two
-sorted arrays.
+the overlap from above.  Members of groups that are still in several classes bring
+their signatures along, so of their pairs only these leave the group.  What is left
+is counted exactly by intersecting the two sorted arrays.
 
 Null and empty texts have no set and no link.  Fewer words than a shingle are one
 shingle.  Rows may repeat; each gives its own row.
@@ -44,10 +45,11 @@ _HOT = 1 << 20  # shingles in the list of hot ones at most: 8 MB
 _SMALL = 4  # texts of a group of which all pairs are candidates
 _HEADS = 16  # members of a tile's largest class that others are held against before all are
 _GROUP_ROWS = 1 << 16
+_SIGNED_ROWS = 1 << 13  # of rows with signatures
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of every text, and where each text's begin."""
+def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of every text, where each text's begin, and each text's number of words."""
     words = split_words(data, offsets, lower=True)
     hashes = words.hashes()
     count = np.diff(words.first)
@@ -66,7 +68,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     keep = np.ones(len(values), bool)
     keep[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
     values, text = values[keep], text[keep]
-    return values, np.searchsorted(text, np.arange(words.texts + 1))
+    return values, np.searchsorted(text, np.arange(words.texts + 1)), count
 
 
 def _nodes(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -85,28 +87,63 @@ def _least_overlap(a, b, percent: int):
     return -(-(a + b) * percent // (100 + percent))
 
 
-def _hot_shingles(docs: DataFrame, text: str, n: int) -> np.ndarray:
+class _Frequent:
+    """Shingles that take more than 1/2**19 of what a task has seen, the most frequent first to be named."""
+
+    def __init__(self):
+        self.kept, self.counts, self.seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+
+    def add(self, values: np.ndarray) -> None:
+        self.seen += len(values)
+        values, times = np.unique(values, return_counts=True)
+        # a batch forgets what occurs once or is under 1/2**20 of it
+        often = times > max(1, len(values) >> (_HOT_SHARE + 1))
+        kept, where = np.unique(np.concatenate([self.kept, values[often]]), return_inverse=True)
+        self.counts = np.bincount(where, np.concatenate([self.counts, times[often]]), len(kept)).astype(np.int64)
+        self.kept = kept
+
+    def batch(self) -> pa.RecordBatch:
+        stays = self.counts > max(4, self.seen >> _HOT_SHARE)
+        return _described(shingle=pa.array(self.kept[stays].view(np.int64)), times=pa.array(self.counts[stays]))
+
+
+_DESCRIBED = ("__rid long, __key long, node long, n_shingles long, n_words long, signature binary, "
+              "shingle long, times long")
+
+
+def _described(**columns: pa.Array) -> pa.RecordBatch:
+    """A batch of ``_DESCRIBED``; columns not given are null."""
+    kinds = [c.split() for c in _DESCRIBED.split(", ")]
+    rows = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays(
+        [columns[c] if c in columns else pa.nulls(rows, pa.binary() if kind == "binary" else pa.int64())
+         for c, kind in kinds], names=[c for c, _ in kinds])
+
+
+def _describe(work: DataFrame, n: int) -> DataFrame:
+    """Every row's set, and after each task's rows the shingles that are frequent in them (rows with ``shingle``)."""
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = _Frequent()
+        for batch in slices(batches, "__text"):
+            values, first, n_words = shingles(*bytes_of(batch.column("__text")), n)
+            frequent.add(values)
+            yield _described(
+                __rid=batch.column("__rid"), __key=batch.column("__key"), node=pa.array(_nodes(values, first)),
+                n_shingles=pa.array(np.diff(first)), n_words=pa.array(n_words),
+                signature=pa.array([_signature(values[a:b]) for a, b in zip(first[:-1], first[1:])], pa.binary()))
+        yield frequent.batch()
+
+    return work.mapInArrow(describe, _DESCRIBED)
+
+
+def _hot_shingles(described: DataFrame) -> np.ndarray:
     """Shingles of very many texts: whatever takes more than 1/2**19 of a task's.
 
     A shingle that is over that share of all is over it in some task, so it is
     found, but for what batches forget.  The list is bounded (the most frequent first); which shingles are on it
     changes the work but never the links.
     """
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, counts, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        for batch in slices(batches, text):
-            values, _ = shingles(*bytes_of(batch.column(text)), n)
-            seen += len(values)
-            values, times = np.unique(values, return_counts=True)
-            # a batch forgets what occurs once or is under 1/2**20 of it
-            often = times > max(1, len(values) >> (_HOT_SHARE + 1))
-            kept, where = np.unique(np.concatenate([kept, values[often]]), return_inverse=True)
-            counts = np.bincount(where, np.concatenate([counts, times[often]]), len(kept)).astype(np.int64)
-        stays = counts > max(4, seen >> _HOT_SHARE)
-        yield pa.RecordBatch.from_arrays([pa.array(kept[stays].view(np.int64)), pa.array(counts[stays])],
-                                         names=["shingle", "n"])
-
-    hot = (docs.select(text).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    hot = (described.filter("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("n"))
            .orderBy(F.desc("n"), "shingle").limit(_HOT).select("shingle").toArrow())
     return np.sort(hot.column(0).to_numpy().view(np.uint64)) if hot.num_rows else np.zeros(0, np.uint64)
 
@@ -122,7 +159,7 @@ def _tokens(docs: DataFrame, text: str, n: int, percent: int, hot: np.ndarray) -
     """(shingle, node, place): the first shingles of every set; place is size << 32 | position."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            values, first = shingles(*bytes_of(batch.column(text)), n)
+            values, first, _ = shingles(*bytes_of(batch.column(text)), n)
             nodes, size = _nodes(values, first), np.diff(first)
             _, one = np.unique(nodes, return_index=True)  # copies in one batch travel once
             chosen = np.zeros(len(nodes), bool)
@@ -140,14 +177,14 @@ def _tokens(docs: DataFrame, text: str, n: int, percent: int, hot: np.ndarray) -
     return docs.select(text).mapInArrow(emit, "shingle long, node long, place long")
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
     """Rows sorted by key, in tables that never end inside a group."""
     kept: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
         kept.append(batch)
         rows += len(batch)
-        if rows < _GROUP_ROWS:
+        if rows < least:
             continue
         table = pa.Table.from_batches(kept)
         keys = table.column(key).to_numpy()
@@ -169,7 +206,7 @@ def _may_link(size, at, i, j, percent):
     return (small * 100 >= large * percent) & (left >= _least_overlap(small, large, percent))
 
 
-def _across(start, count, size, root, node, percent, heads):
+def _across(start, count, size, at, root, node, percent, heads):
     """Pairs of members of a group, of neighbouring sizes and different classes.
 
     Members of the group's largest class are not paired with each other, so the
@@ -187,9 +224,9 @@ def _across(start, count, size, root, node, percent, heads):
         if heads:
             tile = np.floor(np.log(sizes) / band).astype(np.int64)
             inside = np.flatnonzero(roots == largest)
-            inside = inside[np.lexsort((mix(node[s + inside].view(np.uint64)), tile[inside]))]
+            inside = inside[np.lexsort((mix(node[s + inside].view(np.uint64)), at[s + inside], tile[inside]))]
             first = np.searchsorted(tile[inside], tile[inside])
-            chosen = inside[np.arange(len(inside)) - first < heads]  # by tile, the least hashes of each
+            chosen = inside[np.arange(len(inside)) - first < heads]  # by tile, those with least of their own before
             low = np.searchsorted(tile[chosen], tile[others] - 1)
             high = np.searchsorted(tile[chosen], tile[others] + 1, "right")
         else:
@@ -213,7 +250,7 @@ def _pairs_of(percent: int, classes: bool = False, heads: int = 0):
     band = math.log(100 / percent) / 2
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, "shingle"):
+        for table in _whole_groups(batches, "shingle", _SIGNED_ROWS if classes else _GROUP_ROWS):
             key = table.column("shingle").to_numpy()
             node, place = table.column("node").to_numpy(), table.column("place").to_numpy()
             size = place >> 32
@@ -237,7 +274,7 @@ def _pairs_of(percent: int, classes: bool = False, heads: int = 0):
             members = np.zeros(0, np.int64)
             if classes:
                 root = root[fresh]
-                for i, j in _across(start, count, size, root, node, percent, heads):
+                for i, j in _across(start, count, size, at, root, node, percent, heads):
                     keep(i, j)
             else:
                 for step in range(1, _SMALL):
@@ -247,12 +284,13 @@ def _pairs_of(percent: int, classes: bool = False, heads: int = 0):
                     keep(i, i + step)
                 members = np.flatnonzero(count[of] > _SMALL)
                 if len(members):
-                    # the head is the least by hash, so shingles of the same copies agree on it
+                    # the head shows the shared shingle earliest: it has the fewest of its own, so it is in the
+                    # middle of near copies; ties go by hash, so shingles of the same copies agree on it
                     tile = np.floor(np.log(size[members]) / band).astype(np.int64)
                     mark = of[members] * 1_000_003 + tile
-                    by_hash = np.lexsort((mix(node[members].view(np.uint64)), mark))
-                    tiles, head = np.unique(mark[by_hash], return_index=True)
-                    head = by_hash[head]
+                    by_place = np.lexsort((mix(node[members].view(np.uint64)), at[members], mark))
+                    tiles, head = np.unique(mark[by_place], return_index=True)
+                    head = by_place[head]
                     keep(members, members[head[np.searchsorted(tiles, mark)]])
                     before = np.minimum(np.searchsorted(tiles, mark - 1), len(tiles) - 1)
                     has = tiles[before] == mark - 1
@@ -260,6 +298,8 @@ def _pairs_of(percent: int, classes: bool = False, heads: int = 0):
             both = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)], 1), axis=0) \
                 if found_a else np.zeros((0, 2), np.int64)
             both = both[both[:, 0] != both[:, 1]]
+            if classes:
+                both = both[_bounds(table, both, percent)]
             blank = np.zeros(len(both), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([blank, key[members]])), pa.array(np.concatenate([both[:, 0], node[members]])),
@@ -286,11 +326,6 @@ def _signature(values: np.ndarray) -> bytes | None:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _folded(signature: np.ndarray, width: int) -> np.ndarray:
-    """The same set's signature in fewer bits."""
-    return np.bitwise_or.reduce(signature.reshape(-1, width // 8), axis=0)
-
-
 def _sets(work: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """(node, hashes) of the sets in ``pairs``, from one text for each.
 
@@ -302,7 +337,7 @@ def _sets(work: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) -> DataFr
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = (b.filter(pa.array(wanted.may_hold(b.column("slot").to_numpy()))) for b in batches)
         for batch in slices(chosen, "__text"):
-            values, first = shingles(*bytes_of(batch.column("__text")), n)
+            values, first, _ = shingles(*bytes_of(batch.column("__text")), n)
             node = _nodes(values, first)
             _, one = np.unique(node, return_index=True)
             one = np.sort(one)
@@ -315,19 +350,48 @@ def _sets(work: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) -> DataFr
     return work.select("__text", IdFilter.slot("__rid").alias("slot")).mapInArrow(emit, "node long, hashes binary")
 
 
+def _overlaps(table: pa.Table, names: tuple[str, str], i: np.ndarray, j: np.ndarray, sizes) -> np.ndarray:
+    """The most that the sets of rows i and j can share, by their signatures in the columns ``names``."""
+    columns = [table.column(c).combine_chunks() for c in names]
+    bits = [8 * np.diff(bytes_of(c)[1]) for c in columns]
+    out = np.zeros(len(i), np.int64)
+    width = np.minimum(bits[0][i], bits[1][j])
+    for w in np.unique(width):
+        of = np.flatnonzero(width == w)
+        for a in range(0, len(of), max(1, (1 << 25) // int(w))):
+            part = of[a:a + max(1, (1 << 25) // int(w))]
+            x, y = (_signatures(c, b, at[part], int(w)) for c, b, at in zip(columns, bits, (i, j)))
+            out[part] = np.minimum(sizes[0][i[part]] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64),
+                                   sizes[1][j[part]] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+    return out
+
+
+def _signatures(column: pa.Array, bits: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
+    """The signatures of rows, folded to ``width`` bits: 64 to a number, one row each."""
+    out = np.zeros((len(rows), width // 64), np.uint64)
+    for own in np.unique(bits[rows]):
+        at = np.flatnonzero(bits[rows] == own)
+        data, _ = bytes_of(column.take(pa.array(rows[at])))
+        out[at] = np.bitwise_or.reduce(data.view(np.uint64).reshape(len(at), -1, width // 64), axis=1)
+    return out
+
+
+def _bounds(table: pa.Table, pairs: np.ndarray, percent: int) -> np.ndarray:
+    """May the pairs of nodes link, by the signatures in the table's rows?"""
+    nodes, row = np.unique(table.column("node").to_numpy(), return_index=True)
+    i, j = (row[np.searchsorted(nodes, pairs[:, k])] for k in (0, 1))
+    size = table.column("place").to_numpy() >> 32
+    return _overlaps(table, ("signature", "signature"), i, j, (size, size)) >= _least_overlap(size[i], size[j], percent)
+
+
 def _bounded(percent: int):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy()
-            need = _least_overlap(sizes[0], sizes[1], percent)
-            keep = np.zeros(len(batch), bool)
-            for i, (a, b) in enumerate(zip(batch.column("signature_a"), batch.column("signature_b"))):
-                x, y = np.frombuffer(a.as_buffer(), np.uint8), np.frombuffer(b.as_buffer(), np.uint8)
-                width = 8 * min(len(x), len(y))
-                x, y = _folded(x, width), _folded(y, width)
-                keep[i] = min(sizes[0][i] - np.bitwise_count(x & ~y).sum(dtype=np.int64),
-                              sizes[1][i] - np.bitwise_count(y & ~x).sum(dtype=np.int64)) >= need[i]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+            every = np.arange(len(batch))
+            keep = _overlaps(pa.Table.from_batches([batch]), ("signature_a", "signature_b"), every, every,
+                             sizes) >= _least_overlap(*sizes, percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
     return check
 
 
@@ -345,51 +409,46 @@ def _linked(percent: int):
     return check
 
 
-def _verified(steps: Steps, work: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, written; ``pairs`` is dropped."""
+def _signed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may reach the threshold by their signatures."""
     def side(name: str) -> DataFrame:
         return nodes.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"),
                             F.col("signature").alias(f"signature_{name}"))
 
-    bounded = steps.write(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(
-        _bounded(percent), "a long, b long"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(percent), "a long, b long")
+
+
+def _verified(steps: Steps, work: DataFrame, nodes: DataFrame, bounded: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold, written; ``bounded`` is dropped."""
     sets = steps.write(_sets(work, nodes, bounded, n))
     linked = steps.write(
         bounded.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b")
         .mapInArrow(_linked(percent), "a long, b long"))
-    steps.drop(pairs, bounded, sets)
+    steps.drop(bounded, sets)
     return linked
 
 
 def _classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """(__key, __rid, n_shingles, root) of every row; rows with one root are linked.  Without a set: no root."""
+    """(__key, __rid, n_shingles, n_words, root) of every row; rows with one root are linked.  Without a set: no root."""
     work = docs.select(F.xxhash64(F.col(key), F.coalesce(text, F.lit(""))).alias("__rid"),
                        F.col(key).cast("long").alias("__key"), F.coalesce(text, F.lit("")).alias("__text"))
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
-            values, first = shingles(*bytes_of(batch.column("__text")), n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("__rid"), batch.column("__key"), pa.array(_nodes(values, first)), pa.array(np.diff(first)),
-                 pa.array([_signature(values[a:b]) for a, b in zip(first[:-1], first[1:])], pa.binary())],
-                names=["__rid", "__key", "node", "n_shingles", "signature"])
-
     steps = Steps(docs.sparkSession)
-    described = steps.write(work.mapInArrow(
-        describe, "__rid long, __key long, node long, n_shingles long, signature binary"))
+    seen = steps.write(_describe(work, n))
+    hot = _hot_shingles(seen)
+    described = seen.filter("shingle is null").drop("shingle", "times")
     rows = described.drop("signature")
     # one row of each set stands for its copies; keys may be null, row hashes are not
     chosen = described.filter("n_shingles > 0").groupBy("node").agg(F.min("__rid").alias("__rid"))
     nodes = steps.write(described.join(chosen, ["node", "__rid"])
                         .select("node", "__rid", F.col("n_shingles").alias("size"), "signature")
                         .dropDuplicates(["node"]))
-    hot = _hot_shingles(work, "__text", n)
     width = shuffle_width(docs.sparkSession)
     found = steps.write(
         _tokens(work, "__text", n, percent, hot).repartition(width, "shingle").sortWithinPartitions("shingle")
         .mapInArrow(_pairs_of(percent), _PAIR))
-    pairs = steps.write(found.filter("pair").select("a", "b").distinct())
+    pairs = steps.write(_signed(found.filter("pair").select("a", "b").distinct(), nodes, percent))
     links = _verified(steps, work, nodes, pairs, n, percent)
     classes = components(links)
     members = found.filter("not pair").select("shingle", F.col("a").alias("node"), F.col("b").alias("place"))
@@ -400,6 +459,7 @@ def _classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
         split = known.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
         rest = steps.write(
             known.join(split.select("shingle"), "shingle", "left_semi")
+            .join(nodes.select("node", "signature"), "node")
             .repartition(width, "shingle").sortWithinPartitions("shingle")
             .mapInArrow(_pairs_of(percent, True, heads), _PAIR).select("a", "b").distinct())
         more = _verified(steps, work, nodes, rest, n, percent)
@@ -409,9 +469,9 @@ def _classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
         classes = components(links)
     steps.drop(found, nodes, links)
     named = rows.filter("n_shingles > 0").join(classes, "node", "left").select(
-        "__key", "__rid", "n_shingles", F.coalesce("root", "node").alias("root"))
+        "__key", "__rid", "n_shingles", "n_words", F.coalesce("root", "node").alias("root"))
     return named.union(rows.filter("n_shingles = 0").select(
-        "__key", "__rid", "n_shingles", F.lit(None).cast("long").alias("root")))
+        "__key", "__rid", "n_shingles", "n_words", F.lit(None).cast("long").alias("root")))
 
 
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,

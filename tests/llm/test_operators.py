@@ -182,6 +182,40 @@ def test_a_chain_of_near_copies_and_a_passage_of_many(spark):
     assert 100 * len(ends[0] & ends[1]) < 80 * len(ends[0] | ends[1])
 
 
+def test_pairs_to_check_grow_with_the_members_of_a_group(spark, monkeypatch):
+    rng = random.Random(31)
+    star, rows = [f"v{rng.randrange(10**6)}" for _ in range(150)], []
+    for i in range(400):    # linked with the middle or with none; most pairs of two have a similarity of 0.5 to 0.8
+        copy = list(star)
+        for at in rng.sample(range(len(copy)), rng.randint(0, 5)):
+            copy[at] = f"own{i}-{at}"
+        rows.append((i, " ".join(copy)))
+    checked, verified = [], jaccard._verified
+
+    def counted(steps, work, nodes, pairs, *rest):
+        checked.append(pairs.count())
+        return verified(steps, work, nodes, pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(docs).collect()), key=str)
+    assert got == classes_by_force(rows) and len({c for _, _, c in got}) > 20
+    assert sum(checked) <= 4 * len(rows)
+
+
+@pytest.mark.parametrize("sizes", [(1, 40), (15, 17), (300, 3000), (2049, 2049)])
+def test_signatures_bound_the_overlap_from_above(sizes):
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in rng.integers(sizes[0], sizes[1] + 1, 40)]
+    table = pa.table({"s": pa.array([jaccard._signature(x) for x in sets], pa.binary())})
+    size = np.array([len(x) for x in sets])
+    i, j = np.divmod(np.arange(40 * 40), 40)
+    most = jaccard._overlaps(table, ("s", "s"), i, j, (size, size))
+    true = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert (most >= true).all() and (most[i == j] == size).all()
+
+
 def test_one_of_each_stays(docs, corpus):
     kept = collections.Counter((r.doc_id, r.text) for r in jaccard.keep_one_of_each(docs).collect())
     groups = collections.defaultdict(set)
