@@ -21,8 +21,9 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from .jaccard import _classes
 
 SHARD = 4096  # pieces of a shard, on average
@@ -67,12 +68,6 @@ def pack(pieces: list[tuple], capacity: int) -> list[tuple[int, int]]:
     return placed
 
 
-def token_count(text: str = "text") -> Column:
-    """Words and one end mark."""
-    text = F.coalesce(F.col(text), F.lit(""))
-    return (F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long")
-
-
 def best_fit(lengths: DataFrame, capacity: int, key: str = "doc_id", length: str = "n_tokens",
              source: str = "source", cluster: str = "cluster") -> DataFrame:
     """One row per piece: ``sequence_id``, ``position`` in it, ``key``, ``piece``, ``start`` in the text, ``length``."""
@@ -114,10 +109,11 @@ def best_fit(lengths: DataFrame, capacity: int, key: str = "doc_id", length: str
 def pack_documents(docs: DataFrame, capacity: int = 2048) -> DataFrame:
     """Documents (doc_id, text, source) packed by words; one source and one of linked near copies per sequence.
 
-    Texts without words are one cluster.
+    A text has its words and one end mark.  Texts without words are one cluster.
     """
+    # rows that agree in key and text are one name; texts are split into words once, for their shingles
     named = _classes(docs, "doc_id", "text", 5, 80).select(
-        "__rid", F.coalesce(F.col("root").cast("string"), F.lit("blank")).alias("cluster")).distinct()
-    lengths = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("__rid"),
-                          "doc_id", "source", token_count().alias("n_tokens"))
-    return best_fit(lengths.join(named, "__rid"), capacity)
+        "__rid", (F.col("n_words") + 1).alias("n_tokens"),
+        F.coalesce(F.col("root").cast("string"), F.lit("blank")).alias("cluster")).distinct()
+    rows = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("__rid"), "doc_id", "source")
+    return best_fit(cut_lineage(rows.join(named, "__rid").drop("__rid")), capacity)

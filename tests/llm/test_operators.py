@@ -574,6 +574,12 @@ def test_packed_documents_do_not_share_near_copies_or_names(spark):
     assert len({r.sequence_id for r in got if r.doc_id in range(4)}) == 4
 
 
+def test_packing_splits_texts_into_words_once(docs, corpus, plan_of):
+    got = packing.pack_documents(docs, 64)
+    assert "regexp" not in plan_of(got).lower()
+    assert sum(r.length for r in got.collect()) == sum(len(words(t)) + 1 for _, t in corpus)
+
+
 def test_best_fit(spark, empty):
     rng = random.Random(12)
     rows = [(i, rng.randint(0, 300), rng.choice(["hot", "hot", f"s{i % 7}", None]), rng.choice([None, i % 40])) for i in range(900)]
