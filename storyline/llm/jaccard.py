@@ -19,8 +19,8 @@ pairs per text.
 
 *Verification.*  A pair is checked by bitmap signatures first: a bit set in one
 signature and not in the other is a shingle without partner, so bit counts bound
-the overlap from above.  Members of groups that are still in several classes bring
-their signatures along, so of their pairs only these leave the group.  What is left
+the overlap from above.  Before all pairs between classes are looked at,
+members bring their signatures along, so of these pairs only such leave the group.  What is left
 is counted exactly by intersecting the two sorted arrays.
 
 Null and empty texts have no set and no link.  Fewer words than a shingle are one
@@ -250,7 +250,7 @@ def _pairs_of(percent: int, classes: bool = False, heads: int = 0):
     band = math.log(100 / percent) / 2
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, "shingle", _SIGNED_ROWS if classes else _GROUP_ROWS):
+        for table in _whole_groups(batches, "shingle", _SIGNED_ROWS if classes and not heads else _GROUP_ROWS):
             key = table.column("shingle").to_numpy()
             node, place = table.column("node").to_numpy(), table.column("place").to_numpy()
             size = place >> 32
@@ -298,7 +298,7 @@ def _pairs_of(percent: int, classes: bool = False, heads: int = 0):
             both = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)], 1), axis=0) \
                 if found_a else np.zeros((0, 2), np.int64)
             both = both[both[:, 0] != both[:, 1]]
-            if classes:
+            if "signature" in table.column_names:
                 both = both[_bounds(table, both, percent)]
             blank = np.zeros(len(both), np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -457,11 +457,12 @@ def _classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
             "shingle", "node", "place", F.coalesce("root", "node").alias("root"))
         # a shingle whose members are all in one class has nothing left to say
         split = known.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-        rest = steps.write(
-            known.join(split.select("shingle"), "shingle", "left_semi")
-            .join(nodes.select("node", "signature"), "node")
-            .repartition(width, "shingle").sortWithinPartitions("shingle")
-            .mapInArrow(_pairs_of(percent, True, heads), _PAIR).select("a", "b").distinct())
+        split = known.join(split.select("shingle"), "shingle", "left_semi")
+        if not heads:  # all pairs: the members bring their signatures; a few with heads are bounded afterwards
+            split = split.join(nodes.select("node", "signature"), "node")
+        rest = (split.repartition(width, "shingle").sortWithinPartitions("shingle")
+                .mapInArrow(_pairs_of(percent, True, heads), _PAIR).select("a", "b").distinct())
+        rest = steps.write(_signed(rest, nodes, percent) if heads else rest)
         more = _verified(steps, work, nodes, rest, n, percent)
         joined = steps.write(links.union(more))
         steps.drop(links, more)
