@@ -287,6 +287,12 @@ def test_repeated_words(docs, corpus, empty):
     assert remove_repeated_words(empty).collect() == []
 
 
+def test_texts_without_repeats_pass_one_worker(docs, plan_of):
+    # two for the texts that may be cut, as they are moved between; one for the others
+    for cut in (remove_repeated_words(docs), remove_repeated_bytes(docs)):
+        assert plan_of(cut).count("MapInArrow") == 3
+
+
 # ---- token ids -------------------------------------------------------------
 
 def test_pieces_give_the_ids_of_whole_texts():
