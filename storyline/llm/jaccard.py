@@ -5,9 +5,9 @@ same set are one node; its number is the first 64 bits of the set's digest.
 
 *Candidates.*  In one order of all shingles, two sets of similarity t or more
 share a shingle among the first (1 - t) n + 1 of each.  Only these travel, keyed
-by shingle.  The order puts shingles that very many texts share last (a bounded
-list found by counting every task's shingles), so a common passage rarely brings
-texts together.  A shingle's texts form tiles of neighbouring sizes; sizes and
+by shingle.  The order puts shingles that many texts share last, the most common
+at the end (a bounded list found by counting every task's shingles), so a common
+passage rarely brings texts together.  A shingle's texts form tiles of neighbouring sizes; sizes and
 positions bound the overlap of two texts from above.
 
 *Hot groups.*  In a small group all pairs are candidates.  In a larger one each
@@ -40,8 +40,10 @@ from .repeats import passing
 from .rows import IdFilter, Steps, components, shuffle_width
 from .words import bytes_of, join_hashes, mix, packed, ranges, slices, split_words, u64
 
-_HOT_SHARE = 19  # a task names the shingles that are over 1/2**19 of those it sees
 _HOT = 1 << 20  # shingles in the list of hot ones at most: 8 MB
+_COUNTED = 1 << 22  # shingles that a task counts at once
+_NAMED = 64  # a task names one of so many shingles that it sees at most, or a thousand
+_LEAST = 4  # texts that have a hot shingle, of those counted
 _SMALL = 4  # texts of a group of which all pairs are candidates
 _HEADS = 16  # members of a tile's largest class that others are held against before all are
 _GROUP_ROWS = 1 << 16
@@ -88,23 +90,31 @@ def _least_overlap(a, b, percent: int):
 
 
 class _Frequent:
-    """Shingles that take more than 1/2**19 of what a task has seen, the most frequent first to be named."""
+    """Shingles that texts of a task share; of equally frequent ones those first in order are named first."""
 
     def __init__(self):
         self.kept, self.counts, self.seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        self.waiting: list[np.ndarray] = []
+        self.rows = 0
 
     def add(self, values: np.ndarray) -> None:
+        self.waiting.append(values)
+        self.rows += len(values)
         self.seen += len(values)
-        values, times = np.unique(values, return_counts=True)
-        # a batch forgets what occurs once or is under 1/2**20 of it
-        often = times > max(1, len(values) >> (_HOT_SHARE + 1))
+        if self.rows >= _COUNTED:
+            self._count()
+
+    def _count(self) -> None:
+        values, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.waiting]), return_counts=True)
+        often = times > 1  # what occurs once in so many is forgotten
         kept, where = np.unique(np.concatenate([self.kept, values[often]]), return_inverse=True)
         self.counts = np.bincount(where, np.concatenate([self.counts, times[often]]), len(kept)).astype(np.int64)
-        self.kept = kept
+        self.kept, self.waiting, self.rows = kept, [], 0
 
     def batch(self) -> pa.RecordBatch:
-        stays = self.counts > max(4, self.seen >> _HOT_SHARE)
-        return _described(shingle=pa.array(self.kept[stays].view(np.int64)), times=pa.array(self.counts[stays]))
+        self._count()
+        most = np.lexsort((self.kept, -self.counts))[:max(1024, self.seen // _NAMED)]
+        return _described(shingle=pa.array(self.kept[most].view(np.int64)), times=pa.array(self.counts[most]))
 
 
 _DESCRIBED = ("__rid long, __key long, node long, n_shingles long, n_words long, signature binary, "
@@ -136,16 +146,28 @@ def _describe(work: DataFrame, n: int) -> DataFrame:
     return work.mapInArrow(describe, _DESCRIBED)
 
 
-def _hot_shingles(described: DataFrame) -> np.ndarray:
-    """Shingles of very many texts: whatever takes more than 1/2**19 of a task's.
+def _hot_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts share, sorted, and of each how many digits the number of texts counted has in base 2.
 
-    A shingle that is over that share of all is over it in some task, so it is
-    found, but for what batches forget.  The list is bounded (the most frequent first); which shingles are on it
-    changes the work but never the links.
+    A task forgets what it sees once among ``_COUNTED``, so a shingle that many texts share is found in some task,
+    however the texts are dealt.  The list is bounded (the most frequent first); which shingles are on it changes the
+    work but never the links.
     """
     hot = (described.filter("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("n"))
-           .orderBy(F.desc("n"), "shingle").limit(_HOT).select("shingle").toArrow())
-    return np.sort(hot.column(0).to_numpy().view(np.uint64)) if hot.num_rows else np.zeros(0, np.uint64)
+           .filter(F.col("n") >= _LEAST).orderBy(F.desc("n"), "shingle").limit(_HOT)
+           .select("shingle", F.length(F.bin("n")).alias("digits")).toArrow())
+    values = hot.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(values)
+    return values[order], hot.column("digits").to_numpy()[order].astype(np.uint8)
+
+
+def _digits(hot: tuple[np.ndarray, np.ndarray], values: np.ndarray) -> np.ndarray:
+    """How common the shingles are: 0 for those that are not hot."""
+    table, digits = hot
+    if not len(table):
+        return np.zeros(len(values), np.uint8)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return np.where(table[at] == values, digits[at], np.uint8(0))
 
 
 def _contains(table: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -155,7 +177,7 @@ def _contains(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def _tokens(docs: DataFrame, text: str, n: int, percent: int, hot: np.ndarray) -> DataFrame:
+def _tokens(docs: DataFrame, text: str, n: int, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(shingle, node, place): the first shingles of every set; place is size << 32 | position."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -166,7 +188,7 @@ def _tokens(docs: DataFrame, text: str, n: int, percent: int, hot: np.ndarray) -
             chosen[one] = True
             chosen &= size > 0
             owner = np.repeat(np.arange(len(nodes)), size)
-            values = values[np.argsort(owner * 2 + _contains(hot, values), kind="stable")]
+            values = values[np.argsort(owner * 64 + _digits(hot, values), kind="stable")]
             count = np.where(chosen, _prefix(size, percent), 0)
             at = ranges(first[:-1], count)
             who = np.repeat(np.arange(len(nodes)), count)

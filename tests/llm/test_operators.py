@@ -182,6 +182,17 @@ def test_a_chain_of_near_copies_and_a_passage_of_many(spark):
     assert 100 * len(ends[0] & ends[1]) < 80 * len(ends[0] | ends[1])
 
 
+def test_a_shared_passage_comes_last_however_texts_are_dealt(spark):
+    rng = random.Random(41)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(60)]
+    rows = [(i, " ".join([*(f"v{rng.randrange(10**9)}" for _ in range(200)), *passage])) for i in range(60)]
+    work = spark.createDataFrame(rows, "__rid long, __text string").repartition(20).selectExpr(
+        "__rid", "__rid as __key", "__text")
+    hot = jaccard._hot_shingles(jaccard._describe(work, 5))
+    tokens = jaccard._tokens(work, "__text", 5, 80, hot)
+    assert tokens.groupBy("shingle").count().agg({"count": "max"}).first()[0] == 1
+
+
 def test_pairs_to_check_grow_with_the_members_of_a_group(spark, monkeypatch):
     rng = random.Random(31)
     star, rows = [f"v{rng.randrange(10**6)}" for _ in range(150)], []
