@@ -18,7 +18,9 @@ MIN_SCRIPT_CHARS = 40
 # Fixed value: what a story delimiter line looks like.
 _DELIMITER = rf"(?isu)\A[{WS}]*(?:STORY[{WS}]*[:#]|={{3,}}|-{{3,}}|\*{{3,}})[{WS}]*(.*)\z"
 _BLANK = rf"\A[{WS}]*\z"
-_STORIES = 4096     # stories of a file that are numbered together
+_RANGE_BITS = 10    # lines of a block that are handled together: 1,024
+# Letters that lead to each state a story can be in: nothing yet, a title, text.
+_STATES = ("", "T", "Tt")
 # A Unicode non-character: it cannot occur in interchanged text.
 _MARK = "\ufdd0"
 
@@ -94,56 +96,118 @@ def _story(text: Column) -> Column:
     return F.struct(F.nullif(title, F.lit("")).alias("title"), paragraphs.alias("paragraphs"))
 
 
+def _line_marks(letters: Column, state: str | Column) -> Column:
+    """Letters of a range of lines, settled: ``d`` only where a delimiter separates, ``t`` text, ``e`` the first text
+    of a story without a title.  ``state`` is one of ``_STATES``.  So ``T`` and ``e`` each tell one story that counts."""
+    state = F.lit(state) if isinstance(state, str) else state
+    marks = F.regexp_replace(F.concat(state, letters), r"(\Ab*|[Td]b*)d", "$1t")
+    return F.substr(F.regexp_replace(marks, r"((?:\A|d)b*)t", "$1e"), F.length(state) + 1)
+
+
+def _heads_in(marks: Column) -> Column:
+    return F.length(F.translate(marks, "bte", ""))
+
+
+def _found_in(marks: Column) -> Column:
+    return F.length(F.translate(marks, "btd", ""))
+
+
 def split_stories_blocks(lines: DataFrame, keys: list[str], block: str = "block", order: tuple[str, ...] = ("at",),
                          line_col: str = "line") -> DataFrame:
     """``(keys, story_idx, title, paragraphs)`` from the lines of files of any length.
 
     The same rule as :func:`split_stories`, for files that are read in blocks: a block
-    is a range of lines, ``order`` orders lines within it.  Whether a bare delimiter
-    separates depends on one bit, whether its story has text yet.  A text line sets
-    it, a titled delimiter clears it, a bare one turns it over (it separates if the bit
-    is set and is text otherwise), a blank line leaves it.  So a run of lines maps the
-    bit by its last set or clear and the turns after that; these maps are composed
-    within blocks, then over blocks.  Only a story's own lines meet in one task.
+    is a range of lines, ``order`` orders lines within it.  Blocks are cut into ranges of
+    1,024 numbers of the first column of ``order``, and lines travel once, packed by range
+    where they are read.  How a range is cut depends on the state in which it begins: its
+    story has neither title nor text yet, a title, or text.  Whether there is text is one
+    bit: a text line sets it, a titled delimiter clears it, a bare one turns it over (it
+    separates if the bit is set and is text otherwise), a blank line leaves it.  So a range
+    maps the bit by its last set or clear and the turns after that.  These maps, and the
+    numbers of stories that each state gives, are composed over one thin row for each range.
+    Stories inside a range are whole; only the pieces at its ends are moved to meet.
     """
-    order, place = list(order), [*keys, block]
-    # dealt once, so that the branches that need letters only read one shuffle
-    work = lines.select(*place, *order, F.col(line_col).alias("__line"), _letter(F.col(line_col)).alias("__kind")).repartition(*place)
-    sets = F.when(F.col("__kind") == "t", 1).when(F.col("__kind") == "T", 0)
-    turn = (F.col("__kind") == "d").cast("int")
-    inside = Window.partitionBy(*place).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    work = work.withColumns({"__set": sets, "__turns": F.coalesce(F.sum(turn).over(inside), F.lit(0))})
-    last_set = F.last("__set", ignorenulls=True).over(inside)
-    turns_there = F.last(F.when(F.col("__set").isNotNull(), F.col("__turns")), ignorenulls=True).over(inside)
-    work = work.withColumns({"__last": last_set, "__since": F.col("__turns") - F.coalesce(turns_there, F.lit(0))})
-
-    # the map of each block, and the bit where it begins
-    known = F.when(F.col("__set").isNotNull(), F.col("__turns"))
-    maps = work.groupBy(*place).agg(
-        F.max_by("__set", known).alias("__set"), (F.sum(turn) - F.coalesce(F.max(known), F.lit(0))).alias("__after"))
-    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    order = list(order)
+    if not {kind for _, kind in lines.select(*order).dtypes} <= {"tinyint", "smallint", "int", "bigint"}:
+        lines = lines.withColumn("__at", F.row_number().over(Window.partitionBy(*keys, block).orderBy(*order)))
+        order = ["__at"]
+    at, *rest = [F.coalesce(F.col(c).cast("bigint"), F.lit(-2**63)) for c in order]
+    # one struct, so that nulls meet nulls and no branch filters them: all read the same shuffle
+    place = F.struct(*keys, block, F.shiftright(at, _RANGE_BITS).alias("__range")).alias("__place")
+    # a line is one string, its place in digits of a fixed width before its letter and text: half the bytes of a struct
+    line = F.coalesce(F.col(line_col), F.lit(""))
+    digits = [F.hex(at.bitwiseAND(2**_RANGE_BITS - 1) + 4096), *[F.lpad(F.hex(c.bitwiseXOR(F.lit(-2**63))), 16, "0") for c in rest]]
+    ranges = lines.groupBy(place).agg(F.collect_list(F.concat(*digits, _letter(line), line)).alias("__lines"))
+    ranges = _once(ranges, ["__place"], F.transform(
+        F.sort_array("__lines"), lambda x: F.substr(x, F.lit(5 + 16 * len(rest)))), "__lines")
+    letters = F.array_join(F.transform("__lines", lambda x: F.substring(x, 1, 1)), "")
+
+    # the map of each range without its blank lines, and the state where it begins
+    maps = _once(ranges, ["__place"], F.replace(letters, F.lit("b")), "__letters")
+    maps = maps.select(
+        *[F.col("__place")[c].alias(c) for c in (*keys, block, "__range")],
+        F.nullif(F.substring("__letters", -1, 1), F.lit("")).alias("__final"),
+        F.nullif(F.regexp_extract("__letters", r"([tT])d*\z", 1), F.lit("")).alias("__set"),
+        F.length(F.regexp_extract("__letters", r"(?<!d)d*\z", 0)).alias("__after"),
+        F.array(*[F.struct(_heads_in(m).alias("heads"), _found_in(m).alias("found"))
+                  for m in (_line_marks(F.col("__letters"), s) for s in _STATES)]).alias("__counts"))
+    before = Window.partitionBy(*keys).orderBy(block, "__range").rowsBetween(Window.unboundedPreceding, -1)
     maps = maps.withColumn("__sum", F.coalesce(F.sum("__after").over(before), F.lit(0)))
     there = F.last(F.when(F.col("__set").isNotNull(), F.col("__sum")), ignorenulls=True).over(before)
-    bit = F.coalesce(F.last("__set", ignorenulls=True).over(before), F.lit(0)) + F.col("__sum") - F.coalesce(there, F.lit(0))
-    begins = maps.select(*place, bit.alias("__bit"))
-
-    has_text = F.coalesce(F.col("__last"), F.col("__bit")) + F.col("__since")
-    parts = (F.col("__kind") == "T") | ((F.col("__kind") == "d") & (has_text % 2 == 1))
-    marked = work.join(begins, place).select(*place, *order, "__line", "__kind", parts.cast("int").alias("__parts"))
-    numbered = running_before(marked, keys, [[F.col(block)], [F.col(c) for c in order]], {"__story": (F.col("__parts"), "bigint")})
-    text = (F.when(F.col("__parts") == 1, F.when(F.col("__kind") == "T", _title(F.col("__line"))).otherwise(""))
-            .when(F.col("__kind") == "b", "").otherwise(F.col("__line")))
-    stories = numbered.groupBy(*keys, (F.col("__story") + F.col("__parts")).alias("__story")).agg(
-        F.array_sort(F.collect_list(F.struct(block, *order, text.alias("text")))).alias("__lines"), F.max("__parts").alias("__headed"))
+    bit = (F.coalesce((F.last("__set", ignorenulls=True).over(before) == "t").cast("int"), F.lit(0))
+           + F.col("__sum") - F.coalesce(there, F.lit(0)))
+    titled = F.last("__final", ignorenulls=True).over(before) == "T"
+    maps = maps.withColumn("__state", F.when(bit % 2 == 1, 2).when(titled, 1).otherwise(0))
+    counts = F.col("__counts")[F.col("__state")]
+    maps = maps.withColumns({"__heads": counts.heads, "__found": counts.found})
+    begins = maps.select(F.struct(*keys, block, "__range").alias("__place"), "__state", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("__heads", "__found")])
+
+    # places where pieces begin: the start, each delimiter that separates, the end
+    work = ranges.join(begins.hint("shuffle_hash"), "__place")
+    keep = ["__place", "__lines", "__state", "__heads", "__found"]
+    work = _once(work, keep, _line_marks(letters, F.array(*map(F.lit, _STATES))[F.col("__state")]), "__marks")
+    kinds, size = F.split("__marks", ""), F.length("__marks")
+    cuts = F.filter(F.transform(kinds, lambda k, i: F.when(k.isin("T", "d"), i + 1)), lambda p: p.isNotNull())
+    work = _once(work, [*keep, "__marks"], F.struct(kinds.alias("kinds"), F.concat(F.array(F.lit(1)), cuts, F.array(size + 1)).alias("at")), "__c")
+    at = F.col("__c.at")
+
+    def rendered(x: Column, kind: Column) -> Column:
+        line = F.substr(x, F.lit(2))
+        return F.when(kind == "T", _title(line)).when(kind.isin("b", "d"), "").otherwise(line)
+
+    def piece(start: Column, n: Column) -> Column:
+        return F.array_join(F.zip_with(F.slice("__lines", start, n), F.slice("__c.kinds", start, n), rendered), "\n")
+
+    def marks(start: Column, n: Column) -> Column:
+        return F.substr("__marks", start, n)
+
+    keyed = [F.col("__place")[c].alias(c) for c in keys]
+    one, head, tail = F.lit(1), at[1] - 1, F.element_at(at, -2)
+    inner = F.transform(F.slice(at, F.lit(2), F.greatest(F.size(at) - 3, F.lit(0))),
+                        lambda p, i: F.struct(p.alias("p"), (F.element_at(at, i + 3) - p).alias("n")))
+    inner = F.transform(F.filter(inner, lambda s: _found_in(marks(s.p, s.n)) > 0), lambda s: piece(s.p, s.n))
+    first = (F.col("__found") + _found_in(marks(one, head))).alias("__first")
+    whole = _explode(work, [*keyed, first], inner, "__pos", "__text").select(
+        *keys, (F.col("__first") + F.col("__pos")).alias("__idx"), "__text")
+
+    begun, last = F.col("__state") > 0, _found_in(marks(tail, size + 1 - tail))
+    ends = F.array(
+        F.when(head > 0, F.struct(
+            F.lit(False).alias("headed"), F.col("__heads").alias("story"), (F.col("__found") - begun.cast("int")).alias("idx"),
+            (begun | (_found_in(marks(one, head)) > 0)).alias("found"), piece(one, head).alias("text"))),
+        F.when(F.size(at) > 2, F.struct(
+            F.lit(True).alias("headed"), (F.col("__heads") + F.size(at) - 2).alias("story"),
+            (F.col("__found") + _found_in(F.col("__marks")) - last).alias("idx"),
+            (last > 0).alias("found"), piece(tail, size + 1 - tail).alias("text"))))
+    ends = _explode(work, ["__place", *keyed], F.filter(ends, lambda e: e.isNotNull()), "__pos", "__e")
+    ends = ends.groupBy(*keys, "__e.story", F.col("__e.idx").alias("__idx")).agg(
+        F.sort_array(F.collect_list(F.struct(*[F.col("__place")[c].alias(c) for c in (block, "__range")],
+                                             F.col("__e.headed").alias("__headed"), F.col("__e.text").alias("__text")))).alias("__pieces"),
+        F.max("__e.found").alias("__counts"))
     # text before the first delimiter has no title line of its own
-    whole = F.concat(F.when(F.col("__headed") == 1, "").otherwise("\n"), F.array_join("__lines.text", "\n"))
-    found = _once(stories, [*keys, "__story"], _story(whole), "__s")
-    # a story counts if it has a title or a text line, which the letters tell: its text is not moved for its number
-    counts = ((F.col("__kind") == "T") | ((F.col("__parts") == 0) & (F.col("__kind") != "b"))).cast("int")
-    sizes = numbered.groupBy(*keys, (F.col("__story") + F.col("__parts")).alias("__story")).agg(F.max(counts).alias("__found"))
-    placed = running_before(sizes.filter("__found = 1").select(*keys, "__story"), keys,
-                            [[F.floor(F.col("__story") / _STORIES)], [F.col("__story")]], {"__idx": (F.lit(1), "bigint")})
-    return found.join(placed, [*keys, "__story"]).select(
+    text = F.concat(F.when(F.element_at("__pieces", 1)["__headed"], "").otherwise("\n"), F.array_join("__pieces.__text", "\n"))
+    stories = whole.union(ends.filter("__counts").select(*keys, "__idx", text.alias("__text")))
+    return _once(stories, [*keys, "__idx"], _story(F.col("__text")), "__s").select(
         *keys, F.col("__idx").cast("int").alias("story_idx"), "__s.title", "__s.paragraphs")
 
 

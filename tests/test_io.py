@@ -506,6 +506,22 @@ def test_stories_of_blocks_are_not_moved_for_their_numbers(spark, plan_of):
         (i, None if i % 2 else "one", ["more"] if i % 2 else ["text"]) for i in range(6)]
 
 
+def test_lines_of_blocks_are_shuffled_once(spark):
+    texts = ["\n".join(hashlib.sha256(f"{i} {at}".encode()).hexdigest() if at % 7 else ["STORY: one", "---", ""][at % 3]
+                       for at in range(700)) for i in range(60)]
+    lines = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "file int, text string").repartition(4).select(
+        "file", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("block", F.floor(F.col("at") / 100))
+
+    def shuffled():
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+    start = shuffled()
+    lines.write.format("noop").mode("overwrite").save()
+    own = shuffled() - start
+    split_stories_blocks(lines, ["file"]).write.format("noop").mode("overwrite").save()
+    assert shuffled() - start - 2 * own < 1.6 * sum(map(len, texts))
+
+
 def test_scripts_of_a_job_are_split_once(spark, plan_of):
     scripts = spark.createDataFrame([("j", i, f"s{i}", "STORY: a\nText.\nSTORY: b\nMore.") for i in range(2)],
                                     "job_id string, ord int, path string, text string")

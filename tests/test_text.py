@@ -174,6 +174,27 @@ def test_stories_of_blocks_are_those_of_whole_files(spark, size):
         assert got.get(i, []) == brute_stories(text), text
 
 
+@pytest.mark.parametrize("order", [("at",), ("at", "sub"), ("name",), ("name", "at")])
+def test_stories_of_ranges_are_those_of_whole_files(spark, order):
+    """Blocks are cut where ``at`` passes a multiple of 1,024, some inside one line; null is a file and a line as well."""
+    rng = random.Random(len(order))
+    texts = ["\n".join(rng.choice(["a b", "---", "---", "", "=== T", " ", "\ufdd0c"]) for _ in range(rng.choice([1, 3, 30, 90])))
+             for _ in range(300)]
+    lines = []
+    for i, text in enumerate(texts):
+        at = -3000
+        for n, line in enumerate(text.split("\n")):
+            at += rng.choice([1, 400, 5000]) if len(order) == 1 or n % 3 else 0
+            lines.append((i or None, n // 20, at, n - 40, f"{n:09}", line or None))
+    df = spark.createDataFrame(rng.sample(lines, len(lines)), "id int, block int, at long, sub int, name string, line string")
+    got = {}
+    for r in split_stories_blocks(df.repartition(5), ["id"], order=order).orderBy("id", "story_idx").collect():
+        assert r.story_idx == len(got.setdefault(r.id or 0, []))
+        got[r.id or 0].append((r.title, list(r.paragraphs)))
+    for i, text in enumerate(texts):
+        assert got.get(i, []) == brute_stories(text), text
+
+
 def test_units_number_sentences_through_a_story(spark):
     df = spark.createDataFrame([(1, "STORY: One\nFirst here. Then there.\n\nLast one.\n\nstory # Two\nOnly.")],
                                "id int, text string")
